@@ -5,17 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelforge.llm.linededup import apply_bitmaps, line_bitmaps
 from panelforge.llm.neardup import near_duplicates
+from panelforge.llm.quality import fit_quality, held_out, quality_score
+from panelforge.llm.shared import materialize
+from panelforge.llm.sharding import measured, shards
+from panelforge.llm.urlfilter import url_verdicts
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out().alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    kept = apply_bitmaps(docs.withColumn("n_lines", lines), materialize(line_bitmaps(docs), "ld-bitmaps"), dropped_col="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards(measured(_table(spark, sf_dir, "documents")), n_shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+LINE_DEDUP_SQL = """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+g as (select key, max(doc_id) as top from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select k.*, coalesce(k.doc_id <> g.top, false) as gone from k left join g on k.key = g.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+URL_FILTER_SQL = """
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r as (select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) as v(rhost, rpath, rverdict)),
+f as (select h.page_id, max_by(rhost || rpath, length(rhost || rpath)) as rule, max_by(rverdict, length(rhost || rpath)) as rverdict
+  from h join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by h.page_id)
+select h.page_id, host, path, rule, coalesce(rverdict, case when regexp_matches(host || path,
+  '(^|[^A-Za-z0-9])(spam[^A-Za-z0-9]farm|cheap[^A-Za-z0-9]pills|casino|free[^A-Za-z0-9]money|free[^A-Za-z0-9]bets|adult|payday[^A-Za-z0-9]loans|keygen|ads[^A-Za-z0-9]track)($|[^A-Za-z0-9])')
+  then 'block' else 'allow' end) as verdict
+from h left join f using (page_id)
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_duplicates": op2_near_duplicates}
+    found = (op2_near_duplicates, op3_quality, op6_line_dedup, op9_sharding, op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": LINE_DEDUP_SQL, "op10_url_filter": URL_FILTER_SQL}
