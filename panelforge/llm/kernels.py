@@ -57,13 +57,13 @@ class SpanHasher:
 WORD_HASH = SpanHasher(1)
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words `[^\\x20\\x09-\\x0D]+`, and the document each is in. Words never cross documents."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (by default `[^\\x20\\x09-\\x0D]+`), and the document each is in. Words never cross documents."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = SPACE[buf]
+    space = between[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)
@@ -75,9 +75,9 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, A-Z lower-cased, and the document it is in."""
-    starts, ends, doc = word_spans(buf, offs)
+    starts, ends, doc = word_spans(buf, offs, between)
     return WORD_HASH(LOWER[buf], starts, ends), doc
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.decontam import benchmark_leaks
 from panelforge.llm.linededup import apply_bitmaps, line_bitmaps
 from panelforge.llm.neardup import near_duplicates
 from panelforge.llm.quality import fit_quality, held_out, quality_score
@@ -30,6 +31,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -73,7 +78,7 @@ from h left join f using (page_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op3_quality, op6_line_dedup, op9_sharding, op10_url_filter)
+    found = (op2_near_duplicates, op3_quality, op5_decontaminate, op6_line_dedup, op9_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
