@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from panelforge.llm.decontam import benchmark_leaks
 from panelforge.llm.linededup import apply_bitmaps, line_bitmaps
 from panelforge.llm.neardup import near_duplicates
+from panelforge.llm.packing import pack, token_pieces
 from panelforge.llm.quality import fit_quality, held_out, quality_score
+from panelforge.llm.secrets import secret_spans, span_list
 from panelforge.llm.shared import materialize
 from panelforge.llm.sharding import measured, shards
 from panelforge.llm.urlfilter import url_verdicts
@@ -43,6 +45,25 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def word_bpe_path() -> str:
+    """The public vocabulary that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), word_bpe_path(), size=2048, end_id=0)
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size=2048)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards(measured(_table(spark, sf_dir, "documents")), n_shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -78,7 +99,7 @@ from h left join f using (page_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op3_quality, op5_decontaminate, op6_line_dedup, op9_sharding, op10_url_filter)
+    found = (op2_near_duplicates, op3_quality, op5_decontaminate, op6_line_dedup, op7_best_fit_packing, op8_secret_scan, op9_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
