@@ -199,7 +199,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         return pd.Series(made)
 
     marks = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("keep").alias("__keep"), F.col("n_dropped").alias("__n")).dropDuplicates(["__id"])
-    both = docs.join(marks, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    # Always by a shuffle: which texts change grows with the input, so a broadcast would only serve small ones.
+    both = docs.hint("merge").join(marks, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
     cut = kept(F.when(F.col("__keep").isNotNull(), F.col(f"`{text_col}`")), F.col("__keep"))
     text = F.when(F.col("__keep").isNotNull(), cut).otherwise(F.col(f"`{text_col}`"))
     more = [F.coalesce("__n", F.lit(0)).cast("long").alias(dropped_col)] if dropped_col else []
