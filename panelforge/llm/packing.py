@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.llm.shared import materialize, text_documents
 
@@ -89,37 +90,37 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def price(values: np.ndarray, lengths: np.ndarray, size: int, most: np.ndarray) -> dict[int, int]:
-    """The most valuable configuration of items (lengths, ascending) in size, by knapsack dynamic programming; no length oftener than `most`."""
-    best, last = np.zeros(size + 1), np.full(size + 1, -1)
-    # Unbounded knapsack by capacity: best[c] = max over lengths of value + best[c - length].
+def price(values: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
+    """The most valuable configuration of items (lengths, ascending) that fills size exactly, by knapsack dynamic programming; {} if none does."""
+    best, last = np.full(size + 1, -np.inf), np.full(size + 1, -1)
+    best[0] = 0
+    back = size - lengths  # best[c - lengths] for c = size, moved along with c
     for c in range(int(lengths[0]), size + 1):
         k = int(np.searchsorted(lengths, c, "right"))
-        got = values[:k] + best[c - lengths[:k]]
-        i = int(np.argmax(got))
-        if got[i] > best[c - 1]:
-            best[c], last[c] = got[i], i
-        else:
-            best[c] = best[c - 1]
+        got = values[:k] + best[back[:k] - (size - c)]
+        i = int(got.argmax())
+        best[c], last[c] = got[i], i
+    if best[size] == -np.inf:
+        return {}
     out: Counter[int] = Counter()
     c = size
-    while c >= lengths[0]:
-        if last[c] < 0:
-            c -= 1
-            continue
+    while c:
         i = int(last[c])
         out[i] += 1
         c -= int(lengths[i])
-    return {i: min(n, int(most[i])) for i, n in out.items()}
+    return dict(out)
 
 
-def configurations(counts: dict[int, int], size: int, rounds: int = 120, rate: float = 0.5) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def configurations(counts: dict[int, int], size: int, rounds: int = 400, rate: float = 1.0, columns: int = 192) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """How to pack counts (length -> pieces): (times, ((length, pieces a sequence), ...)), the largest length first.
 
-    The linear program chooses the fewest configurations that cover the histogram. Multiplicative weights hold a price per length;
-    each round the knapsack finds the configuration that is dearest at these prices, and lengths that it covers become cheaper in
-    proportion to the share of them it covers. The mean of the rounds, scaled, is the fractional solution; it is rounded down, and what
-    is left is packed best-fit by length. The histogram has at most size lengths, so all this is small however many pieces there are.
+    The linear program covers the histogram with as few configurations as it can, which are those without waste. Multiplicative weights
+    hold a price per length; each round the knapsack finds the full configuration that is dearest at these prices, and the lengths in it
+    become cheaper by the share of them that it covers; the `columns` lengths that are covered least take part. A configuration is taken
+    as often as its scarcest length allows, a fraction of times, so no length is covered more than once. The fractions are rounded down
+    to whole sequences, and what is left is packed best-fit by length. If that ends above the volume bound, a smaller part of each
+    fraction is tried, which leaves best-fit more to mix. The histogram has at most size lengths, so all this is small
+    however many pieces there are.
     """
     left = {k: n for k, n in counts.items() if n > 0}
     out: list[tuple[int, tuple[tuple[int, int], ...]]] = []
@@ -128,32 +129,35 @@ def configurations(counts: dict[int, int], size: int, rounds: int = 120, rate: f
     if left:
         lengths = np.array(sorted(left))
         need = np.array([left[int(k)] for k in lengths], float)
-        weight, chosen = np.ones(len(lengths)), Counter()
-        # Prices start at the volume, which is near the optimum when waste is small.
-        weight *= need * lengths
+        share = np.zeros(len(lengths))  # of each length, covered so far
+        chosen: Counter[tuple[tuple[int, int], ...]] = Counter()
         for _ in range(rounds):
-            config = price(weight / need, lengths, size, need)
-            key = tuple(sorted(config.items()))
-            # So often that the scarcest length of the configuration loses the share `rate` of its need.
-            step = min(need[i] / n for i, n in key)
-            chosen[key] += step
-            cover = np.zeros(len(lengths))
-            for i, n in key:
-                cover[i] = n * step / need[i]
-            weight *= np.exp(-rate * cover)
-        covered = np.zeros(len(lengths))
-        for key, x in chosen.items():
+            some = np.sort(np.argsort(share, kind="stable")[:columns])
+            # A piece costs one token of its value, so that of equal fills the one with fewer pieces is taken and short pieces last.
+            config = price(lengths[some] * np.exp(-rate * share[some]) - 1, lengths[some], size)
+            if not config:
+                break
+            key = tuple(sorted((int(some[i]), n) for i, n in config.items()))
+            step = min((1 - share[i]) * need[i] / n for i, n in key)
+            if step >= 1:
+                chosen[key] += step
             for i, n in key:
-                covered[i] += n * x
-        # Scaled so that no length is covered more than once over; floors of the fractions are whole sequences.
-        for key, x in sorted(chosen.items(), key=lambda kx: (-kx[1], kx[0])):
-            x = x / max(1.0, max(covered[i] / need[i] for i, _ in key))
-            times = int(min([np.floor(x + 1e-9), *(left[int(lengths[i])] // n for i, n in key)]))
-            if times > 0:
-                out.append((times, tuple((int(lengths[i]), n) for i, n in reversed(key))))
-                for i, n in key:
-                    left[int(lengths[i])] -= times * n
-        out += best_fit(left, size)
+                share[i] += max(n * step / need[i], 0.02)
+        fewest = -(-sum(k * n for k, n in left.items()) // size)
+        tried = []
+        for part in (1.0, 0.5, 0.25, 0.1, 0.0):
+            rest, made = dict(left), []
+            for key, x in sorted(chosen.items(), key=lambda kx: (-kx[1], kx[0])):
+                times = int(min([np.floor(part * x + 1e-9), *(rest[int(lengths[i])] // n for i, n in key)]))
+                if times > 0:
+                    made.append((times, tuple((int(lengths[i]), n) for i, n in reversed(key))))
+                    for i, n in key:
+                        rest[int(lengths[i])] -= times * n
+            made += best_fit(rest, size)
+            tried.append((sum(t for t, _ in made), len(tried), made))
+            if tried[-1][0] <= fewest:
+                break
+        out += min(tried)[2]
     return out
 
 
@@ -177,7 +181,7 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[i
     return out
 
 
-def pack(pieces: DataFrame, size: int = 2048, rounds: int = 120) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, rounds: int = 400) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset: as few sequences of at most size as the rounded program gives.
 
     Offsets are gapless from 0. Only the length histogram (at most size rows) comes to the driver. Each piece gets its rank among
@@ -198,7 +202,7 @@ def pack(pieces: DataFrame, size: int = 2048, rounds: int = 120) -> DataFrame:
             seen.update(dict(zip(kinds.tolist(), many.tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(at.astype(np.int64))], names=[*names, "__part", "__at"])
 
-    schema = pieces.schema.add("__part", "int").add("__at", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])
     rows = materialize(pieces.mapInArrow(ranked, schema), "pk-pieces")
     tally = rows.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = tally.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n"))
