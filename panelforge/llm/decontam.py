@@ -238,20 +238,21 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, search: Search | None = N
     return out
 
 
+def _leak_flag(index: ItemIndex):
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        out, at = np.zeros(len(texts), bool), 0
+        for rows, buf, offs in text_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+            for d, _ in index.found(buf, offs):
+                out[at + d] = True
+            at += rows.num_rows
+        return pa.array(out)
+
+    return leaks
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, search: Search | None = None, text_col: str = "text") -> DataFrame:
     """docs without the documents that hold an item; all columns and all other rows stay. The decision is made where the text is, without a join."""
-    search = search or Search()
-    for index in item_indexes(items, search):
-
-        @F.arrow_udf("boolean")
-        def leaks(texts: pa.Array, index=index) -> pa.Array:
-            out = np.zeros(len(texts), bool)
-            at = 0
-            for rows, buf, offs in text_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
-                for d, _ in index.found(buf, offs):
-                    out[at + d] = True
-                at += rows.num_rows
-            return pa.array(out)
-
-        docs = docs.where(~leaks(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    for index in item_indexes(items, search or Search()):
+        docs = docs.where(~_leak_flag(index)(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     return docs

@@ -21,6 +21,10 @@ from panelforge.llm.shared import materialize, text_blocks, text_documents
 
 BANDS, ROWS = 32, 5
 T = BANDS * ROWS
+#: Documents of a component larger than this are met in blocks of so many.
+BLOCK = 256
+#: Columns of a block's matrices at a time.
+COLUMNS = 4096
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _SEEDS = stream(11, 2 * T)
 _BAND_SEEDS = stream(12, BANDS)
@@ -96,6 +100,35 @@ def _set_rows(k: int):
     return run
 
 
+def _block_links(percent: int):
+    """Counts the shingles that the documents of two blocks share and returns one link for each document of the left block that has any."""
+
+    def flat(table: pa.Table):
+        sets = table.column("set").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy()) if len(sets) else np.zeros(0, np.int64)
+        return table.column("rep").to_numpy(), size, sets.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, an, av, ao), (b, bn, bv, bo) = flat(left), flat(right)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        both = np.intersect1d(av, bv)
+        for at in range(0, len(both), COLUMNS):
+            part = both[at : at + COLUMNS]
+            dense = []
+            for n, v, o in ((len(a), av, ao), (len(b), bv, bo)):
+                k = np.minimum(np.searchsorted(part, v), len(part) - 1)
+                own = part[k] == v
+                x = np.zeros((n, len(part)), np.float32)
+                x[o[own], k[own]] = 1
+                dense.append(x)
+            shared += dense[0] @ dense[1].T
+        linked = (100 * shared >= percent * (an[:, None] + bn[None, :] - shared)) & (a[:, None] != b[None, :])
+        u = np.flatnonzero(linked.any(axis=1)) if linked.size else np.zeros(0, np.int64)
+        return pa.table({"u": pa.array(a[u], pa.int64()), "v": pa.array(b[linked[u].argmax(axis=1)] if len(u) else [], pa.int64())})
+
+    return run
+
+
 class _Verifier:
     """Confirms pairs of documents on their full shingle sets: 100 * |A and B| >= percent * |A or B|."""
 
@@ -116,16 +149,37 @@ class _Verifier:
         """pairs (a, b) without those that can't be links."""
         return pairs.join(self.marks.alias("x"), F.col("a") == F.col("x.rep")).join(self.marks.alias("y"), F.col("b") == F.col("y.rep")).where(self.alike("x", "y")).select("a", "b")
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(doc_id, set) of the documents in ids (doc_id)."""
+        sets = self.docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(self.k), "doc_id long, set array<long>")
+        return materialize(sets, f"{name}-sets")
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that are links."""
         pairs = materialize(pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(self.k), "doc_id long, set array<long>")
-        sets = materialize(sets, f"{name}-sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+        sets = self.sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), name)
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         linked = both.where(100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
         return materialize(linked, f"{name}-links")
 
+    def links_to_components(self, wanted: DataFrame, members: DataFrame, name: str) -> DataFrame:
+        """wanted (rep, comp), members (rep, comp): a link of each wanted document to a member of that component, if it has one.
+
+        Both sides meet in blocks of about BLOCK documents; a block's intersections are counted by one matrix product, so a large
+        component costs neither a row per pair nor a task that holds all of it.
+        """
+        wanted, members = materialize(wanted, f"{name}-wanted"), materialize(members, f"{name}-members")
+        sets = self.sets(wanted.select(F.col("rep").alias("doc_id")).union(members.select("rep")), name).withColumnRenamed("doc_id", "rep")
+        blocks = lambda df, to: df.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(to))
+        sizes = materialize(blocks(wanted, "wb").join(blocks(members, "mb"), "comp"), f"{name}-blocks")
+        own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        w = wanted.join(sizes, "comp").select("comp", own("wb").alias("w"), every("mb").alias("m"), "rep").join(sets, "rep")
+        m = members.join(sizes, "comp").select("comp", every("wb").alias("w"), own("mb").alias("m"), "rep").join(sets, "rep").select(*(F.col(c).alias(c) for c in ("comp", "w", "m", "rep", "set")))
+        found = w.groupBy("comp", "w", "m").cogroup(m.groupBy("comp", "w", "m")).applyInArrow(_block_links(self.percent), "u long, v long")
+        return materialize(found, f"{name}-links")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
@@ -148,14 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bands = reps.select("rep", F.explode("keys").alias("key"))
     centres = materialize(bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "centre"), "nd-centres")
-    buckets = materialize(bands.join(centres, "key"), "nd-buckets")
+    buckets = materialize(bands.join(centres.hint("merge"), "key"), "nd-buckets")
 
     # 1: each member against the smallest centre among its buckets; 2: against its other centres in other components.
     stars = buckets.where("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre"))
     links = check.links(check.filtered(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "nd-1")
     # Rows that repeat an id tie the sets of that id together; equal sets share a representative.
     ties = named.select("doc_id", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
-    links = links.unionByName(ties)
+    links = links.unionByName(materialize(ties, "nd-ties"))
     for step in (2, 3):
         label = materialize(connected_components(links), "nd-label")
         if step == 2:
@@ -163,12 +217,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _labelled(_labelled(pairs, label, "rep", "ca"), label, "centre", "cb").where("ca <> cb").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
             pairs = check.filtered(pairs)
         else:
-            pairs = _open_pairs(buckets, label, check)
+            pairs, wanted, members = _open_pairs(buckets, reps, label, check)
+            links = links.unionByName(check.links_to_components(wanted, members, "nd-4"))
         links = links.unionByName(check.links(pairs, f"nd-{step}"))
     label = connected_components(links)
     label = reps.select("s1", "s2", "rep").join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     label = materialize(label, "nd-final")
-    out = sk.select("doc_id", "n", "s1", "s2").join(label, ["s1", "s2"], "left")
+    out = sk.select("doc_id", "n", "s1", "s2").join(label.hint("merge"), ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -177,14 +232,23 @@ def _labelled(df: DataFrame, label: DataFrame, node: str, to: str) -> DataFrame:
     return df.join(label.select(F.col("node").alias(node), F.col("component").alias(to)), node, "left").withColumn(to, F.coalesce(to, node))
 
 
-def _open_pairs(buckets: DataFrame, label: DataFrame, check: _Verifier) -> DataFrame:
-    """All pairs of a bucket that lie in different components and may be links; the largest component of a bucket is never paired with itself."""
-    member = materialize(_labelled(buckets.select("key", "rep"), label, "rep", "comp"), "nd-member")
-    most = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-    member = materialize(member.join(materialize(most, "nd-main"), "key"), "nd-mixed")
-    member = materialize(member.join(check.marks, "rep"), "nd-marked")
-    x, y = member.where("comp <> main").alias("x"), member.alias("y")
+def _open_pairs(buckets: DataFrame, reps: DataFrame, label: DataFrame, check: _Verifier) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left to hold against each other: members of one bucket in different components.
+
+    Pairs (a, b) that may be links, except those with a bucket's main component where that is large; for these (rep, comp) to hold
+    against the component's members, and the members (rep, comp).
+    """
+    everyone = materialize(_labelled(reps.select("rep"), label, "rep", "comp"), "nd-everyone")
+    member = materialize(buckets.select("key", "rep").join(everyone, "rep"), "nd-member")
+    main = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    large = materialize(everyone.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where(f"c > {BLOCK}").select(F.col("comp").alias("main"), F.lit(True).alias("large")), "nd-large")
+    main = materialize(main.join(large, "main", "left").select("key", "main", F.coalesce("large", F.lit(False)).alias("large")), "nd-main")
+    mixed = materialize(member.join(main, "key"), "nd-mixed")
+    wanted = mixed.where("comp <> main and large").select("rep", F.col("main").alias("comp")).distinct()
+    members = everyone.join(wanted.select("comp").distinct(), "comp", "left_semi").select("rep", "comp")
+    marked = materialize(mixed.where("comp <> main or not large").join(check.marks, "rep"), "nd-marked")
+    x, y = marked.where("comp <> main").alias("x"), marked.alias("y")
     # A pair outside the main component is met from both ends; one end is enough.
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & check.alike("x", "y"))
-    return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), wanted, members
