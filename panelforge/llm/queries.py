@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.decontam import benchmark_leaks
+from panelforge.llm.fuzzyhash import fingerprints
 from panelforge.llm.linededup import apply_bitmaps, line_bitmaps
 from panelforge.llm.neardup import near_duplicates
 from panelforge.llm.packing import pack, token_pieces
@@ -33,6 +34,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -99,7 +104,7 @@ from h left join f using (page_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op3_quality, op5_decontaminate, op6_line_dedup, op7_best_fit_packing, op8_secret_scan, op9_sharding, op10_url_filter)
+    found = (op2_near_duplicates, op3_quality, op4_fingerprints, op5_decontaminate, op6_line_dedup, op7_best_fit_packing, op8_secret_scan, op9_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
