@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.decontam import benchmark_leaks
 from panelforge.llm.fuzzyhash import fingerprints
 from panelforge.llm.linededup import apply_bitmaps, line_bitmaps
+from panelforge.llm.lm_score import cross_entropy_difference
 from panelforge.llm.neardup import near_duplicates
 from panelforge.llm.packing import pack, token_pieces
 from panelforge.llm.quality import fit_quality, held_out, quality_score
@@ -23,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target language: the turns of `conversations`; background: all of `documents`."""
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -104,7 +110,7 @@ from h left join f using (page_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_near_duplicates, op3_quality, op4_fingerprints, op5_decontaminate, op6_line_dedup, op7_best_fit_packing, op8_secret_scan, op9_sharding, op10_url_filter)
+    found = (op1_lm_score, op2_near_duplicates, op3_quality, op4_fingerprints, op5_decontaminate, op6_line_dedup, op7_best_fit_packing, op8_secret_scan, op9_sharding, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
