@@ -62,8 +62,8 @@ def newey_west(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
 
 
 def factor_regression(returns: DataFrame, factors: DataFrame, names: tuple[str, ...] = FACTORS, column: str = "net_return") -> DataFrame:
-    """Per model: n_months, alpha and loadings with Newey-West t statistics, R squared. A model with fewer than factors + 5 months has no row. A group is one model's months."""
-    rows = returns.select("MthCalDt", "model", column).join(factors.select("MthCalDt", *names), "MthCalDt")
+    """Per model: n_months, alpha and loadings with Newey-West t statistics, R squared. A model with fewer than factors + 5 months has no row. Months without a factor are left out. A group is one model's months."""
+    rows = returns.select("MthCalDt", "model", column).join(factors.select("MthCalDt", *names), "MthCalDt").na.drop()
     fields = "model string, n_months long, alpha double, alpha_t_stat double, " + ", ".join(f"{f}_beta double, {f}_t_stat double" for f in names) + ", r_squared double"
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:

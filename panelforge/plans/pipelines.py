@@ -38,13 +38,13 @@ def build_panel(spark: SparkSession, interim: str, processed: str, reports: str)
     return out
 
 
-def build_features(spark: SparkSession, processed: str, interim: str, reports: str) -> dict[str, DataFrame]:
+def build_features(spark: SparkSession, processed: str, interim: str, reports: str, entities: int = 40, months: int = 3) -> dict[str, DataFrame]:
     """Master panel -> raw and model-ready features, checks, registry."""
     master, annual = read_table(spark, processed, "master_panel").drop("year"), read_table(spark, interim, "compustat_fundamentals_annual")
     write_table(features.raw_features(master, annual), processed, "features_raw", "MthCalDt")
     raw = read_table(spark, processed, "features_raw").drop("year")
     write_table(model_ready(raw, list(features.KEYS), list(features.NAMES)), processed, "features_model_ready", "MthCalDt")
-    found = feature_checks(raw, master, annual)
+    found = feature_checks(raw, master, annual, entities, months)
     write_result(found, reports, "feature_checks")
     write_result(features.registry_table(spark), reports, "registry")
     write_result(features.registry_table(spark), reports, "registry", "json")
@@ -56,7 +56,7 @@ def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entitie
     names = list(features.NAMES)
     some = master.join(F.broadcast(checks.sampled_entities(master, entities)), "PERMNO", "left_semi")
     dates = checks.sampled_dates(master, months)
-    # Cross-sectional size is relative to the month's median, so it is rebuilt over the same sample.
+    # Size relative to the month's median is rebuilt over the same sample in full and in part.
     build = lambda p: features.raw_features(p, annual)
     ready = features.prepared(master, annual)
     plain = features.raw_features(master, annual).join(ready.select("PERMNO", "MthCalDt", *sorted(set(checks.DENOMINATORS.values()))), ["PERMNO", "MthCalDt"])

@@ -17,9 +17,9 @@ INTERIM = ("crsp_monthly_stock", "crsp_delisting", "ccm_link_table", "compustat_
 
 
 def load_raw(spark: SparkSession, spec: DatasetSpec, folder: str) -> DataFrame:
-    """CSV scan with the declared schema, dates as strings; a missing file raises FileNotFoundError. The path may lie in any store that Spark reads."""
+    """CSV scan with the declared schema, dates as strings; other column names raise, and a missing file raises FileNotFoundError. The path may lie in any store that Spark reads."""
     try:
-        return spark.read.schema(spec.raw_schema()).option("header", True).option("mode", "FAILFAST").csv(f"{folder}/{spec.filename}")
+        return spark.read.schema(spec.raw_schema()).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(f"{folder}/{spec.filename}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{folder}/{spec.filename}") from e
