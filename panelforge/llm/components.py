@@ -9,8 +9,13 @@ from panelforge.llm.shared import materialize
 
 
 def _state(e: DataFrame) -> tuple:
-    """Two figures by which the edges of two rounds are compared."""
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Edges, a sum of their hashes, and nodes that have a parent: by these the edges of two rounds are compared."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first())
+
+
+def _settled(e: DataFrame, state: tuple) -> bool:
+    """Whether each node has one parent, and no parent has one: then the parents are the components."""
+    return state[0] == state[2] and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,7 +35,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(small.where("u <> v").distinct(), "cc")
         now = _state(e)
-        if now == before:
+        if now == before or _settled(e, now):
             break
         before = now
     else:

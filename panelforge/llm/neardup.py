@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import connected_components
@@ -21,7 +21,9 @@ from panelforge.llm.shared import materialize, text_blocks, text_documents
 
 BANDS, ROWS = 32, 5
 T = BANDS * ROWS
-#: Documents of a component larger than this are met in blocks of so many.
+#: A component of more documents than this is met in blocks, not in pairs.
+LARGE = 16
+#: Documents of a block.
 BLOCK = 256
 #: Columns of a block's matrices at a time.
 COLUMNS = 4096
@@ -139,15 +141,19 @@ class _Verifier:
         p = (1 + percent / 100) / 2
         self.most = math.ceil(T * (1 - p) + 6 * math.sqrt(T * p * (1 - p)))
 
+    @staticmethod
+    def far(a: str, b: str):
+        return sum((F.bit_count(F.col(f"{a}.b{j}").bitwiseXOR(F.col(f"{b}.b{j}"))) for j in range(_WORDS)), F.lit(0))
+
     def alike(self, a: str, b: str):
         """Whether the sizes and the low bits of two sketches leave a link possible."""
-        far = sum((F.bit_count(F.col(f"{a}.b{j}").bitwiseXOR(F.col(f"{b}.b{j}"))) for j in range(_WORDS)), F.lit(0))
         size = 100 * F.least(f"{a}.n", f"{b}.n") >= self.percent * F.greatest(f"{a}.n", f"{b}.n")
-        return size & (far <= self.most)
+        return size & (self.far(a, b) <= self.most)
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) without those that can't be links."""
-        return pairs.join(self.marks.alias("x"), F.col("a") == F.col("x.rep")).join(self.marks.alias("y"), F.col("b") == F.col("y.rep")).where(self.alike("x", "y")).select("a", "b")
+        """pairs (a, b, ...) without those that can't be links; far: in how many low bits their sketches differ."""
+        both = pairs.join(self.marks.alias("x"), F.col("a") == F.col("x.rep")).join(self.marks.alias("y"), F.col("b") == F.col("y.rep")).where(self.alike("x", "y"))
+        return both.select(*pairs.columns, self.far("x", "y").alias("far"))
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
         """(doc_id, set) of the documents in ids (doc_id)."""
@@ -204,18 +210,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = materialize(bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "centre"), "nd-centres")
     buckets = materialize(bands.join(centres.hint("merge"), "key"), "nd-buckets")
 
-    # 1: each member against the smallest centre among its buckets; 2: against its other centres in other components.
+    # 1: each member against the smallest centre among its buckets; 2: of the members that share a bucket with a centre in another
+    # component, the pair that looks most alike for each two components; 3: all that is still open.
     stars = buckets.where("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre"))
-    links = check.links(check.filtered(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "nd-1")
-    # Rows that repeat an id tie the sets of that id together; equal sets share a representative.
-    ties = named.select("doc_id", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
-    links = links.unionByName(materialize(ties, "nd-ties"))
+    links = check.links(check.filtered(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b"))).select("a", "b"), "nd-1")
+    # Rows that repeat an id with another set tie the sets of that id together.
+    again = materialize(named.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("doc_id"), "nd-again")
+    if not again.isEmpty():
+        sets = named.join(again, "doc_id", "left_semi").select("doc_id", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"])
+        ties = sets.withColumn("v", F.min("rep").over(Window.partitionBy("doc_id"))).where("rep <> v").select(F.col("rep").alias("u"), "v")
+        links = links.unionByName(materialize(ties, "nd-ties"))
     for step in (2, 3):
         label = materialize(connected_components(links), "nd-label")
         if step == 2:
             pairs = buckets.where("rep <> centre").select("rep", "centre").distinct()
-            pairs = _labelled(_labelled(pairs, label, "rep", "ca"), label, "centre", "cb").where("ca <> cb").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-            pairs = check.filtered(pairs)
+            pairs = _labelled(_labelled(pairs, label, "rep", "ca"), label, "centre", "cb").where("ca <> cb")
+            pairs = check.filtered(pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
+            pairs = pairs.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
             pairs, wanted, members = _open_pairs(buckets, reps, label, check)
             links = links.unionByName(check.links_to_components(wanted, members, "nd-4"))
@@ -241,7 +252,7 @@ def _open_pairs(buckets: DataFrame, reps: DataFrame, label: DataFrame, check: _V
     everyone = materialize(_labelled(reps.select("rep"), label, "rep", "comp"), "nd-everyone")
     member = materialize(buckets.select("key", "rep").join(everyone, "rep"), "nd-member")
     main = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    large = materialize(everyone.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where(f"c > {BLOCK}").select(F.col("comp").alias("main"), F.lit(True).alias("large")), "nd-large")
+    large = materialize(everyone.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where(f"c > {LARGE}").select(F.col("comp").alias("main"), F.lit(True).alias("large")), "nd-large")
     main = materialize(main.join(large, "main", "left").select("key", "main", F.coalesce("large", F.lit(False)).alias("large")), "nd-main")
     mixed = materialize(member.join(main, "key"), "nd-mixed")
     wanted = mixed.where("comp <> main and large").select("rep", F.col("main").alias("comp")).distinct()
