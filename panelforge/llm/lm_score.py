@@ -101,6 +101,16 @@ def _losses(count: np.ndarray, history: np.ndarray, background: np.ndarray, targ
     return sign * np.log(target + base), sign * np.log(np.maximum(background - count, 0) + base)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of 1, 2 or 4 bytes that holds them all."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n if n else 1}").astype(np.int64)
+
+
 def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int):
     """Per block: one row with its documents and what hot n-grams add to their losses, and one row per task with the other n-grams."""
 
@@ -116,6 +126,10 @@ def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int
             if own.any():
                 parts = _losses(count[own], history[own], hot_counts[0][at[own]], hot_counts[1][at[own]], vocabulary)
                 sums = np.stack([np.bincount(doc[own], p, n) for p in parts])
+            # The others are first taken for n-grams that no other text has; the tasks give back corrections.
+            zero = np.zeros(int((~own).sum()), np.int64)
+            for j, part in enumerate(_losses(count[~own], history[~own], zero, zero, vocabulary)):
+                sums[j] += np.bincount(doc[~own], part, n)
             # Each document's words: the counts of its bigrams.
             tokens = np.bincount(doc[~history], count[~history], n)
             marks = np.asarray(rows.column(0).is_null()).astype(np.uint8) | (side << 1).astype(np.uint8)
@@ -127,14 +141,14 @@ def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int
             some = np.flatnonzero(np.diff(edge))
             # Five bytes of the key are enough beside the task's number.
             low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
-            doc, count, flags = doc.astype("<u4"), count.astype("<u4"), np.packbits(side.astype(np.uint8)).tobytes()
+            flags = np.packbits(side.astype(np.uint8)).tobytes()
             cols = [
                 pa.array(np.append(some, -1 - block % tasks).astype(np.int32)),
                 pa.array(np.full(len(some) + 1, block)),
                 pa.array([n] * (len(some) + 1), pa.int32()),
                 pa.array([low[edge[t] : edge[t + 1]].tobytes() for t in some] + [sums.tobytes()], pa.binary()),
-                pa.array([doc[edge[t] : edge[t + 1]].tobytes() for t in some] + [tokens.tobytes()], pa.binary()),
-                pa.array([count[edge[t] : edge[t + 1]].tobytes() for t in some] + [marks.tobytes()], pa.binary()),
+                pa.array([_pack(np.diff(doc[edge[t] : edge[t + 1]], prepend=0)) for t in some] + [tokens.tobytes()], pa.binary()),
+                pa.array([_pack(count[edge[t] : edge[t + 1]]) for t in some] + [marks.tobytes()], pa.binary()),
                 pa.array([flags] * len(some) + [rows.column(0).fill_null(0).to_numpy().astype("<i8").tobytes()], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["task", "block", "docs", "a", "b", "c", "d"])
@@ -144,30 +158,36 @@ def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int
 
 
 def _count_and_score(vocabulary: float):
-    """Counts the n-grams of one task in both corpora and adds up, per block, what they add to each document's losses. Head rows pass."""
+    """Counts the n-grams of one task in both corpora and adds up, per block, how they change each document's losses against n-grams that
+    no other text has. Corrections travel as 32-bit numbers. Head rows pass."""
 
     def run(table: pa.Table) -> pa.Table:
         names = ["block", "docs", "a", "b", "c", "d"]
         if not table.num_rows or table.column("task")[0].as_py() < 0:
             return table.select(names)
         blocks, n_docs, a, b, c, d = (table.column(x).to_pylist() for x in names)
-        size = np.array([len(x) // 4 for x in b])
+        size = np.array([len(x) // 5 for x in a])
         low = np.frombuffer(b"".join(a), np.uint8).reshape(-1, 5)
         key = np.zeros((len(low), 8), np.uint8)
         key[:, :5] = low
         key = key.view(np.uint64).ravel()
-        doc, count = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (b, c))
+        doc = np.concatenate([np.cumsum(_unpack(x, m)) for x, m in zip(b, size, strict=True)])
+        count = np.concatenate([_unpack(x, m) for x, m in zip(c, size, strict=True)])
         start = np.cumsum(size) - size
         side = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=k)[doc[s : s + m]] for f, k, s, m in zip(d, n_docs, start, size, strict=True)])
         distinct, at = np.unique(key, return_inverse=True)
         target = np.bincount(at, count * side, len(distinct))
         background = np.bincount(at, count * (1 - side), len(distinct))
-        losses = _losses(count, (key & U(1)) == 1, background[at], target[at], vocabulary)
+        history, zero = (key & U(1)) == 1, np.zeros(len(key), np.int64)
+        seen = _losses(count, history, background[at], target[at], vocabulary)
+        shift = [x - y for x, y in zip(seen, _losses(count, history, zero, zero, vocabulary), strict=True)]
+        known = (target[at] > 0) | (background[at] > count * (1 - side))
         touched, sums = [], []
         for s, m in zip(start, size, strict=True):
-            some, where = np.unique(doc[s : s + m], return_inverse=True)
-            touched.append(some.astype("<u4").tobytes())
-            sums.append(np.stack([np.bincount(where, x[s : s + m], len(some)) for x in losses]).tobytes())
+            own = np.flatnonzero(known[s : s + m]) + s
+            some, where = np.unique(doc[own], return_inverse=True)
+            touched.append(_pack(np.diff(some, prepend=0)))
+            sums.append(np.stack([np.bincount(where, x[own], len(some)) for x in shift]).astype("<f4").tobytes())
         none = pa.nulls(len(blocks), pa.binary())
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(n_docs, pa.int32()), "a": pa.array(sums, pa.binary()), "b": pa.array(touched, pa.binary()), "c": none, "d": none})
 
@@ -180,7 +200,8 @@ def _add_up(table: pa.Table) -> pa.Table:
     head, n = rows[0], rows[0]["docs"]
     total = np.frombuffer(head["a"]).reshape(2, n).copy()
     for r in rows[1:]:
-        total[:, np.frombuffer(r["b"], "<u4")] += np.frombuffer(r["a"]).reshape(2, -1)
+        part = np.frombuffer(r["a"], "<f4").reshape(2, -1)
+        total[:, np.cumsum(_unpack(r["b"], part.shape[1]))] += part
     tokens, marks, ids = np.frombuffer(head["b"]), np.frombuffer(head["c"], np.uint8), np.frombuffer(head["d"], "<i8")
     own = (marks & 2) == 0
     none = (tokens == 0)[own]
