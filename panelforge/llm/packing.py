@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.sql import types as T
 
 from panelforge.llm.shared import materialize, text_documents
 
-_CACHE: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_CACHE: dict[str, tuple[object, object, dict[bytes, bytes]]] = {}
 #: Chunks whose ids a Python worker keeps.
 CACHE_CHUNKS = 400_000
+#: Words that normalizing leaves as they are and that are one word for the tokenizer; they skip these two steps.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Before an ASCII sign that follows a letter a word always ends, so the cut changes no ids and makes more chunks equal.
 _WORD_END = re.compile(rb"(?<=[a-z])(?=[.,;:!?*%&#$|)\]])")
 
@@ -25,20 +28,23 @@ _WORD_END = re.compile(rb"(?<=[a-z])(?=[.,;:!?*%&#$|)\]])")
 def _tokenizer(path: str):
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        _CACHE[path] = (Tokenizer.from_file(path), {})
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _CACHE[path] = (Tokenizer.from_file(path), plain, {})
     return _CACHE[path]
 
 
 def word_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text, as little-endian unsigned 32-bit numbers, without special tokens.
+    """Token ids of each text, as unsigned 32-bit numbers in the machine's (little-endian) order, without special tokens.
 
     For vocabularies that drop white space and lower-case: a text's ids are those of its chunks between blanks, so each chunk is
     looked up, and only new chunks go through the tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
-    chunks, new = [], {}
+    tokenizer, plain, known = _tokenizer(path)
+    chunks, new = [], set()
     for t in texts:
         if t is None or t == "":
             chunks.append([])
@@ -48,19 +54,21 @@ def word_ids(texts: list[str | None], path: str) -> list[bytes]:
         else:
             parts = _WORD_END.sub(b" ", t.encode().lower().replace(b"\n", b" ")).split(b" ")
         chunks.append(parts)
-        for c in parts:
-            if c not in known:
-                new[c] = None
+        new |= set(parts).difference(known)
     if new:
-        order = list(new)
-        made = tokenizer.encode_batch_fast([c.decode() for c in order], add_special_tokens=False)
-        new = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(order, made, strict=True)}
-        if len(known) < CACHE_CHUNKS:
-            known.update(new)
-    get = known.get
-    out = []
-    for parts in chunks:
-        out.append(b"".join([x if (x := get(c)) is not None else new[c] for c in parts]))
+        simple: tuple[list[bytes], list[str]] = ([], [])
+        other: tuple[list[bytes], list[str]] = ([], [])
+        for c in new:
+            t = c.decode()
+            keys, strings = simple if _PLAIN.fullmatch(t) else other
+            keys.append(c), strings.append(t)
+        for t, (keys, strings) in ((plain, simple), (tokenizer, other)):
+            made = t.encode_batch_fast(strings, add_special_tokens=False)
+            known.update(zip(keys, (array("I", e.ids).tobytes() for e in made), strict=True))
+    out = [b"".join(map(known.__getitem__, parts)) for parts in chunks]
+    if len(known) > CACHE_CHUNKS:
+        for c in new:
+            del known[c]
     return out
 
 
@@ -74,8 +82,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 512):
+                rows = batch.slice(a, 512)
                 doc, piece, start, length, ids = [], [], [], [], []
                 for i, got in enumerate(word_ids(rows.column(1).to_pylist(), tokenizer)):
                     got += end

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.kernels import LOWER, SPACE, U, WORD_HASH, distinct_by_doc, mix, word_spans
+from panelforge.llm.kernels import LOWER, U, WORD_HASH, distinct_by_doc, mix, word_spans
 from panelforge.llm.shared import BLOCK_BYTES, column_bytes
 
 FEATURES = (
