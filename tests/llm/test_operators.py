@@ -93,7 +93,7 @@ def test_near_duplicates_of_an_empty_table(empty):
 
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Chains of edited copies: blocks are small here, so that open documents meet large components in several of them."""
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     import random
 
     rng, texts = random.Random(4), [prose(20, 60)]
