@@ -64,7 +64,7 @@ def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entitie
     return checks.union(
         [
             checks.no_duplicate_keys(raw, ["PERMNO", "MthCalDt"]), checks.no_calendar_gaps(raw), checks.no_infinite_values(raw, names), checks.sources_exist(ready),
-            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates[:1], names),
+            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names),
         ]
     )
 

@@ -400,15 +400,15 @@ def v1_to_v6_table_checks(spark, sf_dir):
 
 @query()
 def v7_to_v12_behaviour_checks(spark, sf_dir):
-    """No look-ahead, reproducibility and isolation of the return features, whose operators read no annual facts."""
+    """No look-ahead, reproducibility and isolation of all features, at every sampled month."""
     master, t = _master(spark, sf_dir)
-    annual, families = t["compustat_fundamentals_annual"], ("size", "momentum", "volatility")
-    names = [n for f in families for n in _family_of(f)]
-    some = master.join(F.broadcast(checks.sampled_entities(master)), "PERMNO", "left_semi")
-    build = lambda p: features.raw_features(p, annual, families)
-    dates, raw = checks.sampled_dates(master), _raw(spark, sf_dir, families)
+    annual, names = t["compustat_fundamentals_annual"], list(features.NAMES)
+    # Every rebuild reads the sample again.
+    some = master.join(F.broadcast(checks.sampled_entities(master)), "PERMNO", "left_semi").cache()
+    build = lambda p: features.raw_features(p, annual)
+    dates, raw = checks.sampled_dates(master), _raw(spark, sf_dir)
     scaled = lambda d: crosssection.model_ready(d, list(features.KEYS), names)
-    return checks.union([checks.no_leakage(build, some, dates[:1], names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates[:1], names)])
+    return checks.union([checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names)])
 
 
 # ---- targets, folds, models
