@@ -151,7 +151,7 @@ def estimator_runner(estimator: Estimator) -> Runner:
     return run
 
 
-def runners(estimators: tuple[Estimator, ...] = (RIDGE, LASSO, ELASTIC_NET, GRADIENT_BOOSTING)) -> dict[str, Runner]:
+def runners(estimators: tuple[Estimator, ...] = ESTIMATORS) -> dict[str, Runner]:
     return {"equal_weight": equal_weight, "momentum_sort": momentum_sort, "fama_macbeth": fama_macbeth} | {e.name: estimator_runner(e) for e in estimators}
 
 

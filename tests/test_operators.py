@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -179,6 +180,18 @@ def test_estimators_match_closed_forms(spark):
     assert len(trials) == 4 and value is not None and best in [p for p, _ in trials]
 
 
+def test_default_runners_are_all_estimators_and_trees_score(spark, day):
+    assert set(models.runners()) == {"equal_weight", "momentum_sort", "fama_macbeth", "ridge", "lasso", "elastic_net", "random_forest", "hist_gradient_boosting"}
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    df = spark.createDataFrame([(i, day("2000-01-31"), float(v), float(v**2)) for i, v in enumerate(x)] + [(200, day("2000-01-31"), None, 1.0)], "PERMNO long, MthCalDt date, f double, t double")
+    few = {"random_forest": {"trees": (5,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,), "l2_regularization": (0.0,)}}
+    small = tuple(replace(e, grid=few[e.name]) for e in models.ESTIMATORS if e.name in few)
+    for name in few:
+        got = models.runners(small)[name](df, df, df, df, ["f"], "t", targets.ModelConfig())
+        assert got.count() == 200 and ic.pooled_ic(got, "t", "y_pred") > 0.8
+
+
 def test_behaviour_checks_find_what_they_should(spark, months):
     honest = lambda p: p.withColumn("x", F.month("MthCalDt").cast("double"))
     peeking = lambda p: p.crossJoin(p.agg(F.count(F.lit(1)).cast("double").alias("x")))
