@@ -197,7 +197,8 @@ def permutation_importance(estimator: Estimator, panel: DataFrame, features: lis
         for k in range(repeats):
             mixed = permuted(val, features, c.seed + 2 * k)
             if hasattr(model, "coefficients"):
-                base = model.intercept + sum((float(b) * F.col(f) for b, f in zip(model.coefficients, features, strict=True)), F.lit(0.0))
+                mixed = mixed.withColumn("__base", model.intercept + sum((float(b) * F.col(f) for b, f in zip(model.coefficients, features, strict=True)), F.lit(0.0)))
+                base = F.col("__base")
                 moved = [base + float(b) * (F.col(f"p_{f}") - F.col(f)) for b, f in zip(model.coefficients, features, strict=True)]
                 errors = mixed.agg(F.avg((base - F.col(target)) ** 2), *(F.avg((m - F.col(target)) ** 2) for m in moved)).first()
                 rows += [(fold.fold_id, f, k, errors[i + 1] - errors[0]) for i, f in enumerate(features)]

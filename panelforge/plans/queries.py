@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: The supplied tables have 83 months, so the first training window is shorter than the default.
 CONFIG = targets.ModelConfig(min_train=36)
-#: Features of the model queries: they need prices and returns alone, so that many rows are complete.
+#: Features of the monthly regressions (M9): they need prices and returns alone, so that many rows are complete.
 MODEL_FEATURES = ["mom_1m", "mom_3m", "vol_12m", "liquidity_share_turnover", "size_log_mktcap"]
 
 
@@ -321,25 +321,26 @@ def x5_model_ready_features(spark, sf_dir):
 # ---- diagnostics
 
 _D = ["mom_1m", "vol_12m", "value_bm", "size_log_mktcap", "quality_roa"]
-_DCELLS = f"cells as (select * from (select MthCalDt, {', '.join(f'cast({c} as double) as {c}' for c in _D)} from raw) unpivot include nulls (value for \"column\" in ({', '.join(_D)})))"
+_DSELECT: dict[str, str] = {}
 
 
-def _d(select: str) -> str:
-    return O.raw_sql(select, _D, _DCELLS)
+def _d(name: str, select: str, columns: list[str] = _D) -> str:
+    _DSELECT[name] = select
+    return O.raw_sql(select, columns, f"cells as (select * from (select MthCalDt, {', '.join(f'cast({c} as double) as {c}' for c in columns)} from raw) unpivot include nulls (value for \"column\" in ({', '.join(columns)})))")
 
 
-@query(_d("""select "column", cast(count(*) as bigint) as rows, cast(count(value) as bigint) as non_null, round(100.0 * count(value) / count(*), 6) + 0.0 as pct_non_null, round(100 - 100.0 * count(value) / count(*), 6) + 0.0 as pct_missing from cells group by 1"""))
+@query(_d("d1_d2_coverage", """select "column", cast(count(*) as bigint) as rows, cast(count(value) as bigint) as non_null, round(100.0 * count(value) / count(*), 6) + 0.0 as pct_non_null, round(100 - 100.0 * count(value) / count(*), 6) + 0.0 as pct_missing from cells group by 1"""))
 def d1_d2_coverage(spark, sf_dir):
     return shown(diagnostics.coverage(_raw(spark, sf_dir), _D))
 
 
-@query(_d("""select period, "column", round(100.0 * count(value) / count(*), 6) + 0.0 as pct_non_null from (select cast(year(MthCalDt) as varchar) as period, "column", value from cells union all select strftime(MthCalDt, '%Y-%m'), "column", value from cells) group by 1, 2"""))
+@query(_d("d3_coverage_over_time", """select period, "column", round(100.0 * count(value) / count(*), 6) + 0.0 as pct_non_null from (select cast(year(MthCalDt) as varchar) as period, "column", value from cells union all select strftime(MthCalDt, '%Y-%m'), "column", value from cells) group by 1, 2"""))
 def d3_coverage_over_time(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     return shown(diagnostics.coverage_over_time(raw, _D, "year").unionByName(diagnostics.coverage_over_time(raw, _D, "month")))
 
 
-@query(_d("""select "column", cast(count(value) as bigint) as n, round(avg(value), 6) + 0.0 as mean, round(stddev_samp(value), 6) + 0.0 as std, round(min(value), 6) + 0.0 as min, """ + ", ".join(
+@query(_d("d4_distributions", """select "column", cast(count(value) as bigint) as n, round(avg(value), 6) + 0.0 as mean, round(stddev_samp(value), 6) + 0.0 as std, round(min(value), 6) + 0.0 as min, """ + ", ".join(
     f"round(quantile_cont(value, {p}), 6) + 0.0 as p{int(p * 100):02d}" for p in diagnostics.QUANTILES) + """, round(max(value), 6) + 0.0 as max from cells where value is not null group by 1"""))
 def d4_distributions(spark, sf_dir):
     return shown(diagnostics.distributions(_raw(spark, sf_dir), _D))
@@ -350,17 +351,30 @@ def d5_correlations(spark, sf_dir):
     return shown(diagnostics.correlations(_raw(spark, sf_dir), _D))
 
 
-@query(_d("""select c."column", cast(count(*) as bigint) as n, round(100 * avg(case when abs(value - m) > 3 * s then 1.0 else 0.0 end), 6) + 0.0 as pct_outlier
+@query(_d("d6_outliers", """select c."column", cast(count(*) as bigint) as n, round(100 * avg(case when abs(value - m) > 3 * s then 1.0 else 0.0 end), 6) + 0.0 as pct_outlier
 from cells c join (select "column", avg(value) as m, stddev_samp(value) as s from cells group by 1) z on c."column" = z."column" where value is not null group by 1"""))
 def d6_outliers(spark, sf_dir):
     return shown(diagnostics.outliers(_raw(spark, sf_dir), _D))
 
 
-@query(_d("""select cast(MthCalDt as varchar) as MthCalDt, "column", round(median(value), 6) + 0.0 as median from cells group by 1, 2"""))
+@query(_d("d7_stability", """select cast(MthCalDt as varchar) as MthCalDt, "column", round(median(value), 6) + 0.0 as median from cells group by 1, 2"""))
 def d7_stability(spark, sf_dir):
     return shown(diagnostics.stability(_raw(spark, sf_dir), _D))
 
 
+def _over_time(raw: DataFrame, columns: list[str]) -> DataFrame:
+    return diagnostics.coverage_over_time(raw, columns, "year").unionByName(diagnostics.coverage_over_time(raw, columns, "month"))
+
+
+# The same tables over all features, as the reference's reports have them.
+for _name, _table in {"d1_d2_coverage": diagnostics.coverage, "d3_coverage_over_time": _over_time, "d4_distributions": diagnostics.distributions, "d6_outliers": diagnostics.outliers, "d7_stability": diagnostics.stability}.items():
+    def _run(spark, sf_dir, _table=_table):
+        return shown(_table(_raw(spark, sf_dir), _ALL))
+
+    _run.__name__ = f"{_name}_all_features"
+    query(_d(_name, _DSELECT[_name], _ALL))(_run)
+
+
 @query(O.ready_sql("select cast(MthCalDt as varchar) as MthCalDt, cast(count(*) as bigint) as rows, cast(count(*) filter (where is_investable) as bigint) as investable, round(100.0 * count(*) filter (where is_investable) / count(*), 6) + 0.0 as pct_investable from ready group by 1"))
 def d8_universe_size(spark, sf_dir):
     return shown(diagnostics.universe_size(_ready(spark, sf_dir)))
@@ -488,19 +502,20 @@ def m9_fama_macbeth_coefficients(spark, sf_dir):
 
 @query()
 def m10_m16_tune_ridge(spark, sf_dir):
-    """Trials of the ridge grid on the first fold's inner split."""
-    table, folds, _ = _usable(spark, sf_dir, ("size", "momentum", "liquidity", "volatility"))
-    f = folds[0]
-    _, _, trials = models.tune(models.RIDGE, targets.between(table, f.train_start, f.inner_train_end), targets.between(table, f.inner_val_start, f.inner_val_end), MODEL_FEATURES, "target_demeaned")
-    return spark.createDataFrame([(p["alpha"], ic_) for p, ic_ in trials], "alpha double, ic double")
+    """Trials of the ridge grid on every fold's inner split, over all model features."""
+    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
+    table, names, rows = table.cache(), list(features.MODEL_NAMES), []
+    for f in folds:
+        _, _, trials = models.tune(models.RIDGE, targets.between(table, f.train_start, f.inner_train_end), targets.between(table, f.inner_val_start, f.inner_val_end), names, "target_demeaned", CONFIG.seed)
+        rows += [(f.fold_id, p["alpha"], ic_) for p, ic_ in trials]
+    return spark.createDataFrame(rows, "fold_id int, alpha double, ic double")  # folds * candidates rows
 
 
 @query()
 def m18_walk_forward(spark, sf_dir):
-    """Baselines and ridge over all folds."""
-    table, folds, _ = _usable(spark, sf_dir, ("size", "momentum", "liquidity", "volatility"))
-    table = table.cache()
-    return models.walk_forward(table, MODEL_FEATURES, "target_demeaned", folds, models.runners((models.RIDGE,)), CONFIG)
+    """Baselines and all estimators over all folds and model features."""
+    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
+    return models.walk_forward(table.cache(), list(features.MODEL_NAMES), "target_demeaned", folds, models.runners(), CONFIG)
 
 
 _RANKED = """
@@ -521,9 +536,9 @@ def m20_ic_summary(spark, sf_dir):
 
 @query()
 def m21_m22_permutation_importance(spark, sf_dir):
-    """Category importances of ridge on the first fold's inner validation rows."""
-    table, folds, _ = _usable(spark, sf_dir, ("size", "momentum", "liquidity", "volatility"))
-    return models.category_importance(models.permutation_importance(models.RIDGE, table, MODEL_FEATURES, "target_demeaned", folds[:1], CONFIG, repeats=2))
+    """Category importances of ridge over all model features, on every fold's inner validation rows."""
+    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
+    return models.category_importance(models.permutation_importance(models.RIDGE, table.cache(), list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
 
 
 @query(_m("""select 'fold_purge_embargo' as check_name, cast(1 as bigint) as passed, cast(0 as bigint) as affected union all select 'folds_expanding', 1, 0
