@@ -91,15 +91,18 @@ def test_near_duplicates_of_an_empty_table(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    """Chains of edited copies: blocks are small here, so that open documents meet large components in several of them."""
+@pytest.mark.parametrize(("large", "edits"), [(16, 2), (2, 2), (2, 4)])
+def test_large_group_of_near_copies(spark, monkeypatch, large, edits):
+    """Chains of edited copies: blocks are small here, so that open documents meet large components and each other in several of them."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 8)
+    monkeypatch.setattr(neardup, "LARGE", large)
     import random
 
     rng, texts = random.Random(4), [prose(20, 60)]
     for _ in range(150):
         w = rng.choice(texts[-40:]).split()
-        for _ in range(2):
+        for _ in range(edits):
             w[rng.randrange(len(w))] = f"q{rng.randrange(9)}"
         texts.append(" ".join(w))
     data = list(enumerate(texts)) + [(1000 + i, prose(300 + i, 50)) for i in range(20)]
@@ -107,6 +110,18 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(data, 3, 85)
 
 
+def test_repeated_ids_link_their_texts(spark):
+    """An id with two texts joins the groups of both; so do ids that share one of several texts."""
+    data, want = [], {}
+    for g in range(6):
+        a, b = prose(500 + 2 * g, 60), prose(501 + 2 * g, 60)
+        edit = lambda t: " ".join([*t.split()[:-1], "zzz"])
+        data += [(10 * g + 3, a), (10 * g + 3, b), (10 * g + 1, edit(a)), (10 * g + 2, edit(b)), (10 * g + 5, prose(700 + g, 60))]
+        want |= {10 * g + i: 10 * g + 1 for i in (1, 2, 3)} | {10 * g + 5: 10 * g + 5}
+    got = neardup.near_duplicates(spark.createDataFrame(data + data[:3], "doc_id long, text string"), words=3, percent=85).collect()
+    assert len(got) == 33 and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_every_coordinate_of_a_sketch_fills():
     values, doc = kernels.stream(3, 5), np.array([0, 0, 1, 1, 1])
     s = neardup.sketches(values, doc, 3)
