@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,92 +14,146 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.shared import materialize, text_documents
+from panelforge.llm.kernels import LOWER, SpanHasher, U
+from panelforge.llm.shared import materialize, text_blocks, text_documents
 
-_CACHE: dict[str, tuple[object, object, dict[bytes, bytes]]] = {}
-#: Chunks whose ids a Python worker keeps.
-CACHE_CHUNKS = 400_000
+#: Chunks whose ids a Python worker keeps, about 32 bytes each.
+CACHE_CHUNKS = 1_000_000
 #: Words that normalizing leaves as they are and that are one word for the tokenizer; they skip these two steps.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-#: Before an ASCII sign that follows a letter a word always ends, so the cut changes no ids and makes more chunks equal.
-_WORD_END = re.compile(rb"(?<=[a-z])(?=[.,;:!?*%&#$|)\]])")
+_BLANK, _SMALL, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[list(b" \n")] = True
+_SMALL[97:123] = True
+_SIGN[list(b".,;:!?*%&#$|)]")] = True
+_CHUNK_HASH = SpanHasher(31)
+_KNOWN: dict[str, _Chunks] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _CACHE:
+class _Chunks:
+    """Token ids of chunks of text by their 64-bit hashes: keys ascending, begin and size of their ids in one array."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        plain = Tokenizer.from_file(path)
-        plain.normalizer = None
-        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        _CACHE[path] = (Tokenizer.from_file(path), plain, {})
-    return _CACHE[path]
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.keys, self.begin, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def tokenized(self, chunks: list[bytes]) -> list[list[int]]:
+        texts = [c.decode() for c in chunks]
+        simple = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = iter(self.plain.encode_batch_fast([t for t, s in zip(texts, simple, strict=True) if s], add_special_tokens=False))
+        whole = iter(self.whole.encode_batch_fast([t for t, s in zip(texts, simple, strict=True) if not s], add_special_tokens=False))
+        return [next(plain if s else whole).ids for s in simple]
 
+    def look_up(self, keys: np.ndarray, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """keys, ascending; chunk(k): the bytes of the k-th -> all ids, and where the keys' ids begin in them and how many they are."""
+        at = np.searchsorted(self.keys, keys)
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        begin[hit], size[hit] = self.begin[at[hit]], self.size[at[hit]]
+        new = np.flatnonzero(~hit)
+        made = self.tokenized([chunk(k) for k in new.tolist()])
+        size[new] = [len(x) for x in made]
+        begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32)])
+        if len(self.keys) + len(new) <= CACHE_CHUNKS:
+            self.keys, self.begin, self.size, self.ids = np.insert(self.keys, at[new], keys[new]), np.insert(self.begin, at[new], begin[new]), np.insert(self.size, at[new], size[new]), ids
+        return ids, begin, size
 
-def word_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text, as unsigned 32-bit numbers in the machine's (little-endian) order, without special tokens.
+
+def token_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the texts in buf, without special tokens, and how many each text has.
 
     For vocabularies that drop white space and lower-case: a text's ids are those of its chunks between blanks, so each chunk is
-    looked up, and only new chunks go through the tokenizer.
+    looked up, and only new chunks go through the tokenizer. Before an ASCII sign that follows a letter a word always ends, so a cut
+    there changes no ids and makes more chunks equal. Two chunks of one block and the cache share a hash with a chance below 1e-8.
     """
-    tokenizer, plain, known = _tokenizer(path)
-    chunks, new = [], set()
-    for t in texts:
-        if t is None or t == "":
-            chunks.append([])
-            continue
-        if "<|" in t:  # a special token's string may be in the text; it must not be lower-cased or cut
-            parts = t.replace("\n", " ").encode().split(b" ")
-        else:
-            parts = _WORD_END.sub(b" ", t.encode().lower().replace(b"\n", b" ")).split(b" ")
-        chunks.append(parts)
-        new |= set(parts).difference(known)
-    if new:
-        simple: tuple[list[bytes], list[str]] = ([], [])
-        other: tuple[list[bytes], list[str]] = ([], [])
-        for c in new:
-            t = c.decode()
-            keys, strings = simple if _PLAIN.fullmatch(t) else other
-            keys.append(c), strings.append(t)
-        for t, (keys, strings) in ((plain, simple), (tokenizer, other)):
-            made = t.encode_batch_fast(strings, add_special_tokens=False)
-            known.update(zip(keys, (array("I", e.ids).tobytes() for e in made), strict=True))
-    out = [b"".join(map(known.__getitem__, parts)) for parts in chunks]
-    if len(known) > CACHE_CHUNKS:
-        for c in new:
-            del known[c]
-    return out
+    if path not in _KNOWN:
+        _KNOWN[path] = _Chunks(path)
+    n, size = len(offs) - 1, len(buf)
+    if not size:
+        return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+    low = LOWER[buf]
+    cut = np.zeros(size + 1, bool)
+    cut[1:-1] = _SMALL[low[:-1]] & _SIGN[low[1:]]
+    # A special token's string may be in the text; it must not be lower-cased or cut.
+    special = np.zeros(n, bool)
+    special[np.searchsorted(offs, np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124)), "right") - 1] = True
+    if special.any():
+        raw = np.repeat(special, np.diff(offs))
+        low[raw] = buf[raw]
+        cut[:-1][raw] = False
+    cut[offs] = True
+    blank = np.ones(size + 2, bool)
+    blank[1:-1] = _BLANK[low]
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | cut[:-1]))
+    ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | cut[1:])) + 1
+    doc = np.searchsorted(offs, starts, "right") - 1
+    keys, first, kind = np.unique(_CHUNK_HASH(low, starts, ends), return_index=True, return_inverse=True)
+    ids, begin, many = _KNOWN[path].look_up(keys, lambda k: low[starts[first[k]] : ends[first[k]]].tobytes())
+    many = many[kind]
+    at = np.repeat(begin[kind] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return ids[at], np.bincount(doc, many, n).astype(np.int64)
+
+
+def _rank_in_partition() -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Gives, for the lengths of one batch after the other, the partition and the rank of each piece among those of its length there."""
+    seen: Counter[int] = Counter()
+    part = TaskContext.get().partitionId()
 
+    def ranks(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(length, kind="stable")
+        kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
+        at = np.empty(len(length), np.int64)
+        at[order] = np.arange(len(length)) - np.repeat(first, many) + np.repeat([seen[int(k)] for k in kinds], many)
+        seen.update(dict(zip(kinds.tolist(), many.tolist(), strict=True)))
+        return np.full(len(length), part, np.int32), at
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return ranks
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranked: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): every document's token ids and then end_id, cut into pieces of size ids if longer.
 
-    ids are little-endian unsigned 32-bit numbers. A null or empty text is the end_id alone. Whole texts are tokenized.
+    ids are little-endian unsigned 32-bit numbers. A null or empty text is the end_id alone; rows with a null or repeated id are
+    documents of their own. Whole texts are tokenized. ranked adds `__part` and `__at`, which spare pack() a pass of its own.
     """
     docs = text_documents(docs, id_col, text_col)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rows = batch.slice(a, 512)
-                doc, piece, start, length, ids = [], [], [], [], []
-                for i, got in enumerate(word_ids(rows.column(1).to_pylist(), tokenizer)):
-                    got += end
-                    for k, s in enumerate(range(0, len(got), 4 * size)):
-                        part = got[s : s + 4 * size]
-                        doc.append(i), piece.append(k), start.append(s // 4), length.append(len(part) // 4), ids.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
-
-
-def price(values: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
-    """The most valuable configuration of items (lengths, ascending) that fills size exactly, by knapsack dynamic programming; {} if none does."""
+        ranks = _rank_in_partition()
+        for rows, buf, offs in text_blocks(batches):
+            ids, count = token_ids(buf, offs, tokenizer)
+            ids = np.insert(ids, np.cumsum(count), end_id).astype("<u4")
+            count += 1
+            pieces = -(-count // size)
+            doc = np.repeat(np.arange(rows.num_rows), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * size
+            length = np.minimum(size, count[doc] - start)
+            edges = np.concatenate([[0], np.cumsum(4 * length)])
+            cols = [rows.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), _binary(edges, ids)]
+            names = ["doc_id", "piece", "start", "length", "ids"]
+            if ranked:
+                cols, names = cols + [pa.array(x) for x in ranks(length)], [*names, "__part", "__at"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary" + (", __part int, __at long" if ranked else ""))
+
+
+def _binary(edges: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def price(values: np.ndarray, lengths: np.ndarray, size: int, many: int = 64, slack: float = 0.5) -> list[dict[int, int]]:
+    """Configurations of items (lengths, ascending) that fill size exactly, the most valuable first, by knapsack dynamic programming.
+
+    After the best one come the best with another item each, as long as they are worth (1 - slack) of it and share no item with those
+    before them; [] if no fill is exact.
+    """
     best, last = np.full(size + 1, -np.inf), np.full(size + 1, -1)
     best[0] = 0
     back = size - lengths  # best[c - lengths] for c = size, moved along with c
@@ -109,64 +163,98 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
         i = int(got.argmax())
         best[c], last[c] = got[i], i
     if best[size] == -np.inf:
-        return {}
-    out: Counter[int] = Counter()
-    c = size
-    while c:
-        i = int(last[c])
-        out[i] += 1
-        c -= int(lengths[i])
-    return dict(out)
+        return []
+    worth = values + best[back]
+    used, out = np.zeros(len(lengths), bool), []
+    for first in np.argsort(-worth, kind="stable").tolist():
+        if len(out) == many or worth[first] < best[size] * (1 - slack) or worth[first] == -np.inf:
+            break
+        if used[first]:
+            continue
+        config, c = Counter([first]), size - int(lengths[first])
+        while c:
+            i = int(last[c])
+            config[i] += 1
+            c -= int(lengths[i])
+        if not used[list(config)].any():
+            used[list(config)] = True
+            out.append(dict(config))
+    return out
 
 
-def configurations(counts: dict[int, int], size: int, rounds: int = 400, rate: float = 1.0, columns: int = 192) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def program(counts: dict[int, int], size: int, rounds: int = 400, rate: float = 4.0, part: float = 0.25) -> dict[tuple[tuple[int, int], ...], float]:
+    """The covering program over a histogram: ((length, pieces a sequence), ...) -> how often, in fractions.
+
+    Multiplicative weights hold a price per length, which falls by exp(-rate) as the length is covered. Each round the knapsack prices
+    full configurations, and each of them is taken for `part` of what its scarcest length still allows, so all lengths are covered
+    evenly and none more than once. It ends with 98 % of the pieces, as the last ones take the most rounds.
+    """
+    lengths = np.array(sorted(counts))
+    need = np.array([counts[int(k)] for k in lengths], float)
+    share = np.zeros(len(lengths))  # of each length, covered so far
+    chosen: Counter[tuple[tuple[int, int], ...]] = Counter()
+    for _ in range(rounds):
+        if share @ need >= 0.98 * need.sum():
+            break
+        some = np.flatnonzero(share < 1 - 1e-9)
+        # A piece costs one token of its value, so that of equal fills the one with fewer pieces is taken and short pieces last.
+        found = price(lengths[some] * np.exp(-rate * share[some]) - 1, lengths[some], size) if len(some) else []
+        if not found:
+            break
+        for config in found:
+            key = [(int(some[i]), n) for i, n in config.items()]
+            allowed = min((1 - share[i]) * need[i] / n for i, n in key)
+            step = min(allowed, max(1.0, part * min(need[i] / n for i, n in key)))
+            chosen[tuple(sorted(((int(lengths[i]), n) for i, n in key), reverse=True))] += step
+            for i, n in key:
+                share[i] += n * step / need[i]
+    return dict(chosen)
+
+
+def configurations(counts: dict[int, int], size: int, rounds: int = 400, covered: float = 0.95, solves: int = 3) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """How to pack counts (length -> pieces): (times, ((length, pieces a sequence), ...)), the largest length first.
 
-    The linear program covers the histogram with as few configurations as it can, which are those without waste. Multiplicative weights
-    hold a price per length; each round the knapsack finds the full configuration that is dearest at these prices, and the lengths in it
-    become cheaper by the share of them that it covers; the `columns` lengths that are covered least take part. A configuration is taken
-    as often as its scarcest length allows, a fraction of times, so no length is covered more than once. The fractions are rounded down
-    to whole sequences, and what is left is packed best-fit by length. If that ends above the volume bound, a smaller part of each
-    fraction is tried, which leaves best-fit more to mix. The histogram has at most size lengths, so all this is small
-    however many pieces there are.
+    The linear program covers the histogram with as few configurations as it can, which are those without waste. Its fractions are
+    rounded to the nearest whole number of sequences that the pieces allow, the largest first; what is left makes a program of its
+    own, until `covered` of the pieces are in such sequences. The residue is packed best-fit. If that ends above the volume bound, a
+    part of every configuration is taken back for best-fit to mix; of all that is tried the fewest sequences count, then the most of
+    the program; only where most pieces are long and few fills are exact does best-fit alone win. The histogram has at most size lengths, so all this is small however many pieces there are.
     """
     left = {k: n for k, n in counts.items() if n > 0}
     out: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     if left.get(size):
         out.append((left.pop(size), ((size, 1),)))
-    if left:
-        lengths = np.array(sorted(left))
-        need = np.array([left[int(k)] for k in lengths], float)
-        share = np.zeros(len(lengths))  # of each length, covered so far
-        chosen: Counter[tuple[tuple[int, int], ...]] = Counter()
-        for _ in range(rounds):
-            some = np.sort(np.argsort(share, kind="stable")[:columns])
-            # A piece costs one token of its value, so that of equal fills the one with fewer pieces is taken and short pieces last.
-            config = price(lengths[some] * np.exp(-rate * share[some]) - 1, lengths[some], size)
-            if not config:
-                break
-            key = tuple(sorted((int(some[i]), n) for i, n in config.items()))
-            step = min((1 - share[i]) * need[i] / n for i, n in key)
-            if step >= 1:
-                chosen[key] += step
-            for i, n in key:
-                share[i] += max(n * step / need[i], 0.02)
-        fewest = -(-sum(k * n for k, n in left.items()) // size)
-        tried = []
-        for part in (1.0, 0.5, 0.25, 0.1, 0.0):
-            rest, made = dict(left), []
-            for key, x in sorted(chosen.items(), key=lambda kx: (-kx[1], kx[0])):
-                times = int(min([np.floor(part * x + 1e-9), *(rest[int(lengths[i])] // n for i, n in key)]))
-                if times > 0:
-                    made.append((times, tuple((int(lengths[i]), n) for i, n in reversed(key))))
-                    for i, n in key:
-                        rest[int(lengths[i])] -= times * n
-            made += best_fit(rest, size)
-            tried.append((sum(t for t, _ in made), len(tried), made))
-            if tried[-1][0] <= fewest:
-                break
-        out += min(tried)[2]
-    return out
+    everything, pieces = dict(left), sum(left.values())
+    fewest = -(-sum(k * n for k, n in left.items()) // size)
+    made: Counter[tuple[tuple[int, int], ...]] = Counter()
+    for _ in range(solves):
+        if sum(left.values()) <= (1 - covered) * pieces:
+            break
+        before = sum(left.values())
+        for key, x in sorted(program(left, size, rounds).items(), key=lambda kx: (-kx[1], kx[0])):
+            times = int(min(np.floor(x + 0.5), *(left.get(k, 0) // n for k, n in key)))
+            if times > 0:
+                made[key] += times
+                for k, n in key:
+                    left[k] -= times * n
+        left = {k: n for k, n in left.items() if n}
+        if sum(left.values()) == before:
+            break
+    tried = []
+    for part in (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0):
+        kept, rest, total = [], dict(everything), 0.0
+        for key, times in sorted(made.items(), key=lambda kt: (-kt[1], kt[0])):
+            whole = int(total + part * times + 1e-9) - int(total + 1e-9)  # part of all, spread evenly over the configurations
+            total += part * times
+            if whole:
+                kept.append((whole, key))
+                for k, n in key:
+                    rest[k] -= whole * n
+        kept += best_fit(rest, size)
+        tried.append((sum(t for t, _ in kept), len(tried), kept))
+        if tried[-1][0] <= fewest:
+            break
+    return out + min(tried)[2]
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -190,28 +278,24 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[i
 
 
 def pack(pieces: DataFrame, size: int = 2048, rounds: int = 400) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset: as few sequences of at most size as the rounded program gives.
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset: as few sequences of at most size as the rounded program gives; an empty table gives none, and ids play no part.
 
     Offsets are gapless from 0. Only the length histogram (at most size rows) comes to the driver. Each piece gets its rank among
     pieces of its length from the rank inside its partition and a sum over earlier partitions; a table of configurations then turns
     (length, rank) into a place. A length outside 1..size is an error.
     """
-    names = pieces.columns
-
-    def ranked(batches):
-        seen: Counter[int] = Counter()
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            order = np.argsort(length, kind="stable")
-            kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
-            at = np.empty(len(length), np.int64)
-            at[order] = np.arange(len(length)) - np.repeat(first, many) + np.repeat([seen[int(k)] for k in kinds], many)
-            seen.update(dict(zip(kinds.tolist(), many.tolist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(at.astype(np.int64))], names=[*names, "__part", "__at"])
-
-    schema = T.StructType([*pieces.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])
-    rows = materialize(pieces.mapInArrow(ranked, schema), "pk-pieces")
+    names = [c for c in pieces.columns if c not in ("__part", "__at")]
+    rows = pieces
+    if "__at" not in pieces.columns:
+
+        def run(batches):
+            ranks = _rank_in_partition()
+            for batch in batches:
+                length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, ranks(length))], names=[*names, "__part", "__at"])
+
+        rows = pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())]))
+    rows = materialize(rows, "pk-pieces")
     tally = rows.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = tally.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n"))
     before = materialize(before, "pk-tally")

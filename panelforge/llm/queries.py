@@ -64,8 +64,8 @@ def word_bpe_path() -> str:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(_table(spark, sf_dir, "documents"), word_bpe_path(), size=2048, end_id=0)
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), size=2048)
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), word_bpe_path(), size=2048, end_id=0, ranked=True)
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "__part", "__at"), size=2048)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
