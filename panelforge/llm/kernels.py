@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Powers of a hash's base that are kept from block to block, at most.
+KEPT_POWERS = 1 << 20
 #: The bytes that part words: space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -38,13 +40,17 @@ class SpanHasher:
         self._powers = [np.ones(1, U), np.ones(1, U)]
 
     def _power(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._powers[0]) < n:
-            size = max(n, 1 << 16)
-            for k, b in enumerate((self.base, self.inverse)):
-                step = np.full(size, U(b))
-                step[0] = 1
-                self._powers[k] = np.multiply.accumulate(step)
-        return self._powers[0][:n], self._powers[1]
+        """Powers of the base and of its inverse; those for an ordinary block are kept, those for a very long text are not."""
+        if len(self._powers[0]) >= n:
+            return self._powers[0][:n], self._powers[1]
+        made = []
+        for b in (self.base, self.inverse):
+            step = np.full(max(n, 1 << 16), U(b))
+            step[0] = 1
+            made.append(np.multiply.accumulate(step, out=step))
+        if n <= KEPT_POWERS:
+            self._powers = made
+        return made[0][:n], made[1]
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.kernels import LOWER, U, WORD_HASH, distinct_by_doc, mix, word_spans
-from panelforge.llm.shared import BLOCK_BYTES, column_bytes
+from panelforge.llm.shared import BLOCK_BYTES, column_bytes, give_back
 
 FEATURES = (
     "log_chars", "upper", "digits", "symbols", "shouts", "stops", "bars", "breaks", "non_ascii", "log_words", "word_length", "word_spread",
@@ -89,6 +89,7 @@ def _features_of(texts: pa.Array) -> np.ndarray:
         b = min(n, max(a + 1, int(np.searchsorted(offs, offs[a] + BLOCK_BYTES, "right")) - 1))
         parts.append(features(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
         a = b
+    give_back()
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 

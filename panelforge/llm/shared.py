@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to the numpy kernels in blocks of about so many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, which must be set; a folder of the driver's own would be lost on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -37,6 +36,14 @@ def text_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Returns the memory that Arrow's pool and the allocator keep, as Python workers outlive their tasks and stand beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the int64 offsets of a string column; nulls are empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -62,3 +69,4 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             b = min(b, n)
             yield batch.slice(a, b - a), buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
+    give_back()
