@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and offset."""
-    return pack(token_pieces(docs, word_bpe_path(), SEQUENCE, end_id=0), SEQUENCE)
+    return pack(token_pieces(docs, word_bpe_path(), SEQUENCE, end_id=0, ranked=True), SEQUENCE)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
