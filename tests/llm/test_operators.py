@@ -310,6 +310,52 @@ def test_secrets(spark, docs, empty):
     assert secrets.secret_spans(docs).count() == docs.count() and secrets.secret_spans(empty).count() == 0
 
 
+def brute_spans(text):
+    """Base spans by Python's patterns, and entropy spans by counting every window anew."""
+    base = []
+    for no, (pattern, flags) in enumerate(((secrets.ASSIGN.replace("(?i:", "(?:"), 0), (secrets.ACCESS, 0), (secrets.HEX, 0))):
+        if no == 0:
+            words = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+            pattern = pattern.replace("password|passwd|secret|token|api_?key", words)
+        base += [(m.start(), no, m.end()) for m in re.finditer(pattern, text) if no or len(m[2]) >= 6]
+    more = set()
+    for _, pattern, least in secrets.CLASSES:
+        for m in re.finditer(pattern, text):
+            v = m[0]
+            if any(re.search(p, v) for p in secrets.ALLOWED):
+                continue
+            hits = [i for i in range(len(v) - 19) if -sum(n / 20 * math.log2(n / 20) for n in Counter(v[i : i + 20]).values()) >= least - 1e-9]
+            if hits:
+                more.add((m.start() + hits[0], 3, m.start() + hits[-1] + 20))
+    more = {x for x in more if not any(b[0] <= x[0] and b[2] >= x[2] for b in base)}
+    return ",".join(f"{secrets.KINDS[no]}:{a}:{b}" for a, no, b in sorted([*base, *more]))
+
+
+def test_secrets_against_brute_force(spark):
+    """The whole smallest documents table, and made texts of many matches and mixed runs."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    letters = list(secrets.ALPHABET)
+    made = ["".join(rng.choice(letters[: int(rng.integers(4, 67))], int(rng.integers(20, 90)))) for _ in range(300)]
+    made += [" ".join(f"token={'ab' * (i % 5)}c{i} é" for i in range(700)), "f" * 23 + " " + "0123456789abcdef" * 4, "字 password: 'hunter22' AKIA" + "Z" * 20]
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(extra)
+    got = {r.doc_id: r.s for r in secrets.secret_spans(docs).select("doc_id", secrets.span_list(F.col("spans")).alias("s")).collect()}
+    assert got == {r.doc_id: brute_spans(r.text or "") for r in docs.collect()}
+
+
+def test_secrets_in_a_very_long_run(spark):
+    """A run of a million characters takes time in proportion to its length."""
+    import time
+
+    rng = np.random.default_rng(4)
+    run = "".join(rng.choice(list(secrets.ALPHABET), 1_000_000))
+    start = time.monotonic()
+    (row,) = secrets.secret_spans(spark.createDataFrame([(1, f"see {run} end")], "doc_id long, text string")).collect()
+    assert any(s.kind == "entropy" and s.end - s.start > 900_000 for s in row.spans) and time.monotonic() - start < 90
+
+
 # ---- 9
 
 def test_sharding(spark, docs, rows, empty):
