@@ -21,6 +21,8 @@ _BETWEEN = np.zeros(256, bool)
 _BETWEEN[:128] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _BETWEEN[_a:_b] = False
+#: Items of fewer words have more entries, as an edit of the first word would hide them.
+SHORT = 24
 #: Items are searched for in blocks of about so many bytes of text; one block's index is what a task holds.
 ITEM_BLOCK_BYTES = 8 << 20
 
@@ -59,12 +61,18 @@ def _classes(longest: int) -> list[tuple[int, int]]:
     return out
 
 
+def _entries(n: int, edits: int) -> list[int]:
+    """Where an item of n words is entered: at its start, a quarter, half and three quarters of it, as long as 8 words follow, and a short one that may be edited at each of its first words."""
+    out = {0} | {o for o in (n // 4, n // 2, 3 * n // 4) if n - o >= 8}
+    return sorted(out | set(range(1, edits + 2) if edits and n < SHORT else ()))
+
+
 class ItemIndex:
-    """The sampled keys of a block of items. Besides its start each item is entered at a quarter, half and three quarters of its words, where the rest of it is the window."""
+    """The sampled keys of a block of items; windows are what follows each of an item's entries. ids: the ids of the items with these words."""
 
-    def __init__(self, ids: np.ndarray, words: list[np.ndarray], search: Search):
+    def __init__(self, ids: list[list[int]], words: list[np.ndarray], search: Search):
         self.search, self.ids, self.words = search, ids, words
-        entries = sorted({(len(w) - o, i, o) for i, w in enumerate(words) for o in (0, len(w) // 4, len(w) // 2, 3 * len(w) // 4) if len(w) and (o == 0 or len(w) - o >= 8)})
+        entries = sorted({(len(w) - o, i, o) for i, w in enumerate(words) if len(w) for o in _entries(len(w), int(search.edits * len(w)))})
         flat = np.concatenate([np.append(w, U(0)) for w in words]) if words else np.zeros(0, U)
         first = np.cumsum([0, *(len(w) + 1 for w in words)])
         self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -139,16 +147,16 @@ class ItemIndex:
         padded = np.insert(words | U(1 << 63), ends, U(0))  # a word is never 0
         begin = np.concatenate([[0], (ends + np.arange(1, n + 1))[:-1]]) if n else np.zeros(0, np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         for at, o, i in sorted(self.candidates(padded)):
             item = self.words[i]
             most = int(self.search.edits * len(item))
             d = int(np.searchsorted(begin, at, "right")) - 1
             a = int(max(begin[d], at - o - most))
             b = int(min(begin[d] + count[d], at - o + len(item) + most))
-            if (i, a) in tried:
+            if (i, a, b) in tried:
                 continue
-            tried.add((i, a))
+            tried.add((i, a, b))
             dist, end = infix_distance(self.masks(i), len(item), padded[a:b].tolist())
             if dist <= most:
                 start, length = self._place(item, padded[a : a + end])
@@ -211,8 +219,11 @@ def item_indexes(items: DataFrame, search: Search, id_col: str = "item_id", text
         buf, offs = column_bytes(got.column("text"))
         words, doc = word_hashes(buf, offs, _BETWEEN)
         per = [w | U(1 << 63) for w in np.split(words, np.searchsorted(doc, np.arange(1, got.num_rows)))] if got.num_rows else []
-        keep = [i for i, w in enumerate(per) if len(w)]
-        yield ItemIndex(got.column("item_id").to_numpy()[keep], [per[i] for i in keep], search)
+        same: dict[bytes, list[int]] = {}  # items of equal words are searched for once
+        for i, w in zip(got.column("item_id").to_pylist(), per, strict=True):
+            if len(w):
+                same.setdefault(w.tobytes(), []).append(i)
+        yield ItemIndex(list(same.values()), [np.frombuffer(w, U) for w in same], search)
 
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame, search: Search | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,9 +239,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, search: Search | None = N
 
         def run(batches, index=index):
             for rows, buf, offs in text_blocks(batches):
-                found = sorted(index.found(buf, offs).items())
-                doc = rows.column(0).take(pa.array([k[0] for k, _ in found], pa.int64()))
-                cols = [doc, pa.array(np.array([index.ids[k[1]] for k, _ in found], np.int64)), *(pa.array([v[j] for _, v in found], pa.int64()) for j in range(3))]
+                found = [(d, item, *place) for (d, i), place in sorted(index.found(buf, offs).items()) for item in index.ids[i]]
+                cols = [rows.column(0).take(pa.array([x[0] for x in found], pa.int64())), *(pa.array([x[j] for x in found], pa.int64()) for j in range(1, 5))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "distance", "start_word", "n_words"])
 
         part = docs.mapInArrow(run, "doc_id long, item_id long, distance long, start_word long, n_words long")

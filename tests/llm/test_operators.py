@@ -190,6 +190,26 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
 
 # ---- 5
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 26, 40, 80])
+def test_decontamination_recall(n):
+    """Items of n random words with as many random edits of words as are allowed, each inside other words: found by length."""
+    rng = np.random.default_rng(n)
+    some = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+    items, texts = [some(n) for _ in range(300)], []
+    for item in items:
+        w = list(item)
+        for _ in range(int(decontam.Search().edits * n)):
+            at, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (kind != 1)] = [] if kind == 2 else [f"x{rng.integers(10**6)}"]
+        texts.append(" ".join(some(30) + w + some(30)).encode())
+    offsets = lambda all_: np.cumsum([0, *map(len, all_)])
+    flat = [" ".join(w).encode() for w in items]
+    words, doc = kernels.word_hashes(np.frombuffer(b"".join(flat), np.uint8), offsets(flat), decontam._BETWEEN)
+    index = decontam.ItemIndex([[i] for i in range(300)], np.split(words | kernels.U(1 << 63), np.searchsorted(doc, np.arange(1, 300))), decontam.Search())
+    found = index.found(np.frombuffer(b"".join(texts), np.uint8), offsets(texts))
+    assert sum((i, i) in found for i in range(300)) >= 0.9 * 300
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, prose(50, 40)), (2, prose(51, 20)), (3, None), (4, ""), (5, "!!"), (None, "words of no item at all here")], "item_id long, text string")
     changed = prose(50, 40).split()
