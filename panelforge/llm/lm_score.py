@@ -22,7 +22,12 @@ MASS = 2.0
 HOT_SHARE = 0.01
 #: N-grams of documents that one task counts, in the mean.
 PER_TASK = 3_000_000
-_REGISTERS = 1 << 12
+#: Words of blocks that a task holds before it hands on those that differ.
+HELD_WORDS = 2_000_000
+#: Bytes of text that are dealt at a time: a row goes to each task, so larger blocks mean fewer rows.
+DEAL_BYTES = 2 << 20
+#: Bytes of a key that travel; the task's number stands for the rest.
+KEY_BYTES = 7
 _START = U(0x5851F42D4C957F2D)
 _HISTORY = U(0x14057B7EF767814F)
 
@@ -42,38 +47,29 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key, at, count, (key & U(1)) == 1, words
 
 
-def _registers(words: np.ndarray) -> np.ndarray:
-    """Registers of a HyperLogLog sketch of the distinct words."""
-    out = np.zeros(_REGISTERS, np.uint8)
-    h = mix(words)
-    rest = (h << U(12)) | U(1 << 11)
-    rank = 64 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64)
-    np.maximum.at(out, (h >> U(52)).astype(np.int64), np.clip(rank, 1, 60).astype(np.uint8))
-    return out
-
-
-def _distinct(registers: np.ndarray) -> float:
-    m = len(registers)
-    estimate = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0 ** -registers.astype(float))
-    empty = int((registers == 0).sum())
-    return m * np.log(m / empty) if empty and estimate <= 2.5 * m else float(estimate)
-
-
 def _survey(batches):
-    """Per task, kind 0: how many documents of a block have an n-gram that is common in it; 1: registers of the vocabulary's sketch; 2: documents (key 0) and n-grams (key 1)."""
-    total, docs, grams = np.zeros(_REGISTERS, np.uint8), 0, 0
+    """Per task, kind 0: how many documents of a block have an n-gram that is common in it; 1: the distinct words, as keys; 2: documents (key 0) and n-grams (key 1)."""
+    docs, grams, seen, held = 0, 0, [], 0
 
     def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
+    def distinct_words() -> pa.RecordBatch:
+        words = signed(np.unique(np.concatenate([*seen, np.zeros(0, U)])))
+        return out(1, words, np.ones(len(words)))
+
     for rows, buf, offs in text_blocks(batches):
         key, _, _, _, words = _grams(buf, offs)
-        total = np.maximum(total, _registers(words))
+        seen.append(np.unique(words))
+        held += len(seen[-1])
+        if held > HELD_WORDS:
+            yield distinct_words()
+            seen, held = [], 0
         docs, grams = docs + rows.num_rows, grams + len(key)
         k, n = np.unique(key, return_counts=True)
         own = n >= max(2, HOT_SHARE * rows.num_rows)
         yield out(0, signed(k[own]), n[own])
-    yield out(1, np.flatnonzero(total), total[total > 0])
+    yield distinct_words()
     yield out(2, np.arange(2), np.array([docs, grams]))
 
 
@@ -116,7 +112,7 @@ def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
-        for rows, buf, offs in text_blocks(batches):
+        for rows, buf, offs in text_blocks(batches, limit=DEAL_BYTES):
             n = rows.num_rows
             key, doc, count, history, words = _grams(buf, offs)
             side = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -134,13 +130,12 @@ def _deal(hot: np.ndarray, hot_counts: np.ndarray, vocabulary: float, tasks: int
             tokens = np.bincount(doc[~history], count[~history], n)
             marks = np.asarray(rows.column(0).is_null()).astype(np.uint8) | (side << 1).astype(np.uint8)
             key, doc, count = key[~own], doc[~own], count[~own]
-            to = ((key >> U(40)) % U(tasks)).astype(np.int64)
+            to = (((key >> U(32)) * U(tasks)) >> U(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             key, doc, count, to = key[order], doc[order], count[order], to[order]
             edge = np.searchsorted(to, np.arange(tasks + 1))
             some = np.flatnonzero(np.diff(edge))
-            # Five bytes of the key are enough beside the task's number.
-            low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
+            low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
             flags = np.packbits(side.astype(np.uint8)).tobytes()
             cols = [
                 pa.array(np.append(some, -1 - block % tasks).astype(np.int32)),
@@ -166,10 +161,10 @@ def _count_and_score(vocabulary: float):
         if not table.num_rows or table.column("task")[0].as_py() < 0:
             return table.select(names)
         blocks, n_docs, a, b, c, d = (table.column(x).to_pylist() for x in names)
-        size = np.array([len(x) // 5 for x in a])
-        low = np.frombuffer(b"".join(a), np.uint8).reshape(-1, 5)
+        size = np.array([len(x) // KEY_BYTES for x in a])
+        low = np.frombuffer(b"".join(a), np.uint8).reshape(-1, KEY_BYTES)
         key = np.zeros((len(low), 8), np.uint8)
-        key[:, :5] = low
+        key[:, :KEY_BYTES] = low
         key = key.view(np.uint64).ravel()
         doc = np.concatenate([np.cumsum(_unpack(x, m)) for x, m in zip(b, size, strict=True)])
         count = np.concatenate([_unpack(x, m) for x, m in zip(c, size, strict=True)])
@@ -213,21 +208,18 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     """(doc_id, n_tokens, target_loss, background_loss, score): per row of docs its loss per token (nats) under the bigram models of
     target and of docs, and their difference; the lower the score, the more a text is like target.
 
-    Words are parted by white space, A-Z lower-cased; both models share the vocabulary of all words of docs and target, whose size
-    comes from a sketch. All texts are counted whole, without a cut-off; a document is held against the background without its own
+    Words are parted by white space, A-Z lower-cased; both models share the vocabulary of all words of docs and target, whose
+    distinct hashes are counted. All texts are counted whole, without a cut-off; a document is held against the background without its own
     counts. Texts without words have no losses and no score. Rows are scored one by one, so repeated or null ids do no harm.
     """
     own = text_documents(docs, id_col, text_col).withColumn("side", F.lit(0))
     other = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{target_col}`").cast("string").alias("text"), F.lit(1).alias("side"))
     both = own.unionByName(other)
-    seen = both.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    seen = both.mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     seen = materialize(seen, "lm-survey")
     totals = {r["key"]: r["n"] for r in seen.where("kind = 2").collect()}
     n_docs, grams = totals.get(0, 0), totals.get(1, 0)
-    registers = np.zeros(_REGISTERS, np.uint8)
-    for r in seen.where("kind = 1").collect():
-        registers[r["key"]] = r["most"]
-    vocabulary = max(1.0, round(_distinct(registers)))
+    vocabulary = float(max(1, seen.where("kind = 1").count()))
     # At most (n-grams of a document in the mean) / HOT_SHARE rows, whatever the number of documents.
     hot = np.sort(seen.where((F.col("kind") == 0) & (F.col("n") >= max(2, HOT_SHARE * n_docs))).select("key").toArrow().column(0).to_numpy().view(np.uint64))
     counts = np.zeros((2, len(hot)), np.int64)
