@@ -23,44 +23,60 @@ class Feature:
     twin: str | None = None
 
 
-def _family(category: str, **sources: str) -> tuple[Feature, ...]:
-    return tuple(Feature(f"{category}_{name}", category, tuple(cols.split())) for name, cols in sources.items())
-
-
-_ASSETS, _EV = "cst_lt cst_seq", "MthCap cst_dlc cst_dltt cst_pstk cst_che"
-_R = ("ret_adj", "PERMNO")
-
-#: One entry per feature, in the order of the feature tables.
+#: The features and the columns that they are made of, in the order of the feature tables.
 REGISTRY: tuple[Feature, ...] = (
-    *_family("size", mktcap="MthCap", log_mktcap="MthCap", relative_mktcap="MthCap is_investable MthCalDt"),
-    *_family(
-        "value", bm="cst_seq cst_pstk cst_txditc MthCap", earnings_yield="cst_ni MthCap", cf_yield="cst_oancf MthCap", sales_to_price="cst_revt MthCap",
-        ebitda_to_ev=f"cst_ebitda {_EV}", cf_to_ev=f"cst_oancf {_EV}",
-    ),
+    Feature("size_mktcap", "size", ("MthCap",)),
+    Feature("size_log_mktcap", "size", ("MthCap",)),
+    Feature("size_relative_mktcap", "size", ("MthCap", "is_investable", "MthCalDt")),
+    Feature("value_bm", "value", ("cst_seq", "cst_pstk", "cst_txditc", "MthCap")),
+    Feature("value_earnings_yield", "value", ("cst_ni", "MthCap")),
+    Feature("value_cf_yield", "value", ("cst_oancf", "MthCap")),
+    Feature("value_sales_to_price", "value", ("cst_revt", "MthCap")),
+    Feature("value_ebitda_to_ev", "value", ("cst_ebitda", "MthCap", "cst_dlc", "cst_dltt", "cst_pstk", "cst_che")),
+    Feature("value_cf_to_ev", "value", ("cst_oancf", "MthCap", "cst_dlc", "cst_dltt", "cst_pstk", "cst_che")),
     Feature("mom_1m", "momentum", ("ret_adj",)),
-    *(Feature(f"mom_{n}m", "momentum", _R, n, n) for n in (3, 6, 9, 12)),
-    Feature("mom_12_1", "momentum", _R, 12, 12),
-    Feature("mom_6_1", "momentum", _R, 6, 6),
+    Feature("mom_3m", "momentum", ("ret_adj", "PERMNO"), 3, 3),
+    Feature("mom_6m", "momentum", ("ret_adj", "PERMNO"), 6, 6),
+    Feature("mom_9m", "momentum", ("ret_adj", "PERMNO"), 9, 9),
+    Feature("mom_12m", "momentum", ("ret_adj", "PERMNO"), 12, 12),
+    Feature("mom_12_1", "momentum", ("ret_adj", "PERMNO"), 12, 12),
+    Feature("mom_6_1", "momentum", ("ret_adj", "PERMNO"), 6, 6),
     Feature("reversal_1m", "reversal", ("ret_adj",), twin="mom_1m"),
-    *_family(
-        "quality", roe="cst_ni cst_seq", roa=f"cst_ni {_ASSETS}", gross_profitability=f"cst_gp {_ASSETS}", operating_profitability="cst_revt cst_cogs cst_xsga cst_xint cst_seq cst_pstk cst_txditc",
-        net_profit_margin="cst_ni cst_revt", gross_margin="cst_gp cst_revt", asset_turnover=f"cst_revt {_ASSETS}", cf_profitability=f"cst_oancf {_ASSETS}", cf_margin="cst_oancf cst_revt",
-        accruals=f"cst_ni cst_oancf {_ASSETS}",
-    ),
-    *(Feature(f"growth_{label}", "growth", (f"cst_{item}_growth",), least=2) for item, label in GROWTH_ITEMS.items()),
-    *_family(
-        "leverage", debt_to_assets=f"cst_dlc cst_dltt {_ASSETS}", debt_to_equity="cst_dlc cst_dltt cst_seq", lt_debt_ratio=f"cst_dltt {_ASSETS}", current_ratio="cst_act cst_lct",
-        cash_ratio="cst_che cst_lct", net_debt_to_assets=f"cst_dlc cst_dltt cst_che {_ASSETS}", interest_coverage="cst_ebit cst_xint",
-    ),
-    *_family("liquidity", dollar_volume="MthPrc MthVol", share_turnover="MthVol ShrOut", amihud_illiq="ret_adj MthPrc MthVol"),
-    Feature("vol_12m", "volatility", _R, 12, 6),
-    Feature("downside_vol_12m", "volatility", _R, 12, 6),
+    Feature("quality_roe", "quality", ("cst_ni", "cst_seq")),
+    Feature("quality_roa", "quality", ("cst_ni", "cst_lt", "cst_seq")),
+    Feature("quality_gross_profitability", "quality", ("cst_gp", "cst_lt", "cst_seq")),
+    Feature("quality_operating_profitability", "quality", ("cst_revt", "cst_cogs", "cst_xsga", "cst_xint", "cst_seq", "cst_pstk", "cst_txditc")),
+    Feature("quality_net_profit_margin", "quality", ("cst_ni", "cst_revt")),
+    Feature("quality_gross_margin", "quality", ("cst_gp", "cst_revt")),
+    Feature("quality_asset_turnover", "quality", ("cst_revt", "cst_lt", "cst_seq")),
+    Feature("quality_cf_profitability", "quality", ("cst_oancf", "cst_lt", "cst_seq")),
+    Feature("quality_cf_margin", "quality", ("cst_oancf", "cst_revt")),
+    Feature("quality_accruals", "quality", ("cst_ni", "cst_oancf", "cst_lt", "cst_seq")),
+    Feature("growth_asset", "growth", ("cst_at_proxy_growth",), least=2),
+    Feature("growth_sales", "growth", ("cst_revt_growth",), least=2),
+    Feature("growth_capx", "growth", ("cst_capx_growth",), least=2),
+    Feature("growth_inventory", "growth", ("cst_invt_growth",), least=2),
+    Feature("growth_receivables", "growth", ("cst_rect_growth",), least=2),
+    Feature("growth_ppent", "growth", ("cst_ppent_growth",), least=2),
+    Feature("growth_equity", "growth", ("cst_seq_growth",), least=2),
+    Feature("leverage_debt_to_assets", "leverage", ("cst_dlc", "cst_dltt", "cst_lt", "cst_seq")),
+    Feature("leverage_debt_to_equity", "leverage", ("cst_dlc", "cst_dltt", "cst_seq")),
+    Feature("leverage_lt_debt_ratio", "leverage", ("cst_dltt", "cst_lt", "cst_seq")),
+    Feature("leverage_current_ratio", "leverage", ("cst_act", "cst_lct")),
+    Feature("leverage_cash_ratio", "leverage", ("cst_che", "cst_lct")),
+    Feature("leverage_net_debt_to_assets", "leverage", ("cst_dlc", "cst_dltt", "cst_che", "cst_lt", "cst_seq")),
+    Feature("leverage_interest_coverage", "leverage", ("cst_ebit", "cst_xint")),
+    Feature("liquidity_dollar_volume", "liquidity", ("MthPrc", "MthVol")),
+    Feature("liquidity_share_turnover", "liquidity", ("MthVol", "ShrOut")),
+    Feature("liquidity_amihud_illiq", "liquidity", ("ret_adj", "MthPrc", "MthVol")),
+    Feature("vol_12m", "volatility", ("ret_adj", "PERMNO"), 12, 6),
+    Feature("downside_vol_12m", "volatility", ("ret_adj", "PERMNO"), 12, 6),
     Feature("beta_24m", "volatility", ("ret_adj", "ff_mktrf", "ff_rf", "PERMNO"), 24, 12),
     Feature("idio_vol_24m", "volatility", ("ret_adj", "ff_mktrf", "ff_rf", "PERMNO"), 24, 12),
-    Feature("max_ret_12m", "volatility", _R, 12, 6),
-    Feature("min_ret_12m", "volatility", _R, 12, 6),
-    Feature("skew_36m", "volatility", _R, 36, 24),
-)
+    Feature("max_ret_12m", "volatility", ("ret_adj", "PERMNO"), 12, 6),
+    Feature("min_ret_12m", "volatility", ("ret_adj", "PERMNO"), 12, 6),
+    Feature("skew_36m", "volatility", ("ret_adj", "PERMNO"), 36, 24),
+)
 
 NAMES = tuple(f.name for f in REGISTRY)
 #: For models: without features that repeat another.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.io import smallest
+
 SAMPLES = 10
 #: How one identifier is spelled in the raw tables.
 SPELLINGS = {"permno": ("PERMNO", "permno", "LPERMNO"), "permco": ("PERMCO", "permco", "LPERMCO"), "gvkey": ("GVKEY", "gvkey")}
@@ -20,34 +22,31 @@ def finding(counts: DataFrame, name: str, datasets: str, description: str, warn:
     )
 
 
-def _first(values: Column) -> Column:
-    """The SAMPLES smallest of the values as text, in a bounded sorted array."""
-    return F.transform(F.slice(F.array_sort(F.collect_set(values)), 1, SAMPLES), lambda v: v.cast("string"))
-
-
 def _missing(rows: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
     """rows with __missing: whether their column is in none of known's rows."""
     ids = known.select(F.col(known_column).alias("__id")).distinct()
     return rows.join(ids, F.col(column) == F.col("__id"), "left").withColumn("__missing", F.col("__id").isNull())
 
 
-def _affected(flag: Column, total: Column, sample: Column) -> list[Column]:
-    return [F.count_if(flag).alias("affected"), total.alias("total"), _first(F.when(flag, sample)).alias("samples")]
+def _found(rows: DataFrame, flag: Column, total: Column, sample: Column) -> DataFrame:
+    """One row: affected, total, and the SAMPLES smallest values of sample among the flagged rows, as text."""
+    samples = smallest(rows.where(flag), sample, SAMPLES).select(F.transform("samples", lambda v: v.cast("string")).alias("samples"))
+    return rows.agg(F.count_if(flag).alias("affected"), total.alias("total")).crossJoin(samples)
 
 
 def delisting_in_panel(panel: DataFrame, delisting: DataFrame) -> DataFrame:
-    found = _missing(delisting, "PERMNO", panel, "PERMNO").agg(*_affected(F.col("__missing"), F.count(F.lit(1)), F.col("PERMNO")))
+    found = _found(_missing(delisting, "PERMNO", panel, "PERMNO"), F.col("__missing"), F.count(F.lit(1)), F.col("PERMNO"))
     return finding(found, "delisting_permno_in_crsp_monthly", "crsp_delisting,crsp_monthly_stock", "delisting rows whose PERMNO the monthly table lacks")
 
 
 def delisting_returns(delisting: DataFrame) -> DataFrame:
-    found = delisting.agg(*_affected(F.col("DelRet").isNull(), F.count(F.lit(1)), F.col("PERMNO")))
+    found = _found(delisting, F.col("DelRet").isNull(), F.count(F.lit(1)), F.col("PERMNO"))
     return finding(found, "delisting_missing_delret", "crsp_delisting", "delisting rows without a delisting return")
 
 
 def delisting_successors(panel: DataFrame, delisting: DataFrame) -> DataFrame:
     rows = _missing(delisting.where("DelPERMNO <> 0"), "DelPERMNO", panel, "PERMNO")
-    found = rows.agg(*_affected(F.col("__missing"), F.count(F.lit(1)), F.col("DelPERMNO")))
+    found = _found(rows, F.col("__missing"), F.count(F.lit(1)), F.col("DelPERMNO"))
     return finding(found, "delisting_successor_permno_in_crsp_monthly", "crsp_delisting,crsp_monthly_stock", "successor securities that the monthly table lacks")
 
 
@@ -57,7 +56,7 @@ def missing_delistings(panel: DataFrame, delisting: DataFrame, months: int = 6)
     end = panel.agg(F.max("MthCalDt").alias("end"))  # one row
     gone = last.crossJoin(F.broadcast(end)).where(F.col("last") < F.add_months("end", -months))
     rows = _missing(gone.withColumnRenamed("PERMNO", "entity"), "entity", delisting, "PERMNO")
-    found = rows.agg(*_affected(F.col("__missing"), F.count(F.lit(1)), F.col("entity")))
+    found = _found(rows, F.col("__missing"), F.count(F.lit(1)), F.col("entity"))
     return finding(found, "possible_missing_delisting_records", "crsp_monthly_stock,crsp_delisting", f"securities without a month in the last {months} and without a delisting row")
 
 
@@ -68,7 +67,7 @@ def _coverage(links: DataFrame, key: str, known: DataFrame, known_key: str, date
     ends = links.groupBy(key).agg(F.max("LINKENDDT").alias("end"), F.max(F.col("LINKENDDT").isNull()).alias("open"))
     rows = _missing(ends.where(F.col(key).isNotNull()).withColumnRenamed(key, "entity"), "entity", known, known_key).where("__missing").crossJoin(F.broadcast(start))
     unexplained = F.col("open") | ~F.coalesce(F.col("end") < F.col("start"), F.lit(False))
-    return finding(rows.agg(*_affected(unexplained, F.count(F.lit(1)), F.col("entity"))), name, datasets, "linked entities that the table lacks although their links reach its first date; total: all that it lacks")
+    return finding(_found(rows, unexplained, F.count(F.lit(1)), F.col("entity")), name, datasets, "linked entities that the table lacks although their links reach its first date; total: all that it lacks")
 
 
 def link_permnos(links: DataFrame, panel: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def link_gvkeys(links: DataFrame, annual: DataFrame) -> DataFrame:
 
 def annual_links(links: DataFrame, annual: DataFrame) -> DataFrame:
     rows = _missing(annual.select(F.col("GVKEY").alias("entity")).distinct(), "entity", links, "gvkey")
-    found = rows.agg(*_affected(F.col("__missing"), F.count(F.lit(1)), F.col("entity")))
+    found = _found(rows, F.col("__missing"), F.count(F.lit(1)), F.col("entity"))
     return finding(found, "compustat_gvkey_in_ccm", "compustat_fundamentals_annual,ccm_link_table", "fundamentals entities without any link row")
 
 
@@ -92,14 +91,14 @@ def link_overlaps(links: DataFrame) -> DataFrame:
     rows = links.withColumn("__over", F.coalesce(end > F.lead("LINKDT").over(w), F.lit(False)))
     groups = rows.groupBy("gvkey", "LIID").agg(F.max("__over").alias("over"))
     label = F.concat(F.lit("gvkey="), F.col("gvkey").cast("string"), F.lit(", LIID="), F.col("LIID"))
-    return finding(groups.agg(*_affected(F.col("over"), F.count(F.lit(1)), label)), "ccm_link_period_overlaps", "ccm_link_table", "(gvkey, LIID) groups with overlapping windows")
+    return finding(_found(groups, F.col("over"), F.count(F.lit(1)), label), "ccm_link_period_overlaps", "ccm_link_table", "(gvkey, LIID) groups with overlapping windows")
 
 
 def factor_months(factors: DataFrame, panel: DataFrame) -> DataFrame:
     """Calendar months of the panel that the factor table lacks."""
     months = panel.select(F.date_format("MthCalDt", "yyyy-MM").alias("month")).distinct()
     known = factors.select(F.date_format("dateff", "yyyy-MM").alias("known"))
-    found = _missing(months, "month", known, "known").agg(*_affected(F.col("__missing"), F.count(F.lit(1)), F.col("month")))
+    found = _found(_missing(months, "month", known, "known"), F.col("__missing"), F.count(F.lit(1)), F.col("month"))
     return finding(found, "fama_french_month_coverage", "fama_french_5f_momentum_monthly,crsp_monthly_stock", "months of the monthly table that the factor table lacks")
 
 

@@ -11,7 +11,7 @@ from panelforge.operators.cleaning import resolve_duplicate_keys
 
 #: Annual items that are no facts to attach.
 NOT_VALUES = ("GVKEY", "datadate", "indfmt", "consol", "popsrc", "datafmt", "curcd")
-#: Items whose growth over fiscal years is taken: item -> name of the feature.
+#: Items whose growth over fiscal years is taken: item -> name of the feature.
 GROWTH_ITEMS = {"at_proxy": "asset", "revt": "sales", "capx": "capx", "invt": "inventory", "rect": "receivables", "ppent": "ppent", "seq": "equity"}
 
 
@@ -88,10 +88,18 @@ def growth_table(annual: DataFrame, positive: bool = True) -> DataFrame:
     return with_previous.select("GVKEY", "datadate", *(growth(c).alias(f"{c}_growth") for c in GROWTH_ITEMS))
 
 
-def attach_growth(panel: DataFrame, annual: DataFrame) -> DataFrame:
-    """panel with cst_<item>_growth under the same lag and shelf life as the levels."""
-    out = attach_annual(panel, growth_table(annual), [f"{c}_growth" for c in GROWTH_ITEMS], prefix="cst_", book="growth_")
-    return out.drop("growth_available_date", "growth_age_months", "growth_expired")
+def attach_growth(panel: DataFrame, annual: DataFrame, lag_months: int = 6) -> DataFrame:
+    """panel with cst_<item>_growth of the fiscal row that its levels come from, under the same lag and shelf life.
+
+    The as-of join that brought the levels has left that row's date of availability, so growth comes by an equi join; of rows with
+    one such date the latest counts, as there. Rows without gvkey don't take part.
+    """
+    names = [f"{c}_growth" for c in GROWTH_ITEMS]
+    growth = growth_table(annual).where("GVKEY is not null and datadate is not null").groupBy(F.col("GVKEY").alias("__key"), F.add_months("datadate", lag_months).alias("__from"))
+    growth = growth.agg(F.max_by(F.struct(*names), "datadate").alias("__growth"))
+    keyed = panel.where("gvkey is not null").join(growth, (F.col("gvkey") == F.col("__key")) & (F.col("cst_available_date") == F.col("__from")), "left")
+    keyed = keyed.withColumns({f"cst_{c}": F.when(~F.col("cst_expired"), F.col(f"__growth.{c}")) for c in names}).drop("__key", "__from", "__growth")
+    return keyed.unionByName(panel.where("gvkey is null"), allowMissingColumns=True)
 
 
 def fundamentals_flag(panel: DataFrame) -> DataFrame:

@@ -71,9 +71,7 @@ def factor_regression(returns: DataFrame, factors: DataFrame, names: tuple[str,
         if len(g) < len(names) + 5:
             return pd.DataFrame(columns=[f.split()[0] for f in fields.split(", ")])
         b, t, r2 = newey_west(g[column].to_numpy(float), g[list(names)].to_numpy(float))
-        out = {"model": g["model"].iloc[0], "n_months": len(g), "alpha": b[0], "alpha_t_stat": t[0]}
-        for i, f in enumerate(names, 1):
-            out |= {f"{f}_beta": b[i], f"{f}_t_stat": t[i]}
-        return pd.DataFrame([out | {"r_squared": r2}])
+        row = [g["model"].iloc[0], len(g), *np.stack([b, t], axis=1).ravel(), r2]
+        return pd.DataFrame([row], columns=[f.split()[0] for f in fields.split(", ")])
 
     return rows.groupBy("model").applyInPandas(fit, fields)

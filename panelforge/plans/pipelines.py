@@ -91,9 +91,11 @@ def run_backtest(spark: SparkSession, processed: str, reports: str, horizon: int
     master = read_table(spark, processed, "master_panel").drop("year")
     realized = portfolio.realized_returns(targets.targets(panel.investable(master), horizon))
     held = portfolio.weights(read_table(spark, reports, "predictions"), deciles)
-    returns = portfolio.portfolio_returns(held, realized, bps)
+    returns = portfolio.portfolio_returns(held.cache(), realized, bps).cache()
     factors = portfolio.factor_months(master, list(performance.FACTORS))
     out = {"portfolio_returns": returns, "performance": performance.performance(returns), "cost_sensitivity": performance.cost_sensitivity(returns), "factor_regression": performance.factor_regression(returns, factors)}
     for name, df in out.items():
         write_result(df, reports, name)
+    returns.unpersist()
+    held.unpersist()
     return out

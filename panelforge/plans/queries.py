@@ -462,7 +462,7 @@ def m2_m3_training_panel(spark, sf_dir):
 
 
 def _usable(spark, sf_dir, families=("momentum",)) -> tuple[DataFrame, list[targets.Fold], DataFrame]:
-    table = _training(spark, sf_dir, families).where("is_investable")
+    table = _training(spark, sf_dir, families).where("is_investable").cache()  # months, predictions and returns all read it; clearCache() ends it
     folds = targets.walk_forward_folds(targets.months_of(table), CONFIG)
     return table, folds, targets.folds_table(spark, folds)
 
@@ -504,7 +504,7 @@ def m9_fama_macbeth_coefficients(spark, sf_dir):
 def m10_m16_tune_ridge(spark, sf_dir):
     """Trials of the ridge grid on every fold's inner split, over all model features."""
     table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    table, names, rows = table.cache(), list(features.MODEL_NAMES), []
+    names, rows = list(features.MODEL_NAMES), []
     for f in folds:
         _, _, trials = models.tune(models.RIDGE, targets.between(table, f.train_start, f.inner_train_end), targets.between(table, f.inner_val_start, f.inner_val_end), names, "target_demeaned", CONFIG.seed)
         rows += [(f.fold_id, p["alpha"], ic_) for p, ic_ in trials]
@@ -515,7 +515,7 @@ def m10_m16_tune_ridge(spark, sf_dir):
 def m18_walk_forward(spark, sf_dir):
     """Baselines and all estimators over all folds and model features."""
     table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    return models.walk_forward(table.cache(), list(features.MODEL_NAMES), "target_demeaned", folds, models.runners(), CONFIG)
+    return models.walk_forward(table, list(features.MODEL_NAMES), "target_demeaned", folds, models.runners(), CONFIG)
 
 
 _RANKED = """
@@ -538,7 +538,7 @@ def m20_ic_summary(spark, sf_dir):
 def m21_m22_permutation_importance(spark, sf_dir):
     """Category importances of ridge over all model features, on every fold's inner validation rows."""
     table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    return models.category_importance(models.permutation_importance(models.RIDGE, table.cache(), list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
+    return models.category_importance(models.permutation_importance(models.RIDGE, table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
 
 
 @query(_m("""select 'fold_purge_embargo' as check_name, cast(1 as bigint) as passed, cast(0 as bigint) as affected union all select 'folds_expanding', 1, 0

@@ -19,7 +19,7 @@ INTERIM = ("crsp_monthly_stock", "crsp_delisting", "ccm_link_table", "compustat_
 def load_raw(spark: SparkSession, spec: DatasetSpec, folder: str) -> DataFrame:
     """CSV scan with the declared schema, dates as strings; other column names raise, and a missing file raises FileNotFoundError. The path may lie in any store that Spark reads."""
     try:
-        return spark.read.schema(spec.raw_schema()).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(f"{folder}/{spec.filename}")
+        return spark.read.schema(spec.raw_ddl).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(f"{folder}/{spec.filename}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{folder}/{spec.filename}") from e
@@ -43,14 +43,16 @@ def date_class(raw: Column, sentinels: Iterable[str] = (), formats: Iterable[str
 
 
 def date_counts(df: DataFrame, column: str, sentinels: Iterable[str] = (), formats: Iterable[str] = DATE_FORMATS) -> DataFrame:
-    """One row: column, n_valid, n_sentinel, n_invalid, min_date, max_date and the five smallest distinct invalid values. One pass."""
+    """One row: column, n_valid, n_sentinel, n_invalid, min_date, max_date and the five smallest distinct invalid values."""
     kind, date = date_class(F.col(column), sentinels, formats), parsed_date(F.col(column), formats)
     valid = F.when(kind == "valid", date)
-    samples = F.slice(F.array_sort(F.collect_set(F.when(kind == "invalid", F.col(column)))), 1, 5)
-    return df.agg(
-        F.lit(column).alias("column"), *(F.count_if(kind == k).alias(f"n_{k}") for k in ("valid", "sentinel", "invalid")),
-        F.min(valid).alias("min_date"), F.max(valid).alias("max_date"), samples.alias("invalid_samples"),
-    )
+    counts = df.agg(F.lit(column).alias("column"), *(F.count_if(kind == k).alias(f"n_{k}") for k in ("valid", "sentinel", "invalid")), F.min(valid).alias("min_date"), F.max(valid).alias("max_date"))
+    return counts.crossJoin(smallest(df.where(kind == "invalid"), F.col(column), 5).withColumnRenamed("samples", "invalid_samples"))
+
+
+def smallest(df: DataFrame, value: Column, n: int) -> DataFrame:
+    """One row with samples, the n smallest distinct values in order: each task keeps n, so no group gathers all values."""
+    return df.select(value.alias("v")).where("v is not null").distinct().orderBy("v").limit(n).agg(F.array_sort(F.collect_list("v")).alias("samples"))
 
 
 def parse_dates(df: DataFrame, spec: DatasetSpec) -> DataFrame:

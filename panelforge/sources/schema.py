@@ -1,70 +1,59 @@
-"""Specs of the six raw datasets: columns and types, dates, keys, sentinels."""
+"""Specs of the six raw datasets: columns and types, keys, sentinels."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import types as T
-
-_TYPES = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType()}
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class DatasetSpec:
-    """What is known of one raw file. Dates are read as strings first, so that bad values can be counted."""
+    """What is known of one raw file: its columns as DDL, its key, and by date column the texts that stand for no date."""
 
     name: str
-    filename: str
-    columns: tuple[tuple[str, str], ...]
-    date_columns: tuple[str, ...] = ()
-    key: tuple[str, ...] | None = None
-    ids: tuple[str, ...] = ()
-    sentinels: dict[str, dict[str, str]] = field(default_factory=dict)
+    ddl: str
+    key: tuple[str, ...] | None
+    sentinels: dict[str, frozenset[str]]
 
-    def raw_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c, _TYPES["string" if t == "date" else t]) for c, t in self.columns])
+    @property
+    def filename(self) -> str:
+        return f"{self.name}.csv"
 
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c, _TYPES[t]) for c, t in self.columns])
+    @property
+    def types(self) -> dict[str, str]:
+        return dict(part.split() for part in self.ddl.split(","))
 
+    @property
+    def date_columns(self) -> tuple[str, ...]:
+        return tuple(c for c, kind in self.types.items() if kind == "DATE")
 
-def _columns(text: str) -> tuple[tuple[str, str], ...]:
-    """'type: a b; type: c' -> ((a, type), (b, type), (c, type))."""
-    return tuple((c, kind.strip()) for kind, names in (part.split(":") for part in text.split(";")) for c in names.split())
+    @property
+    def raw_ddl(self) -> str:
+        """Dates are read as strings first, so that bad values can be counted."""
+        return self.ddl.replace(" DATE", " STRING")
 
 
+#: Names, types and keys of the raw tables; E ends a link that is still active.
 DATASETS = {
-    s.name: s
-    for s in (
-        DatasetSpec(
-            "crsp_monthly_stock", "crsp_monthly_stock.csv",
-            _columns("long: PERMNO; string: HdrCUSIP CUSIP Ticker; long: PERMCO SICCD; date: MthCalDt; double: MthPrc MthCap MthRet MthRetx; string: MthRetFlg; double: MthVol; long: ShrOut"),
-            ("MthCalDt",), ("PERMNO", "MthCalDt"), ("PERMNO", "PERMCO", "CUSIP", "HdrCUSIP", "Ticker"),
-        ),
-        DatasetSpec(
-            "crsp_delisting", "crsp_delisting.csv", _columns("long: PERMNO; date: DelistingDt; string: DelActionType DelReasonType; long: DelPERMNO; double: DelRet"),
-            ("DelistingDt",), ("PERMNO",), ("PERMNO", "DelPERMNO"),
-        ),
-        DatasetSpec(
-            "crsp_names", "crsp_names.csv", _columns("long: permno permco; string: cusip ticker issuernm securitytype sharetype; long: siccd; string: primaryexch"),
-            (), None, ("permno", "permco", "cusip", "ticker"),
-        ),
-        DatasetSpec(
-            "ccm_link_table", "ccm_link_table.csv", _columns("long: gvkey; string: tic LINKPRIM LIID LINKTYPE; long: LPERMNO LPERMCO; date: LINKDT LINKENDDT"),
-            ("LINKDT", "LINKENDDT"), ("gvkey", "LIID", "LINKDT"), ("gvkey", "LPERMNO", "LPERMCO"), {"LINKENDDT": {"E": "open-ended: the link is still active"}},
-        ),
-        DatasetSpec(
-            "compustat_fundamentals_annual", "compustat_fundamentals_annual.csv",
-            _columns(
-                "long: GVKEY; date: datadate; long: fyear; string: indfmt consol popsrc datafmt curcd; date: apdedate; string: costat; double: prcc_f act capx ceq che cogs csho dlc dltt dp ebit ebitda gp ib invt lct lt ni oancf ppent pstk pstkr rect revt sale seq sret txdi txditc xint xrd xsga"
-            ),
-            ("datadate", "apdedate"), ("GVKEY", "datadate"), ("GVKEY",),
+    name: DatasetSpec(name, ddl, key, {"LINKENDDT": frozenset("E")} if name == "ccm_link_table" else {})
+    for name, ddl, key in (
+        (
+            "crsp_monthly_stock",
+            "PERMNO LONG, HdrCUSIP STRING, CUSIP STRING, Ticker STRING, PERMCO LONG, SICCD LONG, MthCalDt DATE, MthPrc DOUBLE, MthCap DOUBLE, MthRet DOUBLE, MthRetx DOUBLE, MthRetFlg STRING, MthVol DOUBLE, ShrOut LONG",
+            ("PERMNO", "MthCalDt"),
         ),
-        DatasetSpec(
-            "fama_french_5f_momentum_monthly", "fama_french_5f_momentum_monthly.csv", _columns("date: dateff; double: mktrf smb hml rmw cma rf umd"), ("dateff",), ("dateff",)
+        ("crsp_delisting", "PERMNO LONG, DelistingDt DATE, DelActionType STRING, DelReasonType STRING, DelPERMNO LONG, DelRet DOUBLE", ("PERMNO",)),
+        ("crsp_names", "permno LONG, permco LONG, cusip STRING, ticker STRING, issuernm STRING, securitytype STRING, sharetype STRING, siccd LONG, primaryexch STRING", None),
+        ("ccm_link_table", "gvkey LONG, tic STRING, LINKPRIM STRING, LIID STRING, LINKTYPE STRING, LPERMNO LONG, LPERMCO LONG, LINKDT DATE, LINKENDDT DATE", ("gvkey", "LIID", "LINKDT")),
+        (
+            "compustat_fundamentals_annual",
+            "GVKEY LONG, datadate DATE, fyear LONG, indfmt STRING, consol STRING, popsrc STRING, datafmt STRING, curcd STRING, apdedate DATE, costat STRING, prcc_f DOUBLE, act DOUBLE, capx DOUBLE, ceq DOUBLE, "
+            "che DOUBLE, cogs DOUBLE, csho DOUBLE, dlc DOUBLE, dltt DOUBLE, dp DOUBLE, ebit DOUBLE, ebitda DOUBLE, gp DOUBLE, ib DOUBLE, invt DOUBLE, lct DOUBLE, lt DOUBLE, ni DOUBLE, oancf DOUBLE, ppent DOUBLE, "
+            "pstk DOUBLE, pstkr DOUBLE, rect DOUBLE, revt DOUBLE, sale DOUBLE, seq DOUBLE, sret DOUBLE, txdi DOUBLE, txditc DOUBLE, xint DOUBLE, xrd DOUBLE, xsga DOUBLE",
+            ("GVKEY", "datadate"),
         ),
+        ("fama_french_5f_momentum_monthly", "dateff DATE, mktrf DOUBLE, smb DOUBLE, hml DOUBLE, rmw DOUBLE, cma DOUBLE, rf DOUBLE, umd DOUBLE", ("dateff",)),
     )
-}
+}
 
 
 def dataset(name: str) -> DatasetSpec:

@@ -157,6 +157,26 @@ def test_newey_west_without_lags_matters():
     assert np.allclose(b, [0.5, 1.0, -2.0], atol=0.05) and (abs(t) > 20).all() and r2 > 0.99
 
 
+def test_newey_west_against_sums_written_out():
+    """Lag weights, both directions of a lag and the sandwich, each as a plain double sum."""
+    rng = np.random.default_rng(7)
+    n = 60
+    x = rng.normal(size=(n, 2))
+    e = np.convolve(rng.normal(size=n + 3), [1.0, 0.6, 0.3, 0.1], "valid")
+    y = 0.2 + x @ [0.5, -0.4] + e
+    b, t, _ = performance.newey_west(y, x)
+    z = np.column_stack([np.ones(n), x])
+    u = y - z @ b
+    lags = max(1, round(4 * (n / 100) ** (2 / 9)))
+    s = np.zeros((3, 3))
+    for i in range(n):
+        for j in range(n):
+            if abs(i - j) <= lags:
+                s += (1 - abs(i - j) / (lags + 1)) * u[i] * u[j] * np.outer(z[i], z[j])
+    bread = np.linalg.inv(sum(np.outer(r, r) for r in z))
+    assert lags == 4 and np.allclose(b, np.linalg.solve(z.T @ z, z.T @ y)) and np.allclose(t, b / np.sqrt(np.diag(bread @ s @ bread)))
+
+
 def test_ic(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("a", 3.0, 2.0), ("a", None, 9.0), ("b", 1.0, 1.0), ("c", 1.0, 5.0), ("c", 2.0, 5.0)], "g string, y_true double, y_pred double")
     got = {r.g: (r.ic, r.n) for r in ic.ic_by(df, ["g"]).collect()}
@@ -185,7 +205,7 @@ def test_default_runners_are_all_estimators_and_trees_score(spark, day):
     rng = np.random.default_rng(3)
     x = rng.normal(size=200)
     df = spark.createDataFrame([(i, day("2000-01-31"), float(v), float(v**2)) for i, v in enumerate(x)] + [(200, day("2000-01-31"), None, 1.0)], "PERMNO long, MthCalDt date, f double, t double")
-    few = {"random_forest": {"trees": (5,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,), "l2_regularization": (0.0,)}}
+    few = {"random_forest": {"trees": (5,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,)}}
     small = tuple(replace(e, grid=few[e.name]) for e in models.ESTIMATORS if e.name in few)
     for name in few:
         got = models.runners(small)[name](df, df, df, df, ["f"], "t", targets.ModelConfig())

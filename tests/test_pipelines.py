@@ -24,9 +24,9 @@ def test_jobs(spark, tmp_path):
     os.makedirs(raw)
     for name, spec in DATASETS.items():
         df = tables.get(name)
-        rows = df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c, _ in spec.columns)).toPandas() if df else None
+        rows = df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in spec.types)).toPandas() if df else None
         if rows is None:
-            text = ",".join(c for c, _ in spec.columns) + "\n"
+            text = ",".join(c for c in spec.types) + "\n"
             (tmp_path / "raw" / spec.filename).write_text(text)
         else:
             if name == "ccm_link_table":
