@@ -33,8 +33,8 @@ def test_jobs(spark, tmp_path):
                 rows["LINKENDDT"] = rows["LINKENDDT"].astype(object).where(rows["LINKENDDT"].notna(), "E")
             if name == "crsp_monthly_stock":
                 rows = rows._append(rows.iloc[:3])  # exact duplicates
-            for c, kind in spec.columns:
-                if kind == "long":
+            for c, kind in spec.types.items():
+                if kind == "LONG":
                     rows[c] = rows[c].astype("Int64")
             rows.to_csv(tmp_path / "raw" / spec.filename, index=False)
     found = P.validate(spark, raw, interim, reports)
