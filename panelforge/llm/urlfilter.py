@@ -33,7 +33,7 @@ def prefix_rule(verdict: str, host: str, path: str) -> Rule:
 def word_rule(words: str, verdict: str = "block") -> Rule:
     """Fits URLs that have the words (parted by - or _ or nothing but a sign) side by side anywhere in host or path."""
     parts = tuple(words.split("-"))
-    return Rule(None, verdict, r"(?:^|[^A-Za-z0-9])" + "[^A-Za-z0-9]".join(rf"\Q{p}\E" for p in parts) + r"(?:$|[^A-Za-z0-9])", parts, 0)
+    return Rule(None, verdict, r"(?:^|[^A-Za-z0-9])" + "[^A-Za-z0-9]".join(rf"\Q{p}\E" for p in parts) + r"(?:$|[^A-Za-z0-9])", tuple(p for p in parts if p), 0)
 
 
 #: The rules of the query.
@@ -61,8 +61,10 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + WORD_R
     """(page_id, host, path, rule, verdict): the best fitting named rule, or null; its verdict, else block if a nameless rule fits, else allow.
 
     Each rule waits under that of its tokens which fewest URLs have, counted over all pages for the tokens of the rules alone.
-    Rows that repeat an id and URL each get a result; a null id is kept.
+    Rows that repeat an id and URL each get a result; a null id is kept. A rule without a token can't be indexed: ValueError.
     """
+    if bare := [r.pattern for r in rules if not r.tokens]:
+        raise ValueError(f"rules need a token of letters or digits: {', '.join(bare)}")
     spark = pages.sparkSession
     urls = with_host_path(pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"))).select("page_id", "host", "path")
     whole = F.concat("host", "path")

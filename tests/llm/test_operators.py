@@ -393,6 +393,11 @@ def test_sharding(spark, docs, rows, empty):
 
 # ---- 10
 
+def test_url_rules_need_a_token(spark):
+    with pytest.raises(ValueError, match="token"):
+        urlfilter.url_verdicts(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), (urlfilter.word_rule("-"),))
+
+
 def test_urls(spark):
     urls = [
         "http://a.example.com/en/7x?q", "http://example.com/en/1", "https://EXAMPLE.net/de/8#t", "https://x.net/de/9", "http://xorg/es/1", "http://y.org/es/", "http://y.org/es", "no scheme", None, "", "x://",
