@@ -7,17 +7,22 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.kernels import LOWER, SPACE, SpanHasher, signed
 from panelforge.llm.shared import materialize, text_blocks, text_documents
 
 _HASHES = SpanHasher(21), SpanHasher(22)
-_STREAM = "kind int, h1 long, h2 long, doc_id long, pos int, docs long"
+_STREAM = "kind int, h1 long, h2 long, doc_id long, pos long, docs long"
 _DROP, _OPEN, _EDGE = 0, 1, 2
 
 
+def _mark(text: Column) -> Column:
+    """31 bits that tell the texts of one id apart; they travel above the 32 bits of a line's number."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
 def _line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, number in the document, start and end of every line; an empty text has one empty line."""
     n = len(offs) - 1
@@ -45,7 +50,7 @@ def _line_rows(min_chars: int):
             low = LOWER[buf]
             h1, h2 = (h(low, s, e) for h in _HASHES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(h1)), pa.array(signed(h2)), rows.column(0).take(pa.array(doc[some])), pa.array(pos[some].astype(np.int32))],
+                [pa.array(signed(h1)), pa.array(signed(h2)), rows.column(0).take(pa.array(doc[some])), pa.array(rows.column(2).to_numpy()[doc[some]] << 32 | pos[some])],
                 names=["h1", "h2", "doc_id", "pos"],
             )
 
@@ -62,7 +67,7 @@ def _first_occurrences(min_docs: int):
     def out(kind, h1, h2, doc, pos, docs=None):
         n = len(doc)
         fill = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(np.broadcast_to(np.asarray(x, np.int64), n))
-        pos = pa.nulls(n, pa.int32()) if pos is None else pa.array(np.asarray(pos, np.int32))
+        pos = pa.nulls(n, pa.int64()) if pos is None else pa.array(np.asarray(pos, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), fill(h1), fill(h2), pa.array(np.asarray(doc, np.int64)), pos, fill(docs)], names=["kind", "h1", "h2", "doc_id", "pos", "docs"])
 
     def run(batches):
@@ -141,18 +146,18 @@ def _first_occurrences(min_docs: int):
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, partitions: int | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, keep): keep is a zlib-compressed bitmap of the lines that stay, most significant bit first.
+    """(doc_id, n_lines, n_dropped, keep, mark): keep is a zlib-compressed bitmap of the lines that stay, most significant bit first.
 
     A line's key is the line without the white space `[\\x20\\x09-\\x0D]` at its ends, A-Z lower-cased. A key of min_chars code points
     or more that is found in min_docs documents or more loses all its lines except in the largest doc_id that holds it. A null or
     empty text has one empty line, which stays. Rows without an id count for nothing and lose nothing. Rows that repeat an id are one
-    document with one bitmap.
+    document; each of its texts has its own bitmap, told apart by mark.
 
     Lines are range-partitioned by (hash, document), so that a line of very many documents spreads over many partitions.
     """
-    docs = text_documents(docs, id_col, text_col)
+    docs = text_documents(docs, id_col, text_col).withColumn("mark", _mark(F.col("text")))
     named = docs.where("doc_id is not null")
-    lines = named.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc_id long, pos int")
+    lines = named.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc_id long, pos long")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
     dealt = lines.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("pos"))
@@ -161,7 +166,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     opened = found.where(f"kind = {_OPEN}").select("h1", "h2", "doc_id", "pos")
     opened = opened.join(F.broadcast(edges), ["h1", "h2"]).where("doc_id < top")  # two rows a partition at most
     drops = found.where(f"kind = {_DROP}").select("doc_id", "pos").unionByName(opened.select("doc_id", "pos"))
-    drops = drops.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
+    drops = drops.groupBy("doc_id", F.shiftright("pos", 32).alias("mark")).agg(F.collect_set(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))).alias("dropped"))
 
     @F.pandas_udf("binary")
     def bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -175,9 +180,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(made)
 
     text = F.coalesce("text", F.lit(""))
-    counted = docs.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    out = counted.join(drops, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), bitmap("n_lines", "dropped").alias("keep"))
+    counted = docs.select("doc_id", "mark", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    out = counted.join(drops, ["doc_id", "mark"], "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), bitmap("n_lines", "dropped").alias("keep"), "mark")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
@@ -198,9 +203,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             made.append("\n".join(x for x, b in zip(lines, bits.tolist(), strict=True) if b))
         return pd.Series(made)
 
-    marks = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("keep").alias("__keep"), F.col("n_dropped").alias("__n")).dropDuplicates(["__id"])
+    marks = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("keep").alias("__keep"), F.col("n_dropped").alias("__n")).dropDuplicates(["__id", "__mark"])
     # Always by a shuffle: which texts change grows with the input, so a broadcast would only serve small ones.
-    both = docs.hint("merge").join(marks, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    both = docs.hint("merge").join(marks, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (_mark(F.col(f"`{text_col}`")) == F.col("__mark")), "left")
     cut = kept(F.when(F.col("__keep").isNotNull(), F.col(f"`{text_col}`")), F.col("__keep"))
     text = F.when(F.col("__keep").isNotNull(), cut).otherwise(F.col(f"`{text_col}`"))
     more = [F.coalesce("__n", F.lit(0)).cast("long").alias(dropped_col)] if dropped_col else []

@@ -233,6 +233,14 @@ def test_infix_distance():
 
 # ---- 6
 
+def test_line_dedup_of_ids_with_two_texts(spark):
+    """Each text of an id loses its own repeated lines, wherever they are, and no others."""
+    line = "this line is found in many documents"
+    data = [(1, f"{line}\na"), (1, f"first line that nobody else has\n{line}\nb\nc\nd\ne\nf\ng\nh\ni"), (2, line), (3, f"x\n{line}"), (1, "clean\nlines\nonly")]
+    got = sorted(r.text for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).where("doc_id = 1").collect())
+    assert got == ["a", "clean\nlines\nonly", "first line that nobody else has\nb\nc\nd\ne\nf\ng\nh\ni"]
+
+
 def test_line_dedup(docs, rows, empty):
     strip = " \t\n\x0b\x0c\r"
     holders = defaultdict(set)
