@@ -112,3 +112,21 @@ def shown(dates: str = "", ints: str = "", doubles: str = "", texts: str = "", d
     """A select list in the form that both engines give: dates as text, counts and flags as bigint, doubles rounded."""
     out = [f"cast(cast({c} as date) as varchar) as {c}" for c in dates.split()] + [f"cast({c} as {'double' if c in NULLABLE else 'bigint'}) as {c}" for c in ints.split()]
     return ", ".join(out + [f"round({c}, {3 if c in COARSE else digits}) + 0.0 as {c}" for c in doubles.split()] + texts.split())
+
+
+def least_squares(rows: str, by: str, y: str, xs: list[str]) -> str:
+    """CTEs after a relation `rows`, which end in `fitted`: rows with w0 (constant), w1, ..., so that a group's sum of wi * y is the i-th coefficient, and the residual e.
+
+    The columns are made orthogonal one after another, and the weights follow from the last to the first.
+    """
+    n, over = len(xs) + 1, f"over (partition by {by})"
+    steps = [f"gs0 as (select *, cast(1 as double) as v0, {', '.join(f'cast({x} as double) as v{i}' for i, x in enumerate(xs, 1))} from {rows})"]
+    for j in range(n):
+        r = "".join(f", sum(v{k} * v{j}) {over} / sum(v{j} * v{j}) {over} as r{j}_{k}" for k in range(j + 1, n))
+        less = ", ".join(f"v{k} - r{j}_{k} * v{j} as v{k}" for k in range(j + 1, n))
+        steps.append(f"gs{j + 1} as (select *{f' replace ({less})' if less else ''} from (select *, sum(v{j} * v{j}) {over} as s{j}{r} from gs{j}))")
+    inner = f"gs{n}"
+    for k in reversed(range(n)):
+        inner = f"(select *, v{k} / s{k}{''.join(f' - r{k}_{i} * w{i}' for i in range(k + 1, n))} as w{k} from {inner})"
+    line = " + ".join(f"sum(w{i} * {y}) {over} * {x}" for i, x in enumerate(["1", *xs]))
+    return ",\n".join([*steps, f"fitted as (select *, {y} - ({line}) as e from {inner})"])

@@ -397,12 +397,21 @@ def r1_to_r4_registry_coverage(spark, sf_dir):
 
 # ---- checks
 
-@query(O.raw_sql("""select 'no_duplicate_keys' as check_name, cast(count(*) - count(distinct (PERMNO, MthCalDt)) as bigint) as affected from raw
-union all select 'no_calendar_gaps', cast(count(*) as bigint) from (select year(MthCalDt) * 12 + month(MthCalDt) as m, lag(year(MthCalDt) * 12 + month(MthCalDt)) over (partition by PERMNO order by MthCalDt) as p from raw) where m - p > 1
-union all select 'no_infinite_values', cast(0 as bigint)
-union all select 'registry_source_columns_exist', cast(0 as bigint)
-union all select 'return_based_feature_bounds', cast(count(*) filter (where mom_1m < -1) + count(*) filter (where mom_12m < -1) + count(*) filter (where min_ret_12m < -1) as bigint) from raw
-union all select 'denominator_handling', cast(0 as bigint)""", ["mom_1m", "mom_12m", "min_ret_12m"]))
+_SOURCES = sorted({c for f in features.REGISTRY for c in f.sources})
+
+
+def _affected(parts: dict[str, str]) -> str:
+    return " union all ".join(f"select '{name}' as check_name, cast(coalesce({n}, 0) as bigint) as affected" for name, n in parts.items())
+
+
+@query(O.ready_sql(_affected({
+    "no_duplicate_keys": "(select count(*) - count(distinct (PERMNO, MthCalDt)) from plain)",
+    "no_calendar_gaps": "(select count(*) from (select year(MthCalDt) * 12 + month(MthCalDt) as m, lag(year(MthCalDt) * 12 + month(MthCalDt)) over (partition by PERMNO order by MthCalDt) as p from plain) where m - p > 1)",
+    "no_infinite_values": f"(select {' + '.join(f'count(case when isinf({c}) then 1 end)' for c in features.NAMES)} from plain)",
+    "registry_source_columns_exist": f"(select count(*) from (select unnest([{', '.join(map(repr, _SOURCES))}]) as c) where c not in (select unnest(json_keys(to_json(r))) from (select * from ready limit 1) r))",
+    "return_based_feature_bounds": f"(select {' + '.join(f'count(case when {c} < -1 then 1 end)' for c in checks.RETURN_FEATURES)} from plain)",
+    "denominator_handling": f"(select {' + '.join(f'count(case when {f} is not null and ({d} is null or {d} <= 0) then 1 end)' for f, d in checks.DENOMINATORS.items())} from plain)",
+}), f"plain as (select *, {', '.join(f'{O.FEATURES[c]} as {c}' for c in features.NAMES)} from ready)"))
 def v1_to_v6_table_checks(spark, sf_dir):
     master, t = _master(spark, sf_dir)
     raw, ready = features.raw_features(master, t["compustat_fundamentals_annual"]), features.prepared(master, t["compustat_fundamentals_annual"])
@@ -489,15 +498,28 @@ def _predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return scored.select("PERMNO", "MthCalDt", F.lit("momentum_sort").alias("model"), "fold_id", F.col("target_demeaned").alias("y_true"), "y_pred"), table, folds
 
 
-@query(_m(f"select {O.shown('MthCalDt', 'PERMNO fold_id', 'y_true y_pred', 'model')} from preds", _P))
+_EW = "(select PERMNO, MthCalDt, model, fold_id, y_true, y_pred from preds union all select PERMNO, MthCalDt, 'equal_weight', fold_id, target_demeaned, 0.0 from usable join folds on MthCalDt between test_start and test_end)"
+
+
+@query(_m(f"select {O.shown('MthCalDt', 'PERMNO fold_id', 'y_true y_pred', 'model')} from {_EW}", _P))
 def m7_m8_baseline_predictions(spark, sf_dir):
-    return shown(_predictions(spark, sf_dir)[0])
+    """The momentum baseline and the equal-weight one over all folds' test months."""
+    momentum, table, folds = _predictions(spark, sf_dir)
+    flat = models.equal_weight(None, None, None, targets.fold_rows(table, folds, "test"), [], "target_demeaned", CONFIG)
+    return shown(momentum.unionByName(flat.select("PERMNO", "MthCalDt", F.lit("equal_weight").alias("model"), "fold_id", F.col("target_demeaned").alias("y_true"), "y_pred")))
 
 
-@query()
+_CROSS = f"""
+cross_section as (select * from (select MthCalDt, target_demeaned, {', '.join(MODEL_FEATURES)}, count(*) over (partition by MthCalDt) as n_rows from training where target_demeaned is not null and {' and '.join(f'{c} is not null' for c in MODEL_FEATURES)}) where n_rows >= {len(MODEL_FEATURES) + 5}),
+{O.least_squares('cross_section', 'MthCalDt', 'target_demeaned', MODEL_FEATURES)},
+monthly as (select MthCalDt, {', '.join(f'sum(w{i} * target_demeaned) as b{i}' for i in range(len(MODEL_FEATURES) + 1))} from fitted group by 1)"""
+
+
+@query(O.raw_sql(f"select {O.shown('MthCalDt', '', ' '.join(f'b{i}' for i in range(len(MODEL_FEATURES) + 1)))} from monthly", MODEL_FEATURES, f"{_T},{_CROSS}"))
 def m9_fama_macbeth_coefficients(spark, sf_dir):
-    """A regression per month over all features of the model list that need no annual facts."""
-    return models.monthly_regressions(_training(spark, sf_dir), MODEL_FEATURES, "target_demeaned")
+    """A regression per month over all features of the model list that need no annual facts: b0 is the constant."""
+    monthly = models.monthly_regressions(_training(spark, sf_dir), MODEL_FEATURES, "target_demeaned")
+    return shown(monthly.select("MthCalDt", *(F.col("coefficients")[i].alias(f"b{i}") for i in range(len(MODEL_FEATURES) + 1))))
 
 
 @query()
@@ -541,9 +563,12 @@ def m21_m22_permutation_importance(spark, sf_dir):
     return models.category_importance(models.permutation_importance(models.RIDGE, table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
 
 
-@query(_m("""select 'fold_purge_embargo' as check_name, cast(1 as bigint) as passed, cast(0 as bigint) as affected union all select 'folds_expanding', 1, 0
-union all select 'no_duplicate_predictions', cast(count(*) = count(distinct (PERMNO, MthCalDt, model)) as bigint), cast(count(*) - count(distinct (PERMNO, MthCalDt, model)) as bigint) from preds
-union all select 'predictions_within_test_window', cast(count(*) = 0 as bigint), cast(count(*) as bigint) from preds p join folds f on p.fold_id = f.fold_id where not MthCalDt between test_start and test_end""", _P))
+@query(_m("select check_name, cast(affected = 0 as bigint) as passed, affected from (" + _affected({
+    "fold_purge_embargo": "(select count(*) from folds where year(test_start) * 12 + month(test_start) - year(train_end) * 12 - month(train_end) <= 1)",
+    "folds_expanding": "(select count(*) from (select *, lag(train_start) over (order by fold_id) as s, lag(train_end) over (order by fold_id) as e from folds) where train_start <> s or train_end <= e)",
+    "no_duplicate_predictions": "(select count(*) - count(distinct (PERMNO, MthCalDt, model)) from preds)",
+    "predictions_within_test_window": "(select count(*) from preds p left join folds f on p.fold_id = f.fold_id where coalesce(not MthCalDt between test_start and test_end, true))",
+}) + ")", _P))
 def v13_to_v17_model_checks(spark, sf_dir):
     predictions, _, folds = _predictions(spark, sf_dir)
     return shown(checks.model_checks(predictions, folds).select("check_name", "passed", "affected"))
@@ -605,10 +630,25 @@ def b8_cost_sensitivity(spark, sf_dir):
     return shown(performance.cost_sensitivity(_returns(spark, sf_dir)))
 
 
-@query()
+_LAGS = "greatest(1, round_even(4 * power(count(*) / 100.0, 2.0 / 9), 0))"
+_NW = f"""
+regressed as (select r.MthCalDt, r.model, r.net_return, {', '.join(performance.FACTORS)} from rets r join (select distinct MthCalDt, {', '.join(performance.FACTORS)} from master) f on r.MthCalDt = f.MthCalDt
+  where net_return is not null and {' and '.join(f'{c} is not null' for c in performance.FACTORS)}),
+{O.least_squares('regressed', 'model', 'net_return', list(performance.FACTORS))},
+scores as (select model, MthCalDt, net_return as y, e, i, w, row_number() over (partition by model, i order by MthCalDt) as t
+  from (select model, MthCalDt, net_return, e, unnest(range(0, {len(performance.FACTORS) + 1})) as i, unnest([{', '.join(f'w{i}' for i in range(len(performance.FACTORS) + 1))}]) as w from fitted)),
+lags as (select model, {_LAGS} as lag_max from fitted group by 1),
+spread as (select a.model, a.i, sum(case when a.t = b.t then 1 else 2 * (1 - (a.t - b.t) / (lag_max + 1)) end * a.w * a.e * b.w * b.e) as v
+  from scores a join scores b on a.model = b.model and a.i = b.i join lags l on a.model = l.model where a.t - b.t between 0 and lag_max group by 1, 2),
+coefs as (select s.model, s.i, sum(s.w * s.y) as b, sum(s.w * s.y) / sqrt(any_value(v)) as t_stat, count(*) as n_months, 1 - sum(e * e) / (var_pop(y) * count(*)) as r_squared
+  from scores s join spread p on s.model = p.model and s.i = p.i group by 1, 2)"""
+
+
+@query(_m(f"select model, cast(max(n_months) as bigint) as n_months, " + ", ".join(f"round(max(case when i = {i} then {x} end), 6) + 0.0 as {name}"
+    for i, f in enumerate(["alpha", *performance.FACTORS]) for x, name in (("b", f if i == 0 else f"{f}_beta"), ("t_stat", f"{f}_t_stat"))) + f", round(max(r_squared), 6) + 0.0 as r_squared from coefs group by model having max(n_months) >= {len(performance.FACTORS) + 5}", f"{_P},{_W},{_R},{_NW}"))
 def b9_b10_factor_regression(spark, sf_dir):
     master, _ = _master(spark, sf_dir)
-    return performance.factor_regression(_returns(spark, sf_dir), portfolio.factor_months(master, list(performance.FACTORS)))
+    return shown(performance.factor_regression(_returns(spark, sf_dir), portfolio.factor_months(master, list(performance.FACTORS))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
