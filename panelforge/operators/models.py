@@ -11,12 +11,13 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.features import REGISTRY
-from panelforge.operators.ic import pooled_ic
+from panelforge.operators.ic import pooled_ic, pooled_ics
+from panelforge.operators.linear import LinearModel, Moments, elastic_net, moments, ridge
 from panelforge.operators.targets import Fold, ModelConfig, between, complete_cases
 
 #: A runner scores a fold's test rows: (train, inner_train, inner_val, test, features, target, config) -> test rows with y_pred.
@@ -25,42 +26,31 @@ Runner = Callable[[DataFrame, DataFrame, DataFrame, DataFrame, list[str], str, M
 
 @dataclass(frozen=True)
 class Estimator:
-    """name; grid: parameter -> values; build(parameters, rows, population std of the target, seed) -> a Spark ML estimator."""
+    """name; grid: parameter -> values; and one of: build(parameters, seed) -> a Spark ML estimator; solve(moments, parameters) -> a linear model."""
 
     name: str
     grid: dict[str, tuple]
-    build: Callable[[dict, int, float, int], object]
+    build: Callable[[dict, int], object] | None = None
+    solve: Callable[[Moments, dict], LinearModel] | None = None
 
     def candidates(self) -> list[dict]:
         return [dict(zip(self.grid, values, strict=True)) for values in product(*self.grid.values())]
 
 
-def _linear(regularization: float, l1: float) -> LinearRegression:
-    own = {"solver": "normal"} if l1 == 0 else {"maxIter": 1000, "tol": 1e-9}
-    return LinearRegression(featuresCol="__x", labelCol="__y", predictionCol="y_pred", standardization=False, regParam=regularization, elasticNetParam=l1, **own)
-
-
-def _elastic(p: dict, n: int, sd: float, seed: int) -> LinearRegression:
-    """The L2 part is scaled by the target's spread, as Spark divides the target by it."""
-    a, r = p["alpha"], p["l1_ratio"]
-    total = a * (r + (1 - r) * sd)
-    return _linear(total, a * r / total if total else 0.0)
-
-
-def _forest(p: dict, n: int, sd: float, seed: int) -> RandomForestRegressor:
+def _forest(p: dict, seed: int) -> RandomForestRegressor:
     columns = {"sqrt": "sqrt"}.get(p["max_features"], str(p["max_features"]))
     return RandomForestRegressor(featuresCol="__x", labelCol="__y", predictionCol="y_pred", numTrees=p.get("trees", 300), maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"], featureSubsetStrategy=columns, seed=seed)
 
 
-def _boosting(p: dict, n: int, sd: float, seed: int) -> GBTRegressor:
+def _boosting(p: dict, seed: int) -> GBTRegressor:
     """Unbounded depth stands for 5; Spark's trees have no L2 term."""
     return GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="y_pred", maxDepth=p["max_depth"] or 5, stepSize=p["learning_rate"], maxIter=p.get("rounds", 100), seed=seed)
 
 
 #: The parameter grids. Boosting is without the axis of the L2 term, which Spark's trees don't have: it would fit each candidate twice.
-RIDGE = Estimator("ridge", {"alpha": (0.1, 1.0, 10.0, 100.0)}, lambda p, n, sd, seed: _linear(p["alpha"] / n * sd, 0.0))
-LASSO = Estimator("lasso", {"alpha": (0.0001, 0.001, 0.01, 0.1)}, lambda p, n, sd, seed: _linear(p["alpha"], 1.0))
-ELASTIC_NET = Estimator("elastic_net", {"alpha": (0.001, 0.01, 0.1), "l1_ratio": (0.1, 0.5, 0.9)}, _elastic)
+RIDGE = Estimator("ridge", {"alpha": (0.1, 1.0, 10.0, 100.0)}, solve=lambda m, p: ridge(m, p["alpha"]))
+LASSO = Estimator("lasso", {"alpha": (0.0001, 0.001, 0.01, 0.1)}, solve=lambda m, p: elastic_net(m, p["alpha"], 1.0))
+ELASTIC_NET = Estimator("elastic_net", {"alpha": (0.001, 0.01, 0.1), "l1_ratio": (0.1, 0.5, 0.9)}, solve=lambda m, p: elastic_net(m, p["alpha"], p["l1_ratio"]))
 RANDOM_FOREST = Estimator("random_forest", {"max_depth": (3, 5, 8), "min_samples_leaf": (50, 200, 1000), "max_features": ("sqrt", 0.5)}, _forest)
 GRADIENT_BOOSTING = Estimator("hist_gradient_boosting", {"max_depth": (3, 5, None), "learning_rate": (0.01, 0.05, 0.1)}, _boosting)
 ESTIMATORS = (RIDGE, LASSO, ELASTIC_NET, RANDOM_FOREST, GRADIENT_BOOSTING)
@@ -74,30 +64,57 @@ def _vectors(df: DataFrame, features: list[str], target: str | None = None) -> D
 def fit(estimator: Estimator, params: dict, train: DataFrame, features: list[str], target: str, seed: int = 42):
     """Fits on the complete cases; None without any."""
     rows = complete_cases(train, [*features, target])
-    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop(target)).first()
-    if not n:
+    if estimator.solve:
+        m = moments(rows, [*features, target])
+        return m and estimator.solve(m, params)
+    if not rows.take(1):
         return None
-    return estimator.build(params, n, sd or 1.0, seed).fit(_vectors(rows, features, target))
+    return estimator.build(params, seed).fit(_vectors(rows, features, target))
+
+
+def linear_score(coefficients: Column, features: list[str]) -> Column:
+    """The constant comes first in coefficients."""
+    return coefficients[0] + sum((coefficients[i] * F.col(f) for i, f in enumerate(features, 1)), F.lit(0.0))
+
+
+def _line(model: LinearModel, features: list[str]) -> Column:
+    return F.lit(model.intercept) + sum((float(b) * F.col(f) for b, f in zip(model.coefficients, features, strict=True)), F.lit(0.0))
 
 
 def score(model, df: DataFrame, features: list[str]) -> DataFrame:
     """df's rows with all features, with y_pred."""
-    return model.transform(_vectors(complete_cases(df, features), features)).drop("__x")
+    rows = complete_cases(df, features)
+    if isinstance(model, LinearModel):
+        return rows.withColumn("y_pred", _line(model, features))
+    return model.transform(_vectors(rows, features)).drop("__x")
 
 
 def tune(estimator: Estimator, train: DataFrame, validation: DataFrame, features: list[str], target: str, seed: int = 42, threads: int = 4) -> tuple[dict, float | None, list[tuple[dict, float | None]]]:
-    """Best parameters by the IC pooled over the validation rows, the first strict maximum; without any IC the first candidate. Candidates fit side by side."""
-    train, validation = complete_cases(train, [*features, target]).cache(), complete_cases(validation, [*features, target]).cache()
-
-    def one(params: dict) -> tuple[dict, float | None]:
-        model = fit(estimator, params, train, features, target, seed)
-        return params, None if model is None else pooled_ic(score(model, validation, features), target, "y_pred")
-
-    try:
-        with ThreadPoolExecutor(threads) as pool:
-            trials = list(pool.map(one, estimator.candidates()))
-    finally:
-        train.unpersist(), validation.unpersist()
+    """Best parameters by the IC pooled over the validation rows, the first strict maximum; without any IC the first candidate.
+
+    Linear candidates share one pass over the training rows and one over the validation rows; others fit side by side.
+    """
+    candidates, needed = estimator.candidates(), [*features, target]
+    validation = complete_cases(validation, needed)
+    if estimator.solve:
+        m = moments(complete_cases(train, needed), needed)
+        ics = [None] * len(candidates)
+        if m:
+            lines = [_line(estimator.solve(m, p), features).alias(f"__p{i}") for i, p in enumerate(candidates)]
+            ics = pooled_ics(validation.select(target, *lines), target, [f"__p{i}" for i in range(len(candidates))])
+        trials = list(zip(candidates, ics, strict=True))
+    else:
+        train, validation = complete_cases(train, needed).cache(), validation.cache()
+
+        def one(params: dict) -> tuple[dict, float | None]:
+            model = fit(estimator, params, train, features, target, seed)
+            return params, None if model is None else pooled_ic(score(model, validation, features), target, "y_pred")
+
+        try:
+            with ThreadPoolExecutor(threads) as pool:
+                trials = list(pool.map(one, candidates))
+        finally:
+            train.unpersist(), validation.unpersist()
     best, at = None, 0
     for i, (_, ic) in enumerate(trials):
         if ic is not None and not math.isnan(ic) and (best is None or ic > best):
@@ -129,10 +146,6 @@ def monthly_regressions(df: DataFrame, features: list[str], target: str) -> Data
     return rows.groupBy("MthCalDt").applyInPandas(one, "MthCalDt date, coefficients array<double>")
 
 
-def linear_score(coefficients: Column, features: list[str]) -> Column:
-    return coefficients[0] + sum((coefficients[i] * F.col(f) for i, f in enumerate(features, 1)), F.lit(0.0))
-
-
 def fama_macbeth(train, inner_train, inner_val, test, features, target, config) -> DataFrame:
     """The mean of the months' regressions scores the test rows; null if no month could be fitted."""
     monthly = monthly_regressions(train, features, target)
@@ -196,8 +209,8 @@ def permutation_importance(estimator: Estimator, panel: DataFrame, features: lis
             continue
         for k in range(repeats):
             mixed = permuted(val, features, c.seed + 2 * k)
-            if hasattr(model, "coefficients"):
-                mixed = mixed.withColumn("__base", model.intercept + sum((float(b) * F.col(f) for b, f in zip(model.coefficients, features, strict=True)), F.lit(0.0)))
+            if isinstance(model, LinearModel):
+                mixed = mixed.withColumn("__base", _line(model, features))
                 base = F.col("__base")
                 moved = [base + float(b) * (F.col(f"p_{f}") - F.col(f)) for b, f in zip(model.coefficients, features, strict=True)]
                 errors = mixed.agg(F.avg((base - F.col(target)) ** 2), *(F.avg((m - F.col(target)) ** 2) for m in moved)).first()

@@ -11,6 +11,7 @@ from panelforge.operators import asof, checks, cleaning, crosssection, diagnosti
 from panelforge.plans import oracle as O
 from panelforge.plans.relations import by_raw_name, ctes, relations
 from panelforge.sources.io import date_counts
+from panelforge.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,7 +472,7 @@ def m2_m3_training_panel(spark, sf_dir):
 
 
 def _usable(spark, sf_dir, families=("momentum",)) -> tuple[DataFrame, list[targets.Fold], DataFrame]:
-    table = _training(spark, sf_dir, families).where("is_investable").cache()  # months, predictions and returns all read it; clearCache() ends it
+    table = materialize(_training(spark, sf_dir, families).where("is_investable"), "training")  # months, predictions and returns all read it
     folds = targets.walk_forward_folds(targets.months_of(table), CONFIG)
     return table, folds, targets.folds_table(spark, folds)
 
@@ -603,7 +604,7 @@ def b2_score_weights(spark, sf_dir):
 
 def _returns(spark, sf_dir) -> DataFrame:
     predictions, table, _ = _predictions(spark, sf_dir)
-    return portfolio.portfolio_returns(portfolio.weights(predictions), portfolio.realized_returns(table))
+    return portfolio.portfolio_returns(materialize(portfolio.weights(predictions), "holdings"), portfolio.realized_returns(table))
 
 
 @query(_m(f"select {O.shown('MthCalDt', '', 'turnover', 'model')} from turn", f"{_P},{_W},{_R}"))

@@ -191,10 +191,18 @@ def test_estimators_match_closed_forms(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "f double, g double, t double")
     ridge = models.fit(models.RIDGE, {"alpha": 10.0}, df, ["f", "g"], "t")
     xc, yc = x - x.mean(0), y - y.mean()
-    assert np.allclose(ridge.coefficients.toArray(), np.linalg.solve(xc.T @ xc + 10 * np.eye(2), xc.T @ yc), atol=1e-8)
+    assert np.allclose(ridge.coefficients, np.linalg.solve(xc.T @ xc + 10 * np.eye(2), xc.T @ yc), atol=1e-8)
     lasso = models.fit(models.LASSO, {"alpha": 10.0}, df, ["f", "g"], "t")
-    assert np.allclose(lasso.coefficients.toArray(), 0)
-    small = models.Estimator("forest", {}, lambda p, n, sd, seed: models._forest({"max_depth": 3, "min_samples_leaf": 5, "max_features": "sqrt", "trees": 5}, n, sd, seed))
+    assert np.allclose(lasso.coefficients, 0)
+    for params in ({"alpha": 0.1, "l1_ratio": 0.5}, {"alpha": 0.01, "l1_ratio": 0.9}):  # no step improves the objective
+        net = models.fit(models.ELASTIC_NET, params, df, ["f", "g"], "t")
+        loss = lambda b, p=params: ((yc - xc @ b) ** 2).mean() / 2 + p["alpha"] * (p["l1_ratio"] * abs(b).sum() + (1 - p["l1_ratio"]) / 2 * (b**2).sum())
+        assert all(loss(net.coefficients + step * e) > loss(net.coefficients) for e in np.eye(2) for step in (-1e-4, 1e-4))
+        assert math.isclose(net.intercept, y.mean() - net.coefficients @ x.mean(0), abs_tol=1e-9)
+    scored = models.score(ridge, df, ["f", "g"]).toPandas()
+    assert np.allclose(scored.y_pred, ridge.intercept + scored[["f", "g"]].to_numpy() @ ridge.coefficients)
+    assert models.fit(models.RIDGE, {"alpha": 1.0}, df.where("f is null"), ["f", "g"], "t") is None
+    small = models.Estimator("forest", {}, lambda p, seed: models._forest({"max_depth": 3, "min_samples_leaf": 5, "max_features": "sqrt", "trees": 5}, seed))
     assert models.score(models.fit(small, {}, df, ["f", "g"], "t"), df, ["f", "g"]).count() == 120
     best, value, trials = models.tune(models.RIDGE, df, df, ["f", "g"], "t")
     assert len(trials) == 4 and value is not None and best in [p for p, _ in trials]
