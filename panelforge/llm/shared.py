@@ -3,32 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are handed to the numpy kernels in blocks of about so many bytes.
-BLOCK_BYTES = 1 << 19
-
+from panelforge.sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, which must be set; a folder of the driver's own would be lost on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder.rstrip("/")
+__all__ = ["BLOCK_BYTES", "column_bytes", "give_back", "materialize", "shared_dir", "text_blocks", "text_documents"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it again, which cuts the lineage; lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Texts are handed to the numpy kernels in blocks of about so many bytes.
+BLOCK_BYTES = 1 << 19
 
 
 def text_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
