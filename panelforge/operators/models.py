@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -19,6 +20,7 @@ from panelforge.operators.features import REGISTRY
 from panelforge.operators.ic import pooled_ic, pooled_ics
 from panelforge.operators.linear import LinearModel, Moments, elastic_net, moments, ridge
 from panelforge.operators.targets import Fold, ModelConfig, between, complete_cases
+from panelforge.sources.shared import materialize
 
 #: A runner scores a fold's test rows: (train, inner_train, inner_val, test, features, target, config) -> test rows with y_pred.
 Runner = Callable[[DataFrame, DataFrame, DataFrame, DataFrame, list[str], str, ModelConfig], DataFrame]
@@ -169,18 +171,19 @@ def runners(estimators: tuple[Estimator, ...] = ESTIMATORS) -> dict[str, Runner]
 
 
 def walk_forward(panel: DataFrame, features: list[str], target: str, folds: list[Fold], models: dict[str, Runner], config: ModelConfig | None = None) -> DataFrame:
-    """(PERMNO, MthCalDt, model, fold_id, y_true, y_pred) of every fold and model."""
-    c, out = config or ModelConfig(), None
+    """(PERMNO, MthCalDt, model, fold_id, y_true, y_pred) of every fold and model. Each fold's predictions are written when its models are fitted."""
+    c, parts = config or ModelConfig(), []
     for fold in folds:
         train, test = between(panel, fold.train_start, fold.train_end), between(panel, fold.test_start, fold.test_end)
         inner_train, inner_val = between(panel, fold.train_start, fold.inner_train_end), between(panel, fold.inner_val_start, fold.inner_val_end)
+        scored = []
         for name, run in models.items():
             got = run(train, inner_train, inner_val, test, features, target, c)
-            got = got.select("PERMNO", "MthCalDt", F.lit(name).alias("model"), F.lit(fold.fold_id).alias("fold_id"), F.col(target).alias("y_true"), "y_pred")
-            out = got if out is None else out.unionByName(got)
-    if out is None:
+            scored.append(got.select("PERMNO", "MthCalDt", F.lit(name).alias("model"), F.lit(fold.fold_id).alias("fold_id"), F.col(target).alias("y_true"), "y_pred"))
+        parts.append(materialize(reduce(DataFrame.unionByName, scored), f"fold-{fold.fold_id}"))
+    if not parts:
         raise ValueError("there are no folds")
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def permuted(df: DataFrame, columns: list[str], seed: int) -> DataFrame:

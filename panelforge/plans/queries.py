@@ -534,11 +534,21 @@ def m10_m16_tune_ridge(spark, sf_dir):
     return spark.createDataFrame(rows, "fold_id int, alpha double, ic double")  # folds * candidates rows
 
 
+def _walk(spark: SparkSession, sf_dir: str, runners: dict[str, models.Runner]) -> DataFrame:
+    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
+    return models.walk_forward(table, list(features.MODEL_NAMES), "target_demeaned", folds, runners, CONFIG)
+
+
 @query()
 def m18_walk_forward(spark, sf_dir):
-    """Baselines and all estimators over all folds and model features."""
-    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    return models.walk_forward(table, list(features.MODEL_NAMES), "target_demeaned", folds, models.runners(), CONFIG)
+    """Baselines and linear estimators over all folds and model features; the trees are a query of their own, as they take many times longer."""
+    return _walk(spark, sf_dir, models.runners((models.RIDGE, models.LASSO, models.ELASTIC_NET)))
+
+
+@query()
+def m13_m14_walk_forward_trees(spark, sf_dir):
+    """Forest and boosting over all folds and model features, with their whole grids."""
+    return _walk(spark, sf_dir, {e.name: models.estimator_runner(e) for e in (models.RANDOM_FOREST, models.GRADIENT_BOOSTING)})
 
 
 _RANKED = """

@@ -20,8 +20,10 @@ def test_model_queries_take_the_whole_job(spark, monkeypatch, day):
     monkeypatch.setattr(models, "category_importance", lambda x: x)
     assert [tuple(r) for r in Q.QUERIES["m10_m16_tune_ridge"](spark, "").orderBy("fold_id").collect()] == [(f.fold_id, 1.0, 0.5) for f in folds]
     Q.QUERIES["m18_walk_forward"](spark, "")
+    Q.QUERIES["m13_m14_walk_forward_trees"](spark, "")
     Q.QUERIES["m21_m22_permutation_importance"](spark, "")
     names = list(features.MODEL_NAMES)
     assert len(folds) == 4 and len(names) == 50 and set(asked) == {tuple(features.FAMILIES)}
-    assert seen == [("tune", names)] * 4 + [("walk", names, folds, set(models.runners())), ("importance", names, folds, 5)]
+    trees = {"random_forest", "hist_gradient_boosting"}
+    assert seen == [("tune", names)] * 4 + [("walk", names, folds, set(models.runners()) - trees), ("walk", names, folds, trees), ("importance", names, folds, 5)]
     assert {e.name for e in models.ESTIMATORS} < set(models.runners())

@@ -11,7 +11,7 @@ from panelforge.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 #: Slow ones that have no SQL are covered by tests of their operators.
-SLOW = {"m18_walk_forward", "m21_m22_permutation_importance", "m10_m16_tune_ridge", "v7_to_v12_behaviour_checks"}
+SLOW = {"m18_walk_forward", "m13_m14_walk_forward_trees", "m21_m22_permutation_importance", "m10_m16_tune_ridge", "v7_to_v12_behaviour_checks"}
 
 
 @pytest.fixture(scope="module")
