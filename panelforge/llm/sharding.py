@@ -58,10 +58,11 @@ def shards(rows: DataFrame, n_shards: int = 24, ranges_per_shard: int = 256, sam
         def range_of(keys: pa.Array, ties: pa.Array) -> pa.Array:
             k, t = keys.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-            out = hi.astype(np.int32)
-            for i in np.flatnonzero(hi > lo):  # a cut lies in this group of equal texts
-                out[i] = lo[i] + np.searchsorted(tie[lo[i] : hi[i]], t[i], "right")
-            return pa.array(out)
+            while (open_ := lo < hi).any():  # cuts lie in these groups of equal texts: halve each row's span of them by its tie
+                middle = (lo + hi) // 2
+                above = open_ & (t >= tie[np.minimum(middle, len(tie) - 1)])
+                lo, hi = np.where(above, middle + 1, lo), np.where(open_ & ~above, middle, hi)
+            return pa.array(lo.astype(np.int32))
 
         return rows.withColumn("__range", range_of("key", "__tie"))
 

@@ -419,3 +419,49 @@ def test_urls(spark):
     assert all(got[i] == ("", "", None, "allow") for i in (7, 8, 9, 10))
     assert got[11][2:] == (None, "block") and got[12][2:] == (None, "allow") and got[13][2:] == (None, "block") and got[14][2] == "com/en/"
     assert urlfilter.url_verdicts(pages).count() == 16 and urlfilter.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_signatures_equal_a_rolling_hash_byte_by_byte(monkeypatch):
+    table = [int(x) for x in fuzzyhash._TABLE]
+
+    def plain(data: bytes) -> str:
+        hashes = []
+        for i in range(len(data)):
+            h = sum(table[data[i - j]] * 0x9E3779B1**j for j in range(min(7, i + 1))) % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            hashes.append(h ^ h >> 13)
+
+        def signature(size: int) -> str:
+            out, chunk = "", 0
+            for h in hashes:
+                chunk += h
+                if h % size == 0:
+                    out, chunk = out + letter(chunk), 0
+            return out + (letter(chunk) if chunk else "")
+
+        letter = lambda s: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[s * 0x9E3779B97F4A7C15 % 2**64 >> 58]
+        size = 1
+        while size * 2 <= len(data) // 128:
+            size *= 2
+        while sum(h % size == 0 for h in hashes) >= 64:
+            size *= 2
+        return ":".join([str(size), *(signature(size << k) for k in range(3))])
+
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"abc", b"same line\n" * 300, *(rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (7, 64, 500, 5000))]
+    want = [plain(t) for t in texts]
+    assert [fuzzyhash.fingerprint(t) for t in texts] == want
+    monkeypatch.setattr(fuzzyhash, "_PART", 100)
+    assert [fuzzyhash.fingerprint(t) for t in texts] == want
+
+
+def test_cuts_inside_a_group_of_equal_texts(spark):
+    """A third of all rows has one text: the group is cut by id, sizes stay near equal, and slots are gapless in the declared order."""
+    docs = spark.createDataFrame([(i, "x" * 40 if i % 3 == 0 else f"text {i} " * 5) for i in range(3000)], "doc_id long, text string")
+    got = sharding.shards(sharding.measured(docs), 7).toPandas()
+    assert sorted(got.doc_id) == list(range(3000))
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 7 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
+    in_order = got.sort_values(["key", "doc_id"])
+    assert (np.diff(in_order["shard"]) >= 0).all()
+    assert all((g["slot"].to_numpy() == np.arange(len(g))).all() for _, g in in_order.groupby("shard"))
