@@ -20,8 +20,9 @@ MIN_VALUE = 6
 WINDOW = 20
 #: Character classes of candidates and the bits a character that a window must reach.
 CLASSES = (("hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])", 2.9), ("base64", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}", 3.8))
-#: Candidates that the entropy scan passes over: letters alone (words), digits alone, joined words, placeholders.
-ALLOWED = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]*$", r"(?i:example|placeholder|changeme|xxxxx|00000)")
+#: Candidates that the entropy scan passes over: letters alone (words), digits alone, joined words, placeholders. Repeated groups are
+#: possessive, as Java's matcher else goes one call deeper for each repetition.
+ALLOWED = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]++(?:[-_/+=][A-Za-z]++)*+[-_/+=]*+$", r"(?i:example|placeholder|changeme|xxxxx|00000)")
 
 #: Characters that candidates are made of; each has a count in a window.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
@@ -102,7 +103,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Start and end count code points, end is exclusive. Base kinds are leftmost non-overlapping matches of their patterns, assign only
     with a value of 6 characters or more. Kind entropy: runs of hex or base64 characters with windows of high entropy, unless the
-    allow-list passes over them or a base span covers them. Null or empty texts have no spans; null ids are kept.
+    allow-list passes over them or a base span covers them. Null or empty texts have no spans; null ids are kept, repeated rows each have
+    a result, an empty table gives no rows.
     """
     docs = text_documents(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     span = lambda no, s, e, v: F.struct(s.cast("int").alias("start"), F.lit(no).alias("no"), e.cast("int").alias("end"), v.alias("value"))
