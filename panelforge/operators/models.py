@@ -1,167 +1,230 @@
-"""Baselines, Spark ML estimators, tuning, walk-forward runs and permutation importance."""
+"""Baselines, penalized linear models, histogram trees, tuning, walk-forward runs and permutation importance."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.permute import numbered, shuffled
 from panelforge.operators.features import REGISTRY
-from panelforge.operators.ic import pooled_ic, pooled_ics
-from panelforge.operators.linear import LinearModel, Moments, elastic_net, moments, ridge
-from panelforge.operators.targets import Fold, ModelConfig, between, complete_cases
+from panelforge.operators.ic import pooled_ics_by
+from panelforge.operators.linear import LinearModel, Moments, MonthlyMoments, elastic_net, least_squares, moments, monthly_moments, ridge
+from panelforge.operators.targets import Fold, ModelConfig, between, complete_cases, fold_rows, folds_table
+from panelforge.operators.trees import TreeModel, TreeSpec, fit_trees
 from panelforge.sources.shared import materialize
 
-#: A runner scores a fold's test rows: (train, inner_train, inner_val, test, features, target, config) -> test rows with y_pred.
-Runner = Callable[[DataFrame, DataFrame, DataFrame, DataFrame, list[str], str, ModelConfig], DataFrame]
+KEYS = ("PERMNO", "MthCalDt")
+Model = LinearModel | TreeModel
 
 
 @dataclass(frozen=True)
 class Estimator:
-    """name; grid: parameter -> values; and one of: build(parameters, seed) -> a Spark ML estimator; solve(moments, parameters) -> a linear model."""
+    """name; grid: parameter -> values; and one of: build(parameters, seed) -> trees; solve(moments, parameters) -> a linear model."""
 
     name: str
     grid: dict[str, tuple]
-    build: Callable[[dict, int], object] | None = None
+    build: Callable[[dict, int], TreeSpec] | None = None
     solve: Callable[[Moments, dict], LinearModel] | None = None
 
     def candidates(self) -> list[dict]:
         return [dict(zip(self.grid, values, strict=True)) for values in product(*self.grid.values())]
 
 
-def _forest(p: dict, seed: int) -> RandomForestRegressor:
-    columns = {"sqrt": "sqrt"}.get(p["max_features"], str(p["max_features"]))
-    return RandomForestRegressor(featuresCol="__x", labelCol="__y", predictionCol="y_pred", numTrees=p.get("trees", 300), maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"], featureSubsetStrategy=columns, seed=seed)
+def _forest(p: dict, seed: int) -> TreeSpec:
+    return TreeSpec(False, p["max_depth"], p.get("trees", 300), p["min_samples_leaf"], columns=p["max_features"], seed=seed)
 
 
-def _boosting(p: dict, seed: int) -> GBTRegressor:
-    """Unbounded depth stands for 5; Spark's trees have no L2 term."""
-    return GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="y_pred", maxDepth=p["max_depth"] or 5, stepSize=p["learning_rate"], maxIter=p.get("rounds", 100), seed=seed)
+def _boosting(p: dict, seed: int) -> TreeSpec:
+    """100 rounds, 31 leaves, 20 rows in a leaf."""
+    return TreeSpec(True, p["max_depth"], p.get("rounds", 100), p.get("min_samples_leaf", 20), p["learning_rate"], p.get("l2_regularization", 0.0), leaves=31, seed=seed)
 
 
-#: The parameter grids. Boosting is without the axis of the L2 term, which Spark's trees don't have: it would fit each candidate twice.
+#: The parameter grids.
 RIDGE = Estimator("ridge", {"alpha": (0.1, 1.0, 10.0, 100.0)}, solve=lambda m, p: ridge(m, p["alpha"]))
 LASSO = Estimator("lasso", {"alpha": (0.0001, 0.001, 0.01, 0.1)}, solve=lambda m, p: elastic_net(m, p["alpha"], 1.0))
 ELASTIC_NET = Estimator("elastic_net", {"alpha": (0.001, 0.01, 0.1), "l1_ratio": (0.1, 0.5, 0.9)}, solve=lambda m, p: elastic_net(m, p["alpha"], p["l1_ratio"]))
 RANDOM_FOREST = Estimator("random_forest", {"max_depth": (3, 5, 8), "min_samples_leaf": (50, 200, 1000), "max_features": ("sqrt", 0.5)}, _forest)
-GRADIENT_BOOSTING = Estimator("hist_gradient_boosting", {"max_depth": (3, 5, None), "learning_rate": (0.01, 0.05, 0.1)}, _boosting)
+GRADIENT_BOOSTING = Estimator("hist_gradient_boosting", {"max_depth": (3, 5, None), "learning_rate": (0.01, 0.05, 0.1), "l2_regularization": (0.0, 1.0)}, _boosting)
 ESTIMATORS = (RIDGE, LASSO, ELASTIC_NET, RANDOM_FOREST, GRADIENT_BOOSTING)
 
 
-def _vectors(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
-    out = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
-    return out.withColumn("__y", F.col(target).cast("double")) if target else out
+class Training:
+    """A panel's features, target and folds, with what all folds share."""
 
+    def __init__(self, panel: DataFrame, features: list[str], target: str, folds: list[Fold], config: ModelConfig | None = None):
+        self.panel, self.features, self.target, self.folds, self.config = panel, features, target, folds, config or ModelConfig()
+        self.table = folds_table(panel.sparkSession, folds) if folds else None
 
-def fit(estimator: Estimator, params: dict, train: DataFrame, features: list[str], target: str, seed: int = 42):
+    @property
+    def needed(self) -> list[str]:
+        return [*self.features, self.target]
+
+    def rows(self, part: str) -> DataFrame:
+        """The rows of a part (train, inner_train, inner_val, test) of all folds, with fold_id."""
+        return fold_rows(self.panel, self.table, part)
+
+    def window(self, fold: Fold, part: str) -> DataFrame:
+        """The complete rows of a training window of one fold: train or inner_train."""
+        return complete_cases(between(self.panel, fold.train_start, fold.train_end if part == "train" else fold.inner_train_end), self.needed)
+
+    @cached_property
+    def monthly(self) -> MonthlyMoments | None:
+        """Cross products by month, one pass over the complete rows for all windows of all folds."""
+        return monthly_moments(complete_cases(self.panel, self.needed), self.needed)
+
+    def moments(self, fold: Fold, part: str) -> Moments | None:
+        return self.monthly and self.monthly.between(fold.train_start, fold.train_end if part == "train" else fold.inner_train_end)
+
+
+#: A runner scores the test rows of all folds: training -> rows with fold_id and y_pred.
+Runner = Callable[[Training], DataFrame]
+
+
+def _fitted(estimator: Estimator, candidates: list[dict], m: Moments | None, rows: DataFrame, features: list[str], target: str, seed: int) -> list[Model | None]:
+    """A model for each candidate: linear ones from moments, trees from rows."""
+    if estimator.solve:
+        return [m and estimator.solve(m, p) for p in candidates]
+    return fit_trees(rows, features, target, [estimator.build(p, seed) for p in candidates], [k for k in KEYS if k in rows.columns] or features) or [None] * len(candidates)
+
+
+def fit(estimator: Estimator, params: dict, train: DataFrame, features: list[str], target: str, seed: int = 42) -> Model | None:
     """Fits on the complete cases; None without any."""
     rows = complete_cases(train, [*features, target])
-    if estimator.solve:
-        m = moments(rows, [*features, target])
-        return m and estimator.solve(m, params)
-    if not rows.take(1):
-        return None
-    return estimator.build(params, seed).fit(_vectors(rows, features, target))
+    return _fitted(estimator, [params], moments(rows, [*features, target]) if estimator.solve else None, rows, features, target, seed)[0]
 
 
-def linear_score(coefficients: Column, features: list[str]) -> Column:
-    """The constant comes first in coefficients."""
-    return coefficients[0] + sum((coefficients[i] * F.col(f) for i, f in enumerate(features, 1)), F.lit(0.0))
+def predicted(models: dict[int, Model | None], features: list[str], fold: Column | None = None) -> Column:
+    """The score by the model of the row's fold (default: 0), null where there is none."""
 
+    @F.arrow_udf("double")
+    def run(folds: pa.Array, *columns: pa.Array) -> pa.Array:
+        x, at = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]), folds.to_numpy(zero_copy_only=False)
+        out = np.full(len(x), np.nan)
+        for f in np.unique(at):
+            if models.get(int(f)) is not None:
+                out[at == f] = models[int(f)].predict(x[at == f])
+        return pa.array(out, from_pandas=True)
 
-def _line(model: LinearModel, features: list[str]) -> Column:
-    return F.lit(model.intercept) + sum((float(b) * F.col(f) for b, f in zip(model.coefficients, features, strict=True)), F.lit(0.0))
+    return run(F.lit(0) if fold is None else fold, *(F.col(f).cast("double") for f in features))
 
 
-def score(model, df: DataFrame, features: list[str]) -> DataFrame:
+def score(model: Model, df: DataFrame, features: list[str]) -> DataFrame:
     """df's rows with all features, with y_pred."""
-    rows = complete_cases(df, features)
-    if isinstance(model, LinearModel):
-        return rows.withColumn("y_pred", _line(model, features))
-    return model.transform(_vectors(rows, features)).drop("__x")
+    return complete_cases(df, features).withColumn("y_pred", predicted({0: model}, features))
 
 
-def tune(estimator: Estimator, train: DataFrame, validation: DataFrame, features: list[str], target: str, seed: int = 42, threads: int = 4) -> tuple[dict, float | None, list[tuple[dict, float | None]]]:
-    """Best parameters by the IC pooled over the validation rows, the first strict maximum; without any IC the first candidate.
+def candidate_ics(rows: DataFrame, features: list[str], target: str, models: dict[int, list[Model | None]]) -> dict[int, list[float | None]]:
+    """For each fold's candidates the IC pooled over the fold's complete rows (with fold_id), all in one plan."""
+    width = max(map(len, models.values()))
 
-    Linear candidates share one pass over the training rows and one over the validation rows; others fit side by side.
-    """
-    candidates, needed = estimator.candidates(), [*features, target]
-    validation = complete_cases(validation, needed)
-    if estimator.solve:
-        m = moments(complete_cases(train, needed), needed)
-        ics = [None] * len(candidates)
-        if m:
-            lines = [_line(estimator.solve(m, p), features).alias(f"__p{i}") for i, p in enumerate(candidates)]
-            ics = pooled_ics(validation.select(target, *lines), target, [f"__p{i}" for i in range(len(candidates))])
-        trials = list(zip(candidates, ics, strict=True))
-    else:
-        train, validation = complete_cases(train, needed).cache(), validation.cache()
-
-        def one(params: dict) -> tuple[dict, float | None]:
-            model = fit(estimator, params, train, features, target, seed)
-            return params, None if model is None else pooled_ic(score(model, validation, features), target, "y_pred")
-
-        try:
-            with ThreadPoolExecutor(threads) as pool:
-                trials = list(pool.map(one, candidates))
-        finally:
-            train.unpersist(), validation.unpersist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, t, *columns = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            x = np.column_stack(columns)
+            for f in np.unique(at):
+                mine = at == f
+                for i, model in enumerate(models.get(int(f), ())):
+                    if model is not None:
+                        p = model.predict(x[mine])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), int(f) * width + i)), pa.array(t[mine]), pa.array(p)], names=["k", "t", "p"])
+
+    wide = rows.select("fold_id", F.col(target).cast("double"), *(F.col(f).cast("double") for f in features))
+    got = pooled_ics_by(wide.mapInArrow(run, "k long, t double, p double"), "t", "p", "k")
+    return {f: [got.get(f * width + i) for i in range(len(m))] for f, m in models.items()}
+
+
+def _best(ics: list[float | None]) -> int:
+    """The first strict maximum; the first candidate without any IC."""
     best, at = None, 0
-    for i, (_, ic) in enumerate(trials):
+    for i, ic in enumerate(ics):
         if ic is not None and not math.isnan(ic) and (best is None or ic > best):
             best, at = ic, i
-    return trials[at][0], best, trials
+    return at
 
 
-def equal_weight(train, inner_train, inner_val, test, features, target, config) -> DataFrame:
+def tune(estimator: Estimator, train: DataFrame, validation: DataFrame, features: list[str], target: str, seed: int = 42) -> tuple[dict, float | None, list[tuple[dict, float | None]]]:
+    """Best parameters by the IC pooled over the validation rows, the first strict maximum; without any IC the first candidate."""
+    candidates, needed = estimator.candidates(), [*features, target]
+    rows = complete_cases(train, needed)
+    models = _fitted(estimator, candidates, moments(rows, needed) if estimator.solve else None, rows, features, target, seed)
+    ics = candidate_ics(complete_cases(validation, needed).withColumn("fold_id", F.lit(0)), features, target, {0: models})[0]
+    at = _best(ics)
+    return candidates[at], ics[at], list(zip(candidates, ics, strict=True))
+
+
+def tuned(estimator: Estimator, training: Training) -> dict[int, list[tuple[dict, float | None]]]:
+    """The trials of all candidates on every fold's inner split. Linear models of all folds come from one pass by months; the ICs are one plan."""
+    candidates = estimator.candidates()
+    models = {f.fold_id: _fitted(estimator, candidates, training.moments(f, "inner_train") if estimator.solve else None, training.window(f, "inner_train"), training.features, training.target, training.config.seed) for f in training.folds}
+    ics = candidate_ics(complete_cases(training.rows("inner_val"), training.needed), training.features, training.target, models)
+    return {f: list(zip(candidates, ics[f], strict=True)) for f in models}
+
+
+def refitted(estimator: Estimator, training: Training) -> dict[int, Model | None]:
+    """Each fold's model: tuned on the inner split, fitted on the whole training window."""
+    out = {}
+    trials = tuned(estimator, training)
+    for f in training.folds:
+        params = trials[f.fold_id][_best([ic for _, ic in trials[f.fold_id]])][0]
+        out[f.fold_id] = _fitted(estimator, [params], training.moments(f, "train") if estimator.solve else None, training.window(f, "train"), training.features, training.target, training.config.seed)[0]
+    return out
+
+
+def equal_scores(rows: DataFrame) -> DataFrame:
     """A score of 0 for every row."""
-    return test.withColumn("y_pred", F.lit(0.0))
+    return rows.withColumn("y_pred", F.lit(0.0))
 
 
-def momentum_sort(train, inner_train, inner_val, test, features, target, config) -> DataFrame:
+def momentum_scores(rows: DataFrame, feature: str) -> DataFrame:
     """The momentum feature itself, where it is there."""
-    return test.where(F.col(config.momentum).isNotNull()).withColumn("y_pred", F.col(config.momentum).cast("double"))
+    return rows.where(F.col(feature).isNotNull()).withColumn("y_pred", F.col(feature).cast("double"))
 
 
-def monthly_regressions(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(MthCalDt, coefficients): least squares of each month with features + 5 complete rows or more. A group is one month's cross-section of complete rows."""
-    rows = complete_cases(df, [*features, target]).select("MthCalDt", *(F.col(c).cast("double").alias(c) for c in [*features, target]))
-    many = rows.groupBy("MthCalDt").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= len(features) + 5)
-    rows = rows.join(F.broadcast(many.select("MthCalDt")), "MthCalDt", "left_semi")  # a row per month
+def equal_weight(training: Training) -> DataFrame:
+    return equal_scores(training.rows("test"))
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(g)), g[features].to_numpy(float)])
-        b = np.linalg.lstsq(x, g[target].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame({"MthCalDt": [g["MthCalDt"].iloc[0]], "coefficients": [b.tolist()]})
 
-    return rows.groupBy("MthCalDt").applyInPandas(one, "MthCalDt date, coefficients array<double>")
+def momentum_sort(training: Training) -> DataFrame:
+    return momentum_scores(training.rows("test"), training.config.momentum)
 
 
-def fama_macbeth(train, inner_train, inner_val, test, features, target, config) -> DataFrame:
-    """The mean of the months' regressions scores the test rows; null if no month could be fitted."""
-    monthly = monthly_regressions(train, features, target)
-    mean = monthly.agg(F.array(*(F.avg(F.col("coefficients")[i]) for i in range(len(features) + 1))).alias("__b"))
-    return complete_cases(test, features).crossJoin(F.broadcast(mean)).withColumn("y_pred", linear_score(F.col("__b"), features)).drop("__b")  # one row
+def regressions(monthly: MonthlyMoments | None, n_features: int) -> list[tuple[object, np.ndarray]]:
+    """(month, constant and coefficients) of each month with features + 5 rows or more, from its own cross products."""
+    found = [] if monthly is None else [(m, monthly.of([i])) for i, m in enumerate(monthly.months)]
+    return [(m, least_squares(x)) for m, x in found if x and x.n >= n_features + 5]
+
+
+def monthly_regressions(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(MthCalDt, coefficients): least squares of each month with features + 5 complete rows or more, the constant first. One pass keeps cross products by month."""
+    needed = [*features, target]
+    rows = regressions(monthly_moments(complete_cases(df, needed), needed), len(features))
+    return df.sparkSession.createDataFrame([(m, [float(x) for x in b]) for m, b in rows], "MthCalDt date, coefficients array<double>")  # a row per month
+
+
+def fama_macbeth(training: Training) -> DataFrame:
+    """The mean of the training months' regressions scores a fold's test rows; null if no month could be fitted."""
+    found, models = regressions(training.monthly, len(training.features)), {}
+    for f in training.folds:
+        mine = [b for m, b in found if f.train_start <= m <= f.train_end]
+        mean = np.mean(mine, axis=0) if mine else None
+        models[f.fold_id] = None if mean is None else LinearModel(mean[1:], float(mean[0]))
+    return complete_cases(training.rows("test"), training.features).withColumn("y_pred", predicted(models, training.features, F.col("fold_id")))
 
 
 def estimator_runner(estimator: Estimator) -> Runner:
-    """Tunes on the inner split, refits on the whole training window."""
+    """Tunes on the inner splits, refits on the whole training windows."""
 
-    def run(train, inner_train, inner_val, test, features, target, config) -> DataFrame:
-        params, _, _ = tune(estimator, inner_train, inner_val, features, target, config.seed)
-        model = fit(estimator, params, train, features, target, config.seed)
-        return score(model, test, features) if model else complete_cases(test, features).withColumn("y_pred", F.lit(None).cast("double"))
+    def run(training: Training) -> DataFrame:
+        models = refitted(estimator, training)
+        return complete_cases(training.rows("test"), training.features).withColumn("y_pred", predicted(models, training.features, F.col("fold_id")))
 
     return run
 
@@ -171,65 +234,58 @@ def runners(estimators: tuple[Estimator, ...] = ESTIMATORS) -> dict[str, Runner]
 
 
 def walk_forward(panel: DataFrame, features: list[str], target: str, folds: list[Fold], models: dict[str, Runner], config: ModelConfig | None = None) -> DataFrame:
-    """(PERMNO, MthCalDt, model, fold_id, y_true, y_pred) of every fold and model. Each fold's predictions are written when its models are fitted."""
-    c, parts = config or ModelConfig(), []
-    for fold in folds:
-        train, test = between(panel, fold.train_start, fold.train_end), between(panel, fold.test_start, fold.test_end)
-        inner_train, inner_val = between(panel, fold.train_start, fold.inner_train_end), between(panel, fold.inner_val_start, fold.inner_val_end)
-        scored = []
-        for name, run in models.items():
-            got = run(train, inner_train, inner_val, test, features, target, c)
-            scored.append(got.select("PERMNO", "MthCalDt", F.lit(name).alias("model"), F.lit(fold.fold_id).alias("fold_id"), F.col(target).alias("y_true"), "y_pred"))
-        parts.append(materialize(reduce(DataFrame.unionByName, scored), f"fold-{fold.fold_id}"))
-    if not parts:
+    """(PERMNO, MthCalDt, model, fold_id, y_true, y_pred) of every fold and model. Each model's predictions are written when its folds are fitted."""
+    if not folds:
         raise ValueError("there are no folds")
+    training, parts = Training(panel, features, target, folds, config), []
+    for name, run in models.items():
+        got = run(training).select("PERMNO", "MthCalDt", F.lit(name).alias("model"), "fold_id", F.col(target).alias("y_true"), "y_pred")
+        parts.append(materialize(got, f"predictions-{name}"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def permuted(df: DataFrame, columns: list[str], seed: int) -> DataFrame:
-    """df with, for each column c, p_c: the values of another row, rows paired at random. Rows are paired inside 64 random groups, so no task ranks them all."""
-    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), "PERMNO", "MthCalDt")).withColumn("__g", F.pmod("__h", F.lit(64)))
-    other = F.xxhash64(F.lit(seed + 1), "PERMNO", "MthCalDt")
-    rank = lambda order: F.row_number().over(Window.partitionBy("__g").orderBy(order, "PERMNO", "MthCalDt"))
-    left = rows.withColumn("__r", rank(F.col("__h")))
-    right = rows.withColumn("__r", rank(other)).select("__g", "__r", *(F.col(c).alias(f"p_{c}") for c in columns))
-    return left.join(right, ["__g", "__r"]).drop("__g", "__r", "__h")
-
-
 def permutation_importance(estimator: Estimator, panel: DataFrame, features: list[str], target: str, folds: list[Fold], config: ModelConfig | None = None, repeats: int = 5) -> DataFrame:
     """(fold_id, feature, importance_mean, importance_std): how much the squared error on a fold's inner validation rows grows when a feature is shuffled.
 
-    For linear models all features of a repeat are one aggregation; others score each shuffled column.
+    Rows are numbered within their fold, and a keyed bijection of the numbers names each row's partner in each repeat: all features and
+    repeats of all folds are one join. Squared errors are summed where the rows meet, (features + 1) numbers for each fold and repeat.
     """
-    c, rows = config or ModelConfig(), []
-    for fold in folds:
-        train = between(panel, fold.train_start, fold.train_end)
-        inner_train, inner_val = between(panel, fold.train_start, fold.inner_train_end), between(panel, fold.inner_val_start, fold.inner_val_end)
-        params, _, _ = tune(estimator, inner_train, inner_val, features, target, c.seed)
-        model = fit(estimator, params, train, features, target, c.seed)
-        val = complete_cases(inner_val, [*features, target])
-        if model is None or not val.take(1):
-            continue
-        for k in range(repeats):
-            mixed = permuted(val, features, c.seed + 2 * k)
-            if isinstance(model, LinearModel):
-                mixed = mixed.withColumn("__base", _line(model, features))
-                base = F.col("__base")
-                moved = [base + float(b) * (F.col(f"p_{f}") - F.col(f)) for b, f in zip(model.coefficients, features, strict=True)]
-                errors = mixed.agg(F.avg((base - F.col(target)) ** 2), *(F.avg((m - F.col(target)) ** 2) for m in moved)).first()
-                rows += [(fold.fold_id, f, k, errors[i + 1] - errors[0]) for i, f in enumerate(features)]
-            else:
-                plain = score(model, val, features).agg(F.avg((F.col("y_pred") - F.col(target)) ** 2)).first()[0]
-                for f in features:
-                    moved = mixed.withColumn(f, F.col(f"p_{f}"))
-                    rows.append((fold.fold_id, f, k, score(model, moved, features).agg(F.avg((F.col("y_pred") - F.col(target)) ** 2)).first()[0] - plain))
-    out = panel.sparkSession.createDataFrame(rows, "fold_id int, feature string, k int, gain double")  # folds * features * repeats rows
-    return out.groupBy("fold_id", "feature").agg(F.avg("gain").alias("importance_mean"), F.stddev_pop("gain").alias("importance_std"))
+    training = Training(panel, features, target, folds, config)
+    models = {f: m for f, m in refitted(estimator, training).items() if m is not None}
+    rows = complete_cases(training.rows("inner_val"), training.needed).where(F.col("fold_id").isin(list(models)))
+    rows = rows.select("fold_id", F.col(target).cast("double").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+    rows, counts = numbered(rows, "fold_id")
+    mixed = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("partner", shuffled(F.col("fold_id"), F.col("number"), F.col("k"), counts, training.config.seed))
+    pairs = mixed.join(rows.select("fold_id", F.col("number").alias("partner"), F.col("x").alias("other")), ["fold_id", "partner"])
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            fold, k, y = (c.to_numpy() for c in b.columns[:3])
+            x, other = (np.asarray(c.flatten()).reshape(len(y), -1) for c in b.columns[3:])
+            for f in np.unique(fold):
+                model, at = models[int(f)], fold == f
+                base = model.predict(x[at])
+                out = np.ones((int(at.sum()), len(features) + 2))  # the last column counts
+                out[:, 0] = (base - y[at]) ** 2
+                for j in range(len(features)):
+                    moved = x[at].copy()
+                    moved[:, j] = other[at, j]
+                    out[:, j + 1] = (model.predict(moved) - y[at]) ** 2
+                for r in np.unique(k[at]):
+                    mine = out[k[at] == r].sum(axis=0)
+                    total[int(f), int(r)] = total[int(f), int(r)] + mine if (int(f), int(r)) in total else mine
+        for (f, r), sums in total.items():
+            n = len(features)
+            cols = [pa.array(np.full(n, f, np.int32)), pa.array(np.full(n, r, np.int32)), pa.array(features), pa.array(sums[1:-1] - sums[0]), pa.array(np.full(n, int(sums[-1])))]
+            yield pa.RecordBatch.from_arrays(cols, names=["fold_id", "k", "feature", "gain", "n"])
+
+    sums = pairs.select("fold_id", "k", "y", "x", "other").mapInArrow(errors, "fold_id int, k int, feature string, gain double, n long")
+    gains = sums.groupBy("fold_id", "k", "feature").agg((F.sum("gain") / F.sum("n")).alias("gain"))
+    return gains.groupBy("fold_id", "feature").agg(F.avg("gain").alias("importance_mean"), F.stddev_pop("gain").alias("importance_std"))
 
 
 def category_importance(importances: DataFrame) -> DataFrame:
     """(category, importance): mean over a category's features and folds, largest first."""
     kinds = importances.sparkSession.createDataFrame([(f.name, f.category) for f in REGISTRY], "feature string, category string")
     return importances.join(F.broadcast(kinds), "feature").groupBy("category").agg(F.avg("importance_mean").alias("importance")).orderBy(F.desc("importance"), "category")
-
-

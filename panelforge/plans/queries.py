@@ -495,7 +495,7 @@ def _predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Momentum predictions over all folds' test months, the training table, the folds."""
     table, _, folds = _usable(spark, sf_dir)
     rows = targets.fold_rows(table, folds, "test")
-    scored = models.momentum_sort(None, None, None, rows, [], "target_demeaned", CONFIG)
+    scored = models.momentum_scores(rows, CONFIG.momentum)
     return scored.select("PERMNO", "MthCalDt", F.lit("momentum_sort").alias("model"), "fold_id", F.col("target_demeaned").alias("y_true"), "y_pred"), table, folds
 
 
@@ -506,7 +506,7 @@ _EW = "(select PERMNO, MthCalDt, model, fold_id, y_true, y_pred from preds union
 def m7_m8_baseline_predictions(spark, sf_dir):
     """The momentum baseline and the equal-weight one over all folds' test months."""
     momentum, table, folds = _predictions(spark, sf_dir)
-    flat = models.equal_weight(None, None, None, targets.fold_rows(table, folds, "test"), [], "target_demeaned", CONFIG)
+    flat = models.equal_scores(targets.fold_rows(table, folds, "test"))
     return shown(momentum.unionByName(flat.select("PERMNO", "MthCalDt", F.lit("equal_weight").alias("model"), "fold_id", F.col("target_demeaned").alias("y_true"), "y_pred")))
 
 
@@ -523,32 +523,48 @@ def m9_fama_macbeth_coefficients(spark, sf_dir):
     return shown(monthly.select("MthCalDt", *(F.col("coefficients")[i].alias(f"b{i}") for i in range(len(MODEL_FEATURES) + 1))))
 
 
+def _model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[targets.Fold]]:
+    """Model-ready features with targets over the universe, and the folds, as the job has them."""
+    master, t = _master(spark, sf_dir)
+    raw = features.raw_features(master, t["compustat_fundamentals_annual"])
+    ready = crosssection.model_ready(raw, list(features.KEYS), list(features.NAMES)).drop("ret_adj")
+    table = materialize(targets.training_panel(ready, panel.investable(master)).where("is_investable"), "model-table")
+    return table, targets.walk_forward_folds(targets.months_of(table), CONFIG)
+
+
+def _training_of(spark: SparkSession, sf_dir: str) -> models.Training:
+    table, folds = _model_table(spark, sf_dir)
+    return models.Training(table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG)
+
+
 @query()
 def m10_m16_tune_ridge(spark, sf_dir):
     """Trials of the ridge grid on every fold's inner split, over all model features."""
-    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    names, rows = list(features.MODEL_NAMES), []
-    for f in folds:
-        _, _, trials = models.tune(models.RIDGE, targets.between(table, f.train_start, f.inner_train_end), targets.between(table, f.inner_val_start, f.inner_val_end), names, "target_demeaned", CONFIG.seed)
-        rows += [(f.fold_id, p["alpha"], ic_) for p, ic_ in trials]
-    return spark.createDataFrame(rows, "fold_id int, alpha double, ic double")  # folds * candidates rows
+    trials = models.tuned(models.RIDGE, _training_of(spark, sf_dir))
+    return spark.createDataFrame([(f, p["alpha"], ic_) for f, found in trials.items() for p, ic_ in found], "fold_id int, alpha double, ic double")  # folds * candidates rows
 
 
 def _walk(spark: SparkSession, sf_dir: str, runners: dict[str, models.Runner]) -> DataFrame:
-    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
+    table, folds = _model_table(spark, sf_dir)
     return models.walk_forward(table, list(features.MODEL_NAMES), "target_demeaned", folds, runners, CONFIG)
 
 
 @query()
 def m18_walk_forward(spark, sf_dir):
-    """Baselines and linear estimators over all folds and model features; the trees are a query of their own, as they take many times longer."""
-    return _walk(spark, sf_dir, models.runners((models.RIDGE, models.LASSO, models.ELASTIC_NET)))
+    """Baselines and all five estimators over all folds and model features, as the job runs them."""
+    return _walk(spark, sf_dir, models.runners())
 
 
 @query()
-def m13_m14_walk_forward_trees(spark, sf_dir):
-    """Forest and boosting over all folds and model features, with their whole grids."""
-    return _walk(spark, sf_dir, {e.name: models.estimator_runner(e) for e in (models.RANDOM_FOREST, models.GRADIENT_BOOSTING)})
+def m13_walk_forward_forest(spark, sf_dir):
+    """The forest over all folds and model features, with its whole grid."""
+    return _walk(spark, sf_dir, {"random_forest": models.estimator_runner(models.RANDOM_FOREST)})
+
+
+@query()
+def m14_walk_forward_boosting(spark, sf_dir):
+    """Boosting over all folds and model features, with its whole grid."""
+    return _walk(spark, sf_dir, {"hist_gradient_boosting": models.estimator_runner(models.GRADIENT_BOOSTING)})
 
 
 _RANKED = """
@@ -567,11 +583,21 @@ def m20_ic_summary(spark, sf_dir):
     return shown(ic.ic_summary(ic.monthly_ic(_predictions(spark, sf_dir)[0])))
 
 
+def _importance(spark: SparkSession, sf_dir: str, estimator: models.Estimator) -> DataFrame:
+    table, folds = _model_table(spark, sf_dir)
+    return models.category_importance(models.permutation_importance(estimator, table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
+
+
 @query()
 def m21_m22_permutation_importance(spark, sf_dir):
     """Category importances of ridge over all model features, on every fold's inner validation rows."""
-    table, folds, _ = _usable(spark, sf_dir, tuple(features.FAMILIES))
-    return models.category_importance(models.permutation_importance(models.RIDGE, table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG))
+    return _importance(spark, sf_dir, models.RIDGE)
+
+
+@query()
+def m21_m22_permutation_importance_boosting(spark, sf_dir):
+    """The same of boosting."""
+    return _importance(spark, sf_dir, models.GRADIENT_BOOSTING)
 
 
 @query(_m("select check_name, cast(affected = 0 as bigint) as passed, affected from (" + _affected({

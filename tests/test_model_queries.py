@@ -1,29 +1,53 @@
-"""The registered model queries take every fold, all model features and all estimators."""
+"""The registered model queries take every fold, all model features and all estimators, over model-ready features."""
 
 from __future__ import annotations
 
-import inspect
+import os
 
-from panelforge.operators import features, models, targets
+import pytest
+
+from panelforge.operators import features, models
 from panelforge.plans import queries as Q
 
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables are not there")
+NAMES = list(features.MODEL_NAMES)
+
+
+@pytest.fixture(scope="module")
+def training(spark):
+    table, folds = Q._model_table(spark, SF)
+    return table.cache(), folds
+
+
+@pytest.fixture
+def kept(monkeypatch, training):
+    monkeypatch.setattr(Q, "_model_table", lambda spark, sf_dir: training)
+    return training
+
+
+def test_tuning_covers_all_folds_and_candidates(spark, kept):
+    table, folds = kept
+    got = Q.QUERIES["m10_m16_tune_ridge"](spark, SF).collect()
+    assert sorted((r.fold_id, r.alpha) for r in got) == [(f.fold_id, a) for f in folds for a in models.RIDGE.grid["alpha"]]
+    assert len(NAMES) == 50 and set(NAMES) <= set(table.columns)
+    low, high = table.selectExpr("min(mom_12_1)", "max(mom_12_1)").first()
+    assert -1 < low < 0 < high <= 1  # rank-scaled
+
+
+def test_the_whole_run_ends(spark, kept):
+    _, folds = kept
+    got = Q.QUERIES["m18_walk_forward"](spark, SF).toPandas()
+    assert set(got.model) == set(models.runners()) == {"equal_weight", "momentum_sort", "fama_macbeth"} | {e.name for e in models.ESTIMATORS}
+    assert got[got.model == "equal_weight"].fold_id.nunique() == len(folds) == 4
+    for name in ("m13_walk_forward_forest", "m14_walk_forward_boosting"):
+        alone = Q.QUERIES[name](spark, SF).toPandas().sort_values(["fold_id", "MthCalDt", "PERMNO"])
+        same = got[got.model == alone.model.iloc[0]].sort_values(["fold_id", "MthCalDt", "PERMNO"])
+        assert len(same) and (alone.y_pred.round(9).fillna(0).to_numpy() == same.y_pred.round(9).fillna(0).to_numpy()).all()
+
 
-def test_model_queries_take_the_whole_job(spark, monkeypatch, day):
-    months = [day(f"{2000 + i // 12}-{i % 12 + 1:02d}-28") for i in range(83)]
-    folds = targets.walk_forward_folds(months, Q.CONFIG)
-    table, asked, seen = spark.createDataFrame([(months[0],)], "MthCalDt date"), [], []
-    monkeypatch.setattr(Q, "_usable", lambda spark, sf_dir, families=(): asked.append(families) or (table, folds, None))
-    repeats = inspect.signature(models.permutation_importance).parameters["repeats"].default
-    monkeypatch.setattr(models, "tune", lambda e, train, val, names, target, seed: seen.append(("tune", names)) or (None, None, [({"alpha": 1.0}, 0.5)]))
-    monkeypatch.setattr(models, "walk_forward", lambda t, names, target, f, runners, c: seen.append(("walk", names, f, set(runners))))
-    monkeypatch.setattr(models, "permutation_importance", lambda e, t, names, target, f, c, repeats=repeats: seen.append(("importance", names, f, repeats)))
-    monkeypatch.setattr(models, "category_importance", lambda x: x)
-    assert [tuple(r) for r in Q.QUERIES["m10_m16_tune_ridge"](spark, "").orderBy("fold_id").collect()] == [(f.fold_id, 1.0, 0.5) for f in folds]
-    Q.QUERIES["m18_walk_forward"](spark, "")
-    Q.QUERIES["m13_m14_walk_forward_trees"](spark, "")
-    Q.QUERIES["m21_m22_permutation_importance"](spark, "")
-    names = list(features.MODEL_NAMES)
-    assert len(folds) == 4 and len(names) == 50 and set(asked) == {tuple(features.FAMILIES)}
-    trees = {"random_forest", "hist_gradient_boosting"}
-    assert seen == [("tune", names)] * 4 + [("walk", names, folds, set(models.runners()) - trees), ("walk", names, folds, trees), ("importance", names, folds, 5)]
-    assert {e.name for e in models.ESTIMATORS} < set(models.runners())
+@pytest.mark.parametrize("name", ["m21_m22_permutation_importance", "m21_m22_permutation_importance_boosting"])
+def test_importance_by_category(spark, kept, name):
+    got = Q.QUERIES[name](spark, SF).toPandas()
+    kinds = {f.category for f in features.REGISTRY if f.name in NAMES}
+    assert set(got.category) == kinds

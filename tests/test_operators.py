@@ -216,7 +216,8 @@ def test_default_runners_are_all_estimators_and_trees_score(spark, day):
     few = {"random_forest": {"trees": (5,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,)}}
     small = tuple(replace(e, grid=few[e.name]) for e in models.ESTIMATORS if e.name in few)
     for name in few:
-        got = models.runners(small)[name](df, df, df, df, ["f"], "t", targets.ModelConfig())
+        fold = targets.Fold(0, *[day("2000-01-31")] * 7)
+        got = models.runners(small)[name](models.Training(df, ["f"], "t", [fold]))
         assert got.count() == 200 and ic.pooled_ic(got, "t", "y_pred") > 0.8
 
 
