@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import materialize, text_documents
+from panelforge.llm.shared import materialize, range_index, reserved, text_documents
 
 #: Size of a row beyond its text.
 ROW_BYTES = 8
@@ -23,26 +23,31 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def shards(rows: DataFrame, n_shards: int = 24, ranges_per_shard: int = 256, samples_per_range: int = 8) -> DataFrame:
     """rows (doc_id, size, key, ...) with shard (0 to n_shards - 1, sizes near equal) and slot (gapless from 0 in each shard).
 
-    Rows are ordered by (key, doc_id), so that equal texts lie side by side and share a shard, save where one group is itself too
-    large for its range. A row is sampled with a probability in proportion to its size; the sample's quantiles cut the order into
+    Rows are ordered by (key, doc_id, number of the row), so that equal texts lie side by side and share a shard, save where one group is
+    itself too large for its range. A row is sampled with a probability in proportion to its size; the sample's quantiles cut the order into
     n_shards * ranges_per_shard ranges, a number that does not grow with the input. Overfull ranges are cut again, by sampling them
     more densely. Shards are runs of whole ranges, cut where the running size is nearest to equal shares. Only the sampled keys and one
-    sum per range come to the driver, n_shards * ranges_per_shard * samples_per_range of them in the mean.
-    A null doc_id comes first among equal texts. An empty table gives no rows.
+    sum per range come to the driver, n_shards * ranges_per_shard * samples_per_range of them in the mean: rows are drawn one by one,
+    also where they are equal, and a group of equal rows is cut by their numbers.
+    A null doc_id comes first among equal texts; rows that repeat an id and a text each have a place. An empty table gives no rows.
+    Columns __tie, __row, __range, __base, shard and slot are reserved.
     """
-    rows = materialize(rows.withColumn("__tie", F.coalesce("doc_id", F.lit(-(1 << 63)))), "sh-rows")
+    reserved(rows, "__tie", "__row", "__range", "__base", "shard", "slot")
+    rows = rows.withColumns({"__tie": F.coalesce("doc_id", F.lit(-(1 << 63))), "__row": F.monotonically_increasing_id()})
+    rows = materialize(rows, "sh-rows")  # with its numbers, which stay
     total = rows.agg(F.sum("size")).first()[0] or 0
     n_ranges = n_shards * ranges_per_shard
     target = max(1.0, total / n_ranges)
 
     def sample(df: DataFrame, per: float) -> np.ndarray:
-        """Keys (key, tie) of rows drawn with probability size / per, the same rows in every run."""
-        draw = (F.xxhash64(F.lit(7), "key", "__tie").cast("double") / float(1 << 64) + 0.5) * F.lit(per) < F.col("size")
-        got = df.where(draw).select("key", "__tie", "size").toArrow()
-        k = np.empty(got.num_rows, [("key", np.int64), ("tie", np.int64)])
-        k["key"], k["tie"] = got.column(0).to_numpy(), got.column(1).to_numpy()
-        weight = np.maximum(1.0, got.column(2).to_numpy() / per)
-        order = np.argsort(k, order=("key", "tie"), kind="stable")
+        """Keys (key, tie, row) of rows drawn with probability size / per, the same rows in every run."""
+        draw = (F.xxhash64(F.lit(7), "key", "__tie", "__row").cast("double") / float(1 << 64) + 0.5) * F.lit(per) < F.col("size")
+        got = df.where(draw).select("key", "__tie", "__row", "size").toArrow()
+        k = np.empty(got.num_rows, [("key", np.int64), ("tie", np.int64), ("row", np.int64)])
+        for i, c in enumerate(k.dtype.names):
+            k[c] = got.column(i).to_numpy()
+        weight = np.maximum(1.0, got.column(3).to_numpy() / per)
+        order = np.argsort(k, order=k.dtype.names, kind="stable")
         return k[order], weight[order]
 
     def quantiles(k: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -52,19 +57,13 @@ def shards(rows: DataFrame, n_shards: int = 24, ranges_per_shard: int = 256, sam
         return np.unique(k[np.minimum(at, len(k) - 1)])
 
     def placed(cuts: np.ndarray) -> DataFrame:
-        key, tie = cuts["key"].copy(), cuts["tie"].copy()
+        columns = tuple(cuts[c].copy() for c in cuts.dtype.names)
 
         @F.arrow_udf("int")
-        def range_of(keys: pa.Array, ties: pa.Array) -> pa.Array:
-            k, t = keys.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
-            lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-            while (open_ := lo < hi).any():  # cuts lie in these groups of equal texts: halve each row's span of them by its tie
-                middle = (lo + hi) // 2
-                above = open_ & (t >= tie[np.minimum(middle, len(tie) - 1)])
-                lo, hi = np.where(above, middle + 1, lo), np.where(open_ & ~above, middle, hi)
-            return pa.array(lo.astype(np.int32))
+        def range_of(keys: pa.Array, ties: pa.Array, numbers: pa.Array) -> pa.Array:
+            return pa.array(range_index(columns, tuple(c.to_numpy(zero_copy_only=False) for c in (keys, ties, numbers))).astype(np.int32))
 
-        return rows.withColumn("__range", range_of("key", "__tie"))
+        return rows.withColumn("__range", range_of("key", "__tie", "__row"))
 
     cuts = quantiles(*sample(rows, target / samples_per_range), n_ranges)
     dealt = placed(cuts)
@@ -87,5 +86,5 @@ def shards(rows: DataFrame, n_shards: int = 24, ranges_per_shard: int = 256, sam
         shard_rows[shard] += counts[r]
     plan = dealt.sparkSession.createDataFrame(plan, "__range int, shard int, __base long")
     out = dealt.join(F.broadcast(plan), "__range")  # a row per range
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("key", "__tie"))
-    return out.withColumn("slot", F.col("__base") + rank - 1).drop("__range", "__base", "__tie")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("key", "__tie", "__row"))
+    return out.withColumn("slot", F.col("__base") + rank - 1).drop("__range", "__base", "__tie", "__row")

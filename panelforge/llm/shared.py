@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.sources.shared import materialize, shared_dir
 
-__all__ = ["BLOCK_BYTES", "column_bytes", "give_back", "materialize", "shared_dir", "text_blocks", "text_documents"]
+__all__ = ["BLOCK_BYTES", "column_bytes", "give_back", "materialize", "range_index", "reserved", "shared_dir", "text_blocks", "text_documents"]
 
 #: Texts are handed to the numpy kernels in blocks of about so many bytes.
 BLOCK_BYTES = 1 << 19
@@ -23,6 +23,26 @@ def text_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def reserved(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has none of the names that an operator adds; else ValueError."""
+    if taken := sorted({n.lower() for n in names} & {c.lower() for c in df.columns}):
+        raise ValueError(f"the input has columns under reserved names: {', '.join(taken)}")
+    return df
+
+
+def range_index(cuts: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """How many of the ascending cuts are at or below each key; both are given as columns, the first of which leads."""
+    lo, hi = np.searchsorted(cuts[0], keys[0], "left"), np.searchsorted(cuts[0], keys[0], "right")
+    last = max(len(cuts[0]) - 1, 0)
+    while (open_ := lo < hi).any():  # cuts lie among keys of one leading value: each key halves its span of them
+        middle = (lo + hi) // 2
+        at, above = np.minimum(middle, last), np.ones(len(lo), bool)
+        for c, k in zip(cuts[:0:-1], keys[:0:-1], strict=True):
+            above = (k > c[at]) | ((k == c[at]) & above)
+        lo, hi = np.where(open_ & above, middle + 1, lo), np.where(open_ & ~above, middle, hi)
+    return lo
+
+
 def give_back() -> None:
     """Returns the memory that Arrow's pool and the allocator keep, as Python workers outlive their tasks and stand beside others."""
     pa.default_memory_pool().release_unused()
