@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.kernels import U, stream
-from panelforge.llm.shared import text_documents
+from panelforge.llm.shared import range_index, text_documents
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -19,7 +19,10 @@ WINDOW = 7
 LONGEST = 64
 #: Block sizes of a fingerprint: the finest whose signature is short enough, and the next two doublings.
 LEVELS = 3
-LEAST_BITS = 0
+#: Finer sizes, in doublings, whose boundaries are kept beside those expected to do.
+SPARE_BITS = 3
+#: Bytes of text in a range, and rows sampled a range.
+RANGE_BYTES, SAMPLES = 16 << 20, 16
 _TABLE = (stream(41, 256) >> U(32)).astype(np.uint32)
 _BASE = np.uint32(0x9E3779B1)
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -40,23 +43,34 @@ def _rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _marks(buf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Hashes at the boundaries of blocks of 2^bits bytes in the mean, the running sums of all hashes there, and the sum over the whole."""
+    ends, sums, total = [np.zeros(0, np.uint32)], [np.zeros(0, U)], np.uint64(0)
+    for a in range(0, len(buf), _PART):
+        lead = min(a, WINDOW - 1)
+        h = _rolled(buf[a - lead : a + _PART])[lead:]
+        at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
+        run = np.cumsum(h, dtype=U) + total
+        ends.append(h[at])
+        sums.append(run[at])
+        total = run[-1]
+    return np.concatenate(ends), np.concatenate(sums), total
+
+
 def fingerprint(data: bytes) -> str:
-    """block size:signature:signature at twice:signature at four times the block size. Equal bytes give equal fingerprints."""
+    """block size:signature:signature at twice:signature at four times the block size. Equal bytes give equal fingerprints.
+
+    The block size is the finest power of two with fewer than 64 boundaries, so that a text of some length has 32 characters or more
+    unless its content repeats.
+    """
     n = len(data)
     buf = np.frombuffer(data, np.uint8)
-    bits = max(LEAST_BITS, (n // (2 * LONGEST)).bit_length() - 1)
-    ends, sums, total = [], [], np.uint64(0)
     with np.errstate(over="ignore"):
-        for a in range(0, n, _PART):
-            lead = min(a, WINDOW - 1)
-            h = _rolled(buf[a - lead : a + _PART])[lead:]
-            at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
-            run = np.cumsum(h, dtype=U) + total
-            ends.append(h[at])
-            sums.append(run[at])
-            total = run[-1]
-        cut = np.concatenate(ends) if ends else np.zeros(0, np.uint32)
-        run = np.concatenate(sums) if sums else np.zeros(0, U)
+        bits = max(0, (n // (2 * LONGEST)).bit_length() - 1 - SPARE_BITS)
+        cut, run, total = _marks(buf, bits)
+        while bits and len(cut) < LONGEST:  # few boundaries: a finer size may do
+            bits = max(0, bits - SPARE_BITS)
+            cut, run, total = _marks(buf, bits)
         while (keep := (cut & np.uint32((1 << bits) - 1)) == 0).sum() >= LONGEST:
             bits += 1
         out = [str(1 << bits)]
@@ -123,29 +137,53 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256 (of the edited text), fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller doc_id, after the last the first; rows of one id follow each other by text, and a
-    null id comes last. A null text is empty. Rows are dealt out once, by ranges of doc_id; the first rows of each range also go to
-    the range before it, so that every row finds its next one in its own task. A document that is alone is its own next.
+    The next document is that of the next smaller doc_id, after the last the first; rows of one id follow each other by the hash of
+    their text, and a null id comes last. A null text is empty, an empty table gives no rows. Rows are dealt out once, by ranges of (doc_id, hash of the text)
+    of about equal bytes; the first row of each range also goes to the range before it, so that every row finds its next one in its own
+    task. So null ids and repeated ids spread; rows of one id and one text lie in one range, through which they stream. A document that is
+    alone is its own next.
     """
-    docs = text_documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__o"))
-    n = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = docs.agg(F.percentile_approx("__o", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    cuts = np.unique(np.array(marks or [], np.int64))
+    spark = docs.sparkSession
+    docs = text_documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumns({"__o": F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63)))), "__h": F.xxhash64("text")})
+    size = F.octet_length("text") + 1
+    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    n = ranges or min(max(int(total // RANGE_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
+    per = total / (n * SAMPLES)  # rows are drawn in proportion to their bytes, SAMPLES a range in the mean
+    drawn = docs.where((F.xxhash64(F.lit(9), "__o", "__h").cast("double") / float(1 << 64) + 0.5) * F.lit(float(per)) < size)
+    got = drawn.groupBy("__o", "__h").agg(F.max(size).alias("size"), F.count(F.lit(1)).alias("n")).orderBy("__o", "__h").toArrow()
+    weight = np.maximum(got.column(2).to_numpy() / max(per, 1), 1.0) * got.column(3).to_numpy()
+    at = np.unique(np.searchsorted(np.cumsum(weight), np.linspace(0, weight.sum(), n + 1)[1:-1])) if got.num_rows else np.zeros(0, np.int64)
+    at = at[at < got.num_rows]
+    cuts = tuple(got.column(i).to_numpy()[at] for i in (0, 1))
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        return pa.array((len(cuts) - np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), "left")).astype(np.int32))
-
-    heads = sorted((r[0], r[1]) for r in docs.select(range_of("__o").alias("r"), "__o").groupBy("r").agg(F.max("__o")).collect())
-    before = [(o, heads[i - 1][0]) for i, (_, o) in enumerate(heads)] if heads else []
-    before = F.broadcast(docs.sparkSession.createDataFrame(before, "__o long, __to int"))  # a row per range
-    own = F.struct(range_of("__o").alias("range"), F.lit(0).alias("copy"))
-    copy = F.struct(F.col("__to").alias("range"), F.lit(1).alias("copy"))
-    dealt = docs.join(before, "__o", "left").select("doc_id", "text", "__o", F.explode(F.when(F.col("__to").isNotNull(), F.array(own, copy)).otherwise(F.array(own))).alias("p"))
-    dealt = dealt.select("doc_id", "text", "__o", "p.range", "p.copy").repartition("range").sortWithinPartitions("range", "copy", F.col("__o").desc(), "text").select("doc_id", "text", "range", "copy")
+    def range_of(order: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(range_index(cuts, tuple(c.to_numpy(zero_copy_only=False) for c in (order, hashes))).astype(np.int32))
+
+    heads = docs.groupBy(range_of("__o", "__h").alias("r")).agg(F.min(F.struct("__o", "__h")).alias("head")).orderBy("r").collect()  # a row per range
+    before = {(h[0], h[1]): heads[i - 1].r for i, (_, h) in enumerate(heads)}
+
+    def deal(batches):
+        copied = set()
+        for b in batches:
+            o, h = (b.column(i).to_numpy() for i in (2, 3))
+            ids, texts = b.column(0), b.column(1)
+            yield pa.RecordBatch.from_arrays([ids, texts, b.column(2), b.column(3), pa.array(range_index(cuts, (o, h)).astype(np.int32)), pa.array(np.zeros(len(o), np.int32))], names=_DEALT)
+            first = [i for i, k in enumerate(zip(o.tolist(), h.tolist(), strict=True)) if k in before and k not in copied and not copied.add(k)]
+            if first:
+                rows = b.take(pa.array(first))
+                to = [before[k] for k in zip(o[first].tolist(), h[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to, pa.int32()), pa.array(np.ones(len(first), np.int32))], names=_DEALT)
+
+    dealt = docs.mapInArrow(deal, "doc_id long, text string, __o long, __h long, range int, copy int").repartition("range")
+    dealt = dealt.sortWithinPartitions("range", "copy", "__o", "__h", "text").select("doc_id", "text", "range", "copy")
     return dealt.mapInArrow(_stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+_DEALT = ["doc_id", "text", "__o", "__h", "range", "copy"]
+
+
 def _stream(batches):
     held = None  # the last row, which waits for its next one: doc_id, text, range, fingerprint
     for batch in batches:
