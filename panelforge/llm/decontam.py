@@ -114,14 +114,12 @@ class ItemIndex:
                 key = mix(key * U(3) ^ symbols[j])
         return key
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int, int]]:
-        """(window's position in words, its offset in the item, item); words with a 0 after each document."""
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in words, its offset in the item, item) of each entry that is met; words has a 0 after each document."""
         at = np.flatnonzero(self.marks[(words >> U(48)).astype(np.int64)])
         at = at[np.isin(words[at], self.starts)] if len(at) else at
-        out: set[tuple[int, int, int]] = set()
-        if not len(at):
-            return out
-        for walk, steps in self.steps.items():
+        out = [np.zeros((3, 0), np.int64)]
+        for walk, steps in self.steps.items() if len(at) else ():
             symbols = _walk(words, at, steps, walk)
             for w, own, marks, keys, items, offsets in self.tables:
                 if w != walk:
@@ -133,10 +131,27 @@ class ItemIndex:
                 lo = np.searchsorted(keys, mine, "left")
                 hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == mine)
                 if len(hit):
-                    hi = np.searchsorted(keys, mine[hit], "right")
-                    for h, a, b in zip(hit.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                        out.update((int(at[live[h]]), int(offsets[x]), int(items[x])) for x in range(a, b))
-        return out
+                    many = np.searchsorted(keys, mine[hit], "right") - lo[hit]
+                    entry = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    out.append(np.stack([np.repeat(at[live[hit]], many), offsets[entry], items[entry]]))
+        found = np.concatenate(out, axis=1)
+        return found[0], found[1], found[2]
+
+    def windows(self, words: np.ndarray, begin: np.ndarray, count: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, from, to): each entry's window is as wide as the item and its edits on both sides; windows of one document and item that meet are one."""
+        at, offset, item = self.candidates(words)
+        if not len(at):
+            return []
+        length = np.array([len(w) for w in self.words])[item]
+        most = (self.search.edits * length).astype(np.int64)
+        doc = np.searchsorted(begin, at, "right") - 1
+        a, b = np.maximum(begin[doc], at - offset - most), np.minimum(begin[doc] + count[doc], at - offset + length + most)
+        order = np.lexsort((b, a, item, doc))
+        doc, item, a, b = doc[order], item[order], a[order], b[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (a[1:] > b[:-1]))  # an item's windows are equally wide, so ends ascend too
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        return list(zip(doc[first].tolist(), item[first].tolist(), a[first].tolist(), b[last].tolist(), strict=True))
 
     def found(self, buf: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> (edit distance in words, first word, words) of the best place in the document, the first of equals."""
@@ -147,19 +162,12 @@ class ItemIndex:
         padded = np.insert(words | U(1 << 63), ends, U(0))  # a word is never 0
         begin = np.concatenate([[0], (ends + np.arange(1, n + 1))[:-1]]) if n else np.zeros(0, np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for at, o, i in sorted(self.candidates(padded)):
+        for d, i, a, b in self.windows(padded, begin, count):
             item = self.words[i]
-            most = int(self.search.edits * len(item))
-            d = int(np.searchsorted(begin, at, "right")) - 1
-            a = int(max(begin[d], at - o - most))
-            b = int(min(begin[d] + count[d], at - o + len(item) + most))
-            if (i, a, b) in tried:
-                continue
-            tried.add((i, a, b))
             dist, end = infix_distance(self.masks(i), len(item), padded[a:b].tolist())
-            if dist <= most:
-                start, length = self._place(item, padded[a : a + end])
+            if dist <= int(self.search.edits * len(item)):
+                start, length = self._place(item, padded[max(a, a + end - 2 * len(item)) : a + end])
+                start += max(0, end - 2 * len(item))
                 got = (dist, int(a - begin[d]) + start, length)
                 best[d, i] = min(best.get((d, i), got), got)
         return best
