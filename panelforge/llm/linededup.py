@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.kernels import LOWER, SPACE, SpanHasher, signed
-from panelforge.llm.shared import materialize, text_blocks, text_documents
+from panelforge.llm.shared import materialize, reserved, text_blocks, text_documents
 
 _HASHES = SpanHasher(21), SpanHasher(22)
 _STREAM = "kind int, h1 long, h2 long, doc_id long, pos long, docs long"
@@ -188,8 +188,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
     """docs with each text reduced to the lines its bitmap keeps; all other columns stay. Texts that lose nothing never reach Python.
 
-    dropped_col, if given, names a further column with the number of lines that went.
+    dropped_col, if given, names a further column with the number of lines that went. Columns __id, __mark, __keep and __n are reserved.
     """
+    reserved(docs, "__id", "__mark", "__keep", "__n", *([dropped_col] if dropped_col else []))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
@@ -213,5 +214,5 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs without the repeated lines; rows and columns are the same."""
+    """docs without the repeated lines; rows and columns are the same. Columns __id, __mark, __keep and __n are reserved; for nulls and repeated ids see line_bitmaps."""
     return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)

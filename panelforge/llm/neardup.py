@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets meet in one aggregation and go on as one node. In a bucket of a band every member is first held against the
     bucket's smallest member; only pairs in different components go further, until every candidate pair lies in one component or was
     refuted: on the full sets, or as its sketches differ in more low bits than a link's would by six standard deviations (a chance
-    of 1e-8 a link). No group is expanded into all its pairs.
+    of 1e-7 a link at the threshold). No group is expanded into all its pairs.
     """
     docs = text_documents(docs, id_col, text_col)
     schema = "doc_id long, n long, s1 long, s2 long, " + "".join(f"b{j} long, " for j in range(_WORDS)) + "keys array<long>"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm.kernels import LOWER, SpanHasher, U
-from panelforge.llm.shared import materialize, text_blocks, text_documents
+from panelforge.llm.shared import materialize, reserved, text_blocks, text_documents
 
 #: Chunks whose ids a Python worker keeps, about 32 bytes each.
 CACHE_CHUNKS = 1_000_000
@@ -282,8 +282,9 @@ def pack(pieces: DataFrame, size: int = 2048, rounds: int = 400) -> DataFrame:
 
     Offsets are gapless from 0. Only the length histogram (at most size rows) comes to the driver. Each piece gets its rank among
     pieces of its length from the rank inside its partition and a sum over earlier partitions; a table of configurations then turns
-    (length, rank) into a place. A length outside 1..size is an error.
+    (length, rank) into a place. A length outside 1..size is an error. Columns n, __before, __place, sequence_id and offset are reserved.
     """
+    reserved(pieces, "n", "__before", "__place", "sequence_id", "offset")
     names = [c for c in pieces.columns if c not in ("__part", "__at")]
     rows = pieces
     if "__at" not in pieces.columns:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.kernels import LOWER, U, WORD_HASH, distinct_by_doc, mix, word_spans
-from panelforge.llm.shared import BLOCK_BYTES, column_bytes, give_back
+from panelforge.llm.shared import BLOCK_BYTES, column_bytes, give_back, reserved
 
 FEATURES = (
     "log_chars", "upper", "digits", "symbols", "shouts", "stops", "bars", "breaks", "non_ascii", "log_words", "word_length", "word_spread",
@@ -202,12 +202,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fits the model on at most max_rows labelled rows that are not held out, those with the smallest hashes of their ids.
 
     Null labels and ids teach nothing; of several labels of one id the smallest counts. Only the bounded sample's features (max_rows
-    rows of 21 numbers) come to the driver. Without labels, or with labels of one class, the model is constant.
+    rows of 21 numbers) come to the driver; of several documents of one id the smallest text teaches. Without labels, or with labels of one class, the model is constant.
     """
     rows = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    taught = texts.join(F.broadcast(rows), "__id")  # max_rows ids at most
+    taught = texts.join(F.broadcast(rows), "__id").groupBy("__id").agg(F.min("text").alias("text"), F.first("__y").alias("__y"))  # max_rows ids at most
 
     def run(batches):
         for batch in batches:
@@ -229,5 +229,6 @@ def quality_score(model: AdditiveModel, text: Column) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> DataFrame:
-    """docs with a column score (0 to 1; higher: quality label 1 likelier)."""
+    """docs with a column score (0 to 1; higher: quality label 1 likelier). A null text is scored as an empty one; a column score is reserved."""
+    reserved(docs, "score")
     return docs.withColumn("score", quality_score(fit_quality(docs, labels, id_col, text_col, max_rows), F.col(f"`{text_col}`")))

@@ -410,6 +410,93 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.shards(sharding.measured(empty)).count() == 0
 
 
+def test_equal_rows_without_ids_spread(spark):
+    """Rows of one text and one id, or none, are drawn and cut one by one: no shard, range or draw gets all of them."""
+    docs = spark.createDataFrame([(None, "the same text")] * 6000 + [(7, "the same text")] * 6000, "doc_id long, text string")
+    got = sharding.shards(sharding.measured(docs), 24).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 12000 and got.doc_id.isna().sum() == 6000 and len(sizes) == 24 and sizes.max() < 1.1 * sizes.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
+def test_shards_against_brute_force(spark):
+    """Every shard is a run of the declared order, and its bytes are near a 24th."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sharding.shards(sharding.measured(docs)).toPandas().sort_values(["key", "doc_id"])
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert (np.diff(got.shard) >= 0).all()
+    assert Counter(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == Counter((i, len(t) + 8, zlib.crc32(t)) for i, t in texts.items())
+    for _, g in got.groupby("shard"):
+        assert g.slot.tolist() == list(range(len(g)))
+
+
+@pytest.mark.parametrize("names", [("__tie",), ("shard",), ("SLOT",)])
+def test_reserved_names_raise(spark, names):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    more = {n: F.lit(1) for n in names}
+    with pytest.raises(ValueError, match="reserved"):
+        sharding.shards(sharding.measured(docs).withColumns(more))
+    with pytest.raises(ValueError, match="reserved"):
+        linededup.dedup_lines(docs.withColumn("__keep", F.lit(1)))
+    with pytest.raises(ValueError, match="reserved"):
+        packing.pack(spark.createDataFrame([(1, 0, 5, 1)], "doc_id long, piece int, length long, __before int"))
+    with pytest.raises(ValueError, match="reserved"):
+        quality.score_quality(docs.withColumn("score", F.lit(1)), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    """Null ids and repeated ids are dealt by their texts; the result is that of the declared order."""
+    texts = [prose(i, 5 + i % 40) for i in range(120)]
+    table = [(None, t) for t in texts] + [(5, t) for t in texts[:60]] + [(6, "same text")] * 40
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    order = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.h, r.text) for r in hashed), key=lambda r: (-r[0], r[1], r[2]))
+    want = Counter()
+    for j, (i, _, t) in enumerate(order):
+        new = fuzzyhash.edited(t, order[(j + 1) % len(order)][2])
+        want[(i if i > -(1 << 62) else None, len(t), hashlib.sha256(new.encode()).hexdigest(), fuzzyhash.fingerprint(t.encode()), fuzzyhash.fingerprint(new.encode()))] += 1
+    got = fuzzyhash.fingerprints(docs, ranges=9).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
+
+
+def test_signatures_have_32_characters_where_there_are_chunks():
+    """Texts of 256 bytes or more; a text of one repeated line has as many boundaries as the line allows, and is unlike another one."""
+    for n in (40, 60, 100, 500, 4000):
+        assert len(fuzzyhash.fingerprint(prose(n, n).encode()).split(":")[1]) >= 28
+    lines = [fuzzyhash.fingerprint((f"{prose(i, 9)}\n" * 200).encode()) for i in range(6)]
+    assert len(set(lines)) == 6 and all(fuzzyhash.likeness([(x, x)])[0] == 1.0 for x in lines)
+
+
+def test_infix_distances_against_a_plain_program():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        item, text = rng.integers(0, 6, int(rng.integers(1, 90))).tolist(), rng.integers(0, 6, int(rng.integers(0, 200))).tolist()
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        masks = {c: sum(1 << k for k, x in enumerate(item) if x == c) for c in set(item)}
+        dist, end = decontam.infix_distance(masks, len(item), text)
+        assert dist == min(row) and row[end] == dist
+
+
+def test_decontamination_of_a_repetitive_text(spark):
+    """A document of one word 20 000 times against an item of 301 words, and one whose place is inside it: windows that meet are searched once."""
+    import time
+
+    item = " ".join(["the"] * 100 + ["quick"] + ["the"] * 200)
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "the " * 9000 + item + " and more" * 50), (3, "the quick one")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    decontam.benchmark_leaks(docs.limit(0), items).count()
+    start = time.monotonic()
+    got = {r.doc_id: (r.item_id, r.distance) for r in decontam.benchmark_leaks(docs, items).collect()}
+    assert got == {1: (9, 1), 2: (9, 0)} and time.monotonic() - start < 8
+
+
 # ---- 10
 
 def test_url_rules_need_a_token(spark):
@@ -452,8 +539,6 @@ def test_signatures_equal_a_rolling_hash_byte_by_byte(monkeypatch):
 
         letter = lambda s: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[s * 0x9E3779B97F4A7C15 % 2**64 >> 58]
         size = 1
-        while size * 2 <= len(data) // 128:
-            size *= 2
         while sum(h % size == 0 for h in hashes) >= 64:
             size *= 2
         return ":".join([str(size), *(signature(size << k) for k in range(3))])
