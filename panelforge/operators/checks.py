@@ -34,7 +34,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def no_duplicate_keys(df: DataFrame, keys: list[str], name: str = "no_duplicate_keys") -> DataFrame:
+def no_duplicate_keys(df: DataFrame, keys: list[str], name: str = "no_duplicate_permno_month_keys") -> DataFrame:
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return result(rows.agg(F.sum(F.col("n") - 1).alias("affected")), name, "rows beyond the first of their key")
 
@@ -55,7 +55,7 @@ def sources_exist(df: DataFrame) -> DataFrame:
 
 
 def return_bounds(df: DataFrame) -> DataFrame:
-    return result(df.agg(sum((F.count_if(F.col(c) < -1) for c in RETURN_FEATURES if c in df.columns), F.lit(0)).alias("affected")), "return_based_feature_bounds", "returns below -100%")
+    return result(df.agg(sum((F.count_if(F.col(c) < -1) for c in RETURN_FEATURES if c in df.columns), F.lit(0)).alias("affected")), "return_based_features_above_negative_100pct", "returns below -100%")
 
 
 def denominators(df: DataFrame) -> DataFrame:
@@ -104,6 +104,42 @@ def isolated(transform: Callable[[DataFrame], DataFrame], df: DataFrame, months:
     return result(mismatches(at(transform(df), months), alone, ["PERMNO", "MthCalDt"], columns, tol), "cross_sectional_isolation", f"rows that depend on other months, in {len(months)} months")
 
 
+#: Securities and firms of variant v have the ids id * VARIANTS + v in stacked tables.
+VARIANTS = 16
+_DATED = {"crsp_monthly_stock": "MthCalDt", "compustat_fundamentals_annual": "datadate", "ccm_link_table": "LINKDT", "crsp_delisting": "DelistingDt"}
+_IDS = {"crsp_monthly_stock": ["PERMNO"], "compustat_fundamentals_annual": ["GVKEY"], "ccm_link_table": ["LPERMNO", "gvkey"], "crsp_delisting": ["PERMNO", "DelPERMNO"]}
+
+
+def stacked(tables: dict[str, DataFrame], cutoffs: list) -> dict[str, DataFrame]:
+    """The raw tables with a copy of their rows for each variant: 0 and 1 whole, 2, 3, ... without what comes after one of the cutoffs.
+
+    Ids carry the variant, so one build makes all variants beside each other: what it joins by id or looks up along a security stays
+    inside a variant. Only tables by month alone (factors) are shared.
+    """
+    if len(cutoffs) + 2 > VARIANTS:
+        raise ValueError(f"{VARIANTS - 2} cutoffs at most")
+    ends = F.array(*[F.lit(None).cast("date")] * 2, *(F.lit(c).cast("date") for c in cutoffs))
+    out = dict(tables)
+    for name, date in _DATED.items():
+        df = tables[name].withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(len(cutoffs) + 1))))
+        df = df.where(F.get(ends, F.col("__v")).isNull() | (F.col(date) <= F.get(ends, F.col("__v"))))
+        out[name] = df.withColumns({c: F.col(c) * VARIANTS + F.col("__v") for c in _IDS[name] if c in df.columns}).drop("__v")
+    return out
+
+
+def variant_checks(built: DataFrame, cutoffs: list, columns: list[str], tol: float = 1e-8) -> DataFrame:
+    """No look-ahead and reproducibility of a build over stacked tables: each cut variant must agree with the whole in its cutoff's month, the two whole ones everywhere."""
+    rows = built.withColumns({"__v": (F.col("PERMNO") % VARIANTS).cast("int"), "PERMNO": F.floor(F.col("PERMNO") / VARIANTS)})
+    of = lambda cond: rows.where(cond).drop("__v")
+    last = F.get(F.array(*[F.lit(None).cast("date")] * 2, *(F.lit(c).cast("date") for c in cutoffs)), F.col("__v"))
+    keys = ["PERMNO", "MthCalDt"]
+    leak = mismatches(of((F.col("__v") == 0) & F.col("MthCalDt").isin(cutoffs)), of(F.col("MthCalDt") == last), keys, columns, tol)
+    again = mismatches(of("__v = 0"), of("__v = 1"), keys, columns, tol)
+    return union([
+        result(leak, "no_leakage_via_truncation", f"rows that change without later months, at {len(cutoffs)} cutoffs"), result(again, "reproducibility", "rows that differ between two builds"),
+    ])
+
+
 def fold_gap(folds: DataFrame, horizon: int) -> DataFrame:
     gap = month_number("test_start") - month_number("train_end")
     return result(folds.agg(F.count_if(gap <= horizon).alias("affected")), "fold_purge_embargo", f"folds whose gap is not above {horizon} months")
@@ -124,7 +160,7 @@ def predictions_in_window(predictions: DataFrame, folds: DataFrame) -> DataFrame
     """Rows of an unknown fold count as outside."""
     rows = predictions.join(F.broadcast(folds.select("fold_id", "test_start", "test_end")), "fold_id", "left")
     inside = F.coalesce(F.col("MthCalDt").between(F.col("test_start"), F.col("test_end")), F.lit(False))
-    return result(rows.agg(F.count_if(~inside).alias("affected")), "predictions_within_test_window", "predictions outside their fold's test months")
+    return result(rows.agg(F.count_if(~inside).alias("affected")), "predictions_within_fold_test_window", "predictions outside their fold's test months")
 
 
 def model_checks(predictions: DataFrame, folds: DataFrame, horizon: int = 1) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.shared import materialize
+
 QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+#: Ranges of values that exact quantiles are looked for in.
+RANGES = 64
 
 
 def _cells(df: DataFrame, columns: list[str], by: list[Column] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -29,25 +35,71 @@ def coverage_over_time(df: DataFrame, columns: list[str], unit: str = "year") ->
     return _cells(df, columns, [period.alias("period")]).groupBy("period", "column").agg((100 * F.count("value") / F.count(F.lit(1))).alias("pct_non_null"))
 
 
+def exact_quantiles(cells: DataFrame, probabilities: tuple[float, ...] = QUANTILES, ranges: int = RANGES) -> DataFrame:
+    """(column, q) of cells (column, value), value never null: exact quantiles with linear interpolation, without all values of a column in one place.
+
+    Approximate quantiles cut each column's values into ranges; counts by range say which ranges hold a wanted rank, and only the
+    distinct values of those are ordered, each range by itself. A value that a third of all rows share is one row by then.
+    """
+    few = F.broadcast  # what is broadcast has a row for each column and range
+    cuts = cells.groupBy("column").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"))
+    cells = cells.join(few(cuts), "column").select("column", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
+    counts = cells.groupBy("column", "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("column").orderBy("range"))
+    counts = counts.select("column", "range", (upto - F.col("n")).alias("start"), upto.alias("end"), F.sum("n").over(Window.partitionBy("column")).alias("total"))
+    counts = materialize(counts, "quantile-ranges")
+    places = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for i, p in enumerate(probabilities)))
+    wanted = counts.select("column", "range", "start", "end", F.explode(places).alias("p")).select("column", "range", "start", "end", F.col("p.i").alias("i"), F.col("p.at").alias("at"))
+    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= start and rank < end")
+    inside = cells.join(few(wanted.select("column", "range").distinct()), ["column", "range"]).groupBy("column", "range", "value").agg(F.count(F.lit(1)).alias("n"))
+    last = F.sum("n").over(Window.partitionBy("column", "range").orderBy("value"))
+    inside = inside.select("column", "range", "value", (last - F.col("n")).alias("from"), last.alias("to"))
+    hit = inside.join(few(wanted), ["column", "range"]).where((F.col("rank") - F.col("start") >= F.col("from")) & (F.col("rank") - F.col("start") < F.col("to")))
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
+    one = hit.groupBy("column", "i").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("q"))
+    return one.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def distributions(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """column, count, mean, std, min, quantiles, max. exact=False takes percentile_approx, whose state is bounded."""
-    q = F.array(*map(F.lit, QUANTILES))
-    many = F.percentile("value", q) if exact else F.percentile_approx("value", q, 10_000)
-    out = _cells(df, columns).where("value is not null").groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), many.alias("q"), F.max("value").alias("max")
-    )
+    """column, count, mean, std, min, quantiles, max. exact=False takes percentile_approx."""
+    cells = materialize(_cells(df, columns).where("value is not null"), "cells")  # read several times
+    out = cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    many = exact_quantiles(cells) if exact else cells.groupBy("column").agg(F.percentile_approx("value", F.array(*map(F.lit, QUANTILES)), 10_000).alias("q"))
+    out = out.join(F.broadcast(many), "column")  # a row for each column
     return out.select("column", "n", "mean", "std", "min", *(F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(QUANTILES)), "max")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, n, corr) for each pair of columns, over rows that have both; null without spread. One aggregation of moments."""
-    sums = []
-    for a, b in combinations(columns, 2):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        sums.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.covar_samp(x, y).alias("c"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy")))
-    rows = df.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    return rows.select("a", "b", "n", F.try_divide(F.col("c"), F.col("sx") * F.col("sy")).alias("corr"))
+    """(a, b, n, corr) for each pair of columns, a before b, over rows that have both; null without spread.
+
+    A task keeps cross products of values and of masks of what is there, as distances from the columns' means; of each pair it sends
+    one row.
+    """
+    p = len(columns)
+    mean = df.agg(*(F.avg(F.col(c).cast("double")) for c in columns)).first()
+    shift = np.array([x or 0.0 for x in mean])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x1, xy, xx = (np.zeros((p, p)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            n += m.T @ m
+            x1 += x.T @ m  # sums of a column's values where another one is there
+            xy += x.T @ x
+            xx += (x * x).T @ m
+        i, j = np.triu_indices(p, 1)
+        cells = (i.astype(np.int32), j.astype(np.int32), n[i, j], x1[i, j], x1[j, i], xy[i, j], xx[i, j], xx[j, i])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["i", "j", "n", "x", "y", "xy", "xx", "yy"])
+
+    parts = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(products, "i int, j int, n double, x double, y double, xy double, xx double, yy double")
+    sums = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")))
+    spread = lambda s, q: F.col("n") * F.col(q) - F.col(s) * F.col(s)
+    flat = (spread("x", "xx") <= 1e-12 * F.col("n") * F.col("xx")) | (spread("y", "yy") <= 1e-12 * F.col("n") * F.col("yy"))
+    corr = F.when(~flat, F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(F.greatest(spread("x", "xx"), F.lit(0.0))) * F.sqrt(F.greatest(spread("y", "yy"), F.lit(0.0)))))
+    names = F.array(*map(F.lit, columns))
+    return sums.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.col("n").cast("long").alias("n"), corr.alias("corr"))
 
 
 def outliers(df: DataFrame, columns: list[str], n_std: float = 3.0) -> DataFrame:

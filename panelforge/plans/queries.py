@@ -347,11 +347,26 @@ def d4_distributions(spark, sf_dir):
     return shown(diagnostics.distributions(_raw(spark, sf_dir), _D))
 
 
-@query(O.raw_sql(" union all ".join(f"select '{a}' as a, '{b}' as b, cast(count(*) as bigint) as n, round(corr({a}, {b}), 6) + 0.0 as corr from raw where {a} is not null and {b} is not null" for i, a in enumerate(_D) for b in _D[i + 1 :]), _D))
+def _corr(columns: list[str]) -> str:
+    names = ", ".join(columns)
+    cells = f"""cells as (select PERMNO, MthCalDt, c, value, list_position([{", ".join(map(repr, columns))}], c) as i
+  from (select * from (select PERMNO, MthCalDt, {", ".join(f"cast({c} as double) as {c}" for c in columns)} from raw) unpivot (value for c in ({names}))))"""
+    pairs = f"select x.a, y.b from (select unnest([{', '.join(map(repr, columns))}]) as a, unnest(range({len(columns)})) as i) x join (select unnest([{', '.join(map(repr, columns))}]) as b, unnest(range({len(columns)})) as j) y on i < j"
+    return O.raw_sql("select p.a, p.b, cast(coalesce(n, 0) as bigint) as n, case when sx > 0 and sy > 0 then round(corr, 6) + 0.0 end as corr from pairs p left join found f on p.a = f.a and p.b = f.b", columns,
+        f"{cells}, pairs as ({pairs}), found as (select x.c as a, y.c as b, count(*) as n, corr(x.value, y.value) as corr, stddev_pop(x.value) as sx, stddev_pop(y.value) as sy from cells x join cells y on x.PERMNO = y.PERMNO and x.MthCalDt = y.MthCalDt and x.i < y.i group by 1, 2)")
+
+
+@query(_corr(_D))
 def d5_correlations(spark, sf_dir):
     return shown(diagnostics.correlations(_raw(spark, sf_dir), _D))
 
 
+@query(_corr(_ALL))
+def d5_correlations_all_features(spark, sf_dir):
+    """All 1275 pairs."""
+    return shown(diagnostics.correlations(_raw(spark, sf_dir), _ALL))
+
+
 @query(_d("d6_outliers", """select c."column", cast(count(*) as bigint) as n, round(100 * avg(case when abs(value - m) > 3 * s then 1.0 else 0.0 end), 6) + 0.0 as pct_outlier
 from cells c join (select "column", avg(value) as m, stddev_samp(value) as s from cells group by 1) z on c."column" = z."column" where value is not null group by 1"""))
 def d6_outliers(spark, sf_dir):
@@ -406,11 +421,11 @@ def _affected(parts: dict[str, str]) -> str:
 
 
 @query(O.ready_sql(_affected({
-    "no_duplicate_keys": "(select count(*) - count(distinct (PERMNO, MthCalDt)) from plain)",
+    "no_duplicate_permno_month_keys": "(select count(*) - count(distinct (PERMNO, MthCalDt)) from plain)",
     "no_calendar_gaps": "(select count(*) from (select year(MthCalDt) * 12 + month(MthCalDt) as m, lag(year(MthCalDt) * 12 + month(MthCalDt)) over (partition by PERMNO order by MthCalDt) as p from plain) where m - p > 1)",
     "no_infinite_values": f"(select {' + '.join(f'count(case when isinf({c}) then 1 end)' for c in features.NAMES)} from plain)",
     "registry_source_columns_exist": f"(select count(*) from (select unnest([{', '.join(map(repr, _SOURCES))}]) as c) where c not in (select unnest(json_keys(to_json(r))) from (select * from ready limit 1) r))",
-    "return_based_feature_bounds": f"(select {' + '.join(f'count(case when {c} < -1 then 1 end)' for c in checks.RETURN_FEATURES)} from plain)",
+    "return_based_features_above_negative_100pct": f"(select {' + '.join(f'count(case when {c} < -1 then 1 end)' for c in checks.RETURN_FEATURES)} from plain)",
     "denominator_handling": f"(select {' + '.join(f'count(case when {f} is not null and ({d} is null or {d} <= 0) then 1 end)' for f, d in checks.DENOMINATORS.items())} from plain)",
 }), f"plain as (select *, {', '.join(f'{O.FEATURES[c]} as {c}' for c in features.NAMES)} from ready)"))
 def v1_to_v6_table_checks(spark, sf_dir):
@@ -422,17 +437,17 @@ def v1_to_v6_table_checks(spark, sf_dir):
     return shown(checks.union(found).select("check_name", "affected"))
 
 
-@query()
+@query("""select check_name, cast(1 as bigint) as passed, cast(0 as bigint) as affected from (values ('no_leakage_via_truncation'), ('reproducibility'), ('cross_sectional_isolation')) as v(check_name)""")
 def v7_to_v12_behaviour_checks(spark, sf_dir):
-    """No look-ahead, reproducibility and isolation of all features, at every sampled month."""
-    master, t = _master(spark, sf_dir)
-    annual, names = t["compustat_fundamentals_annual"], list(features.NAMES)
-    # Every rebuild reads the sample again.
-    some = master.join(F.broadcast(checks.sampled_entities(master)), "PERMNO", "left_semi").cache()
-    build = lambda p: features.raw_features(p, annual)
-    dates, raw = checks.sampled_dates(master), _raw(spark, sf_dir)
+    """No look-ahead, reproducibility and isolation of all features, at every sampled month. The raw tables are cut, so that the as-of joins are seen too."""
+    t, names = by_raw_name(relations(spark, sf_dir)), list(features.NAMES)
+    dates = checks.sampled_dates(t["crsp_monthly_stock"])
+    some = t | {"crsp_monthly_stock": t["crsp_monthly_stock"].join(F.broadcast(checks.sampled_entities(t["crsp_monthly_stock"])), "PERMNO", "left_semi")}
+    stack = checks.stacked(some, dates)
+    built = materialize(features.raw_features(panel.master_panel(stack), stack["compustat_fundamentals_annual"]), "variants")
+    raw = materialize(_raw(spark, sf_dir), "raw")
     scaled = lambda d: crosssection.model_ready(d, list(features.KEYS), names)
-    return checks.union([checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names)])
+    return shown(checks.union([checks.variant_checks(built, dates, names), checks.isolated(scaled, raw, dates, names)]).select("check_name", "passed", "affected"))
 
 
 # ---- targets, folds, models
@@ -604,7 +619,7 @@ def m21_m22_permutation_importance_boosting(spark, sf_dir):
     "fold_purge_embargo": "(select count(*) from folds where year(test_start) * 12 + month(test_start) - year(train_end) * 12 - month(train_end) <= 1)",
     "folds_expanding": "(select count(*) from (select *, lag(train_start) over (order by fold_id) as s, lag(train_end) over (order by fold_id) as e from folds) where train_start <> s or train_end <= e)",
     "no_duplicate_predictions": "(select count(*) - count(distinct (PERMNO, MthCalDt, model)) from preds)",
-    "predictions_within_test_window": "(select count(*) from preds p left join folds f on p.fold_id = f.fold_id where coalesce(not MthCalDt between test_start and test_end, true))",
+    "predictions_within_fold_test_window": "(select count(*) from preds p left join folds f on p.fold_id = f.fold_id where coalesce(not MthCalDt between test_start and test_end, true))",
 }) + ")", _P))
 def v13_to_v17_model_checks(spark, sf_dir):
     predictions, _, folds = _predictions(spark, sf_dir)

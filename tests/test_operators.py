@@ -213,7 +213,7 @@ def test_default_runners_are_all_estimators_and_trees_score(spark, day):
     rng = np.random.default_rng(3)
     x = rng.normal(size=200)
     df = spark.createDataFrame([(i, day("2000-01-31"), float(v), float(v**2)) for i, v in enumerate(x)] + [(200, day("2000-01-31"), None, 1.0)], "PERMNO long, MthCalDt date, f double, t double")
-    few = {"random_forest": {"trees": (5,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,)}}
+    few = {"random_forest": {"trees": (20,), "max_depth": (3,), "min_samples_leaf": (5, 1000), "max_features": ("sqrt", 0.5)}, "hist_gradient_boosting": {"rounds": (5,), "max_depth": (3, None), "learning_rate": (0.1,)}}
     small = tuple(replace(e, grid=few[e.name]) for e in models.ESTIMATORS if e.name in few)
     for name in few:
         fold = targets.Fold(0, *[day("2000-01-31")] * 7)
