@@ -90,6 +90,11 @@ def registry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, category string, sources string, window int, least int, twin string, for_models boolean")
 
 
+def collinear_pairs(spark: SparkSession) -> DataFrame:
+    """(a, b): pairs of features that are the same or each other's negative; models leave out b."""
+    return spark.createDataFrame([(f.twin, f.name) for f in REGISTRY if f.twin], "a string, b string")
+
+
 def names_by_category(spark: SparkSession) -> DataFrame:
     """(category, n, names): names in registry order, comma-joined."""
     rows = registry_table(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("position", "name"))).alias("p"))

@@ -11,6 +11,8 @@ from panelforge.sources.io import date_counts
 from panelforge.sources.schema import DatasetSpec
 
 SAMPLES = 5
+#: Sketches of one pass over a table.
+SKETCHES = 128
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
@@ -56,32 +58,26 @@ def profile_dates(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 def suggest_key(df: DataFrame, longest: int = 3) -> tuple[str, ...] | None:
     """The first smallest combination of columns, in table order, without duplicates; () for an empty table, None without one of up to `longest` columns.
 
-    A combination can be unique only if the product of its columns' distinct counts reaches the number of rows; the rest is counted,
-    all combinations of one size in one pass.
+    One pass keeps a distinct-count sketch for each combination of a size; only combinations whose estimate comes near the number of rows
+    are counted exactly, in order. A combination that holds a smaller one's columns can't be excluded by it, so each size is one pass.
     """
-    columns = df.columns
-    first = df.agg(F.count(F.lit(1)).alias("__n"), *(F.count_distinct(F.struct(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(columns))).first()
-    n = first["__n"]
+    columns, few = df.columns, 0.02
+    n = df.count()
     if n == 0:
         return ()
-    own = [first[f"c{i}"] for i in range(len(columns))]
-    for i, c in enumerate(columns):
-        if own[i] == n:
-            return (c,)
-    for size in range(2, longest + 1):
-        combos = []
-        for at in combinations(range(len(columns)), size):
-            room = 1
-            for i in at:
-                room *= own[i]
-            if room >= n:
-                combos.append(at)
-        for a in range(0, len(combos), 16):
-            part = combos[a : a + 16]
-            got = df.agg(*(F.count_distinct(F.struct(*(F.col(f"`{columns[i]}`") for i in at))).alias(f"k{j}") for j, at in enumerate(part))).first()
-            for j, at in enumerate(part):
-                if got[f"k{j}"] == n:
-                    return tuple(columns[i] for i in at)
+    together = lambda at: F.struct(*(F.col(f"`{columns[i]}`") for i in at))
+    for size in range(1, longest + 1):
+        combos = list(combinations(range(len(columns)), size))
+        if not combos:
+            break
+        near: list[tuple[int, ...]] = []
+        for a in range(0, len(combos), SKETCHES):
+            part = combos[a : a + SKETCHES]
+            got = df.agg(*(F.approx_count_distinct(F.xxhash64(*(F.col(f"`{columns[i]}`") for i in at)), few).alias(f"k{j}") for j, at in enumerate(part))).first()
+            near += [at for j, at in enumerate(part) if got[f"k{j}"] >= n * (1 - 6 * few)]
+        for at in near:  # in table order; the exact count is one shuffle of the combination's distinct values
+            if df.select(together(at).alias("key")).distinct().count() == n:
+                return tuple(columns[i] for i in at)
     return None
 
 

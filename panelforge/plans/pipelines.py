@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from panelforge.operators import checks, features, ic, integrity, panel, perform
 from panelforge.operators.cleaning import clean, cleaning_summary, duplicate_summary
 from panelforge.operators.crosssection import model_ready
 from panelforge.operators.models import Runner, runners, walk_forward
-from panelforge.sources.io import INTERIM, load_all_raw, parse_dates, read_interim, read_table, write_result, write_table
+from panelforge.sources.io import INTERIM, load_all_raw, overwrite_years, parse_dates, read_interim, read_table, write_result, write_table
 from panelforge.sources.schema import DATASETS
 
+#: Rows of a security that the longest window reaches back.
+WINDOW_ROWS = 36
+
 
 def validate(spark: SparkSession, raw: str, interim: str, reports: str) -> dict[str, DataFrame]:
     """Raw CSV -> profiles, findings and interim Parquet tables."""
@@ -41,7 +46,7 @@ def build_panel(spark: SparkSession, interim: str, processed: str, reports: str)
 def build_features(spark: SparkSession, processed: str, interim: str, reports: str, entities: int = 40, months: int = 3) -> dict[str, DataFrame]:
     """Master panel -> raw and model-ready features, checks, registry."""
     master, annual = read_table(spark, processed, "master_panel").drop("year"), read_table(spark, interim, "compustat_fundamentals_annual")
-    write_table(features.raw_features(master, annual), processed, "features_raw", "MthCalDt")
+    write_table(panel.finite_columns(features.raw_features(master, annual), list(features.NAMES)), processed, "features_raw", "MthCalDt")
     raw = read_table(spark, processed, "features_raw").drop("year")
     write_table(model_ready(raw, list(features.KEYS), list(features.NAMES)), processed, "features_model_ready", "MthCalDt")
     found = feature_checks(raw, master, annual, entities, months)
@@ -51,6 +56,33 @@ def build_features(spark: SparkSession, processed: str, interim: str, reports: s
     return {"checks": found, "registry": features.registry_table(spark)}
 
 
+def append_months(spark: SparkSession, interim: str, processed: str, since: dt.date) -> int:
+    """Interim tables with new months from `since` on -> the years of master panel and features that they touch; gives the first of these.
+
+    A security's last row before the new months is no longer its last one, so its year is made again too; all earlier years stay as they
+    are. Features are built from those years and the rows before them that the windows reach: WINDOW_ROWS rows of a security, from the
+    months just before, and from further back only for securities with gaps.
+    """
+    tables = read_interim(spark, interim)
+    monthly = tables["crsp_monthly_stock"]
+    renewed = monthly.where(F.col("MthCalDt") >= F.lit(since)).select("PERMNO").distinct()
+    last = monthly.where(F.col("MthCalDt") < F.lit(since)).join(renewed, "PERMNO", "left_semi").groupBy("PERMNO").agg(F.max("MthCalDt").alias("last")).agg(F.min("last")).first()[0]
+    year = min(since.year, last.year if last else since.year)
+    made = panel.master_panel(tables | {"crsp_monthly_stock": monthly.where(F.col("MthCalDt") >= F.lit(dt.date(year, 1, 1)))})
+    overwrite_years(made, processed, "master_panel", "MthCalDt")
+
+    master, start = read_table(spark, processed, "master_panel"), dt.date(year, 1, 1)
+    near = dt.date(year - 1 - WINDOW_ROWS // 12, 1, 1)
+    rows = master.where(F.col("year") >= near.year)
+    short = rows.groupBy("PERMNO").agg(F.count_if(F.col("MthCalDt") < F.lit(start)).alias("n")).where(f"n < {WINDOW_ROWS}").select("PERMNO")
+    rows = rows.unionByName(master.where(F.col("year") < near.year).join(short, "PERMNO", "left_semi")).drop("year")
+    raw = features.raw_features(rows, tables["compustat_fundamentals_annual"]).where(F.col("MthCalDt") >= F.lit(start))
+    overwrite_years(panel.finite_columns(raw, list(features.NAMES)), processed, "features_raw", "MthCalDt")
+    raw = read_table(spark, processed, "features_raw").where(F.col("year") >= year).drop("year")
+    overwrite_years(model_ready(raw, list(features.KEYS), list(features.NAMES)), processed, "features_model_ready", "MthCalDt")
+    return year
+
+
 def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entities: int = 40, months: int = 3) -> DataFrame:
     """All table checks. The behavioural ones rebuild a sample of securities, as rebuilding all would cost as much as the job."""
     names = list(features.NAMES)

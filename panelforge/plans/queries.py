@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import asof, checks, cleaning, crosssection, diagnostics, features, ic, integrity, models, panel, performance, portfolio, profiling, targets
 from panelforge.plans import oracle as O
+from panelforge.plans import pipelines
 from panelforge.plans.relations import by_raw_name, ctes, relations
-from panelforge.sources.io import date_counts
-from panelforge.sources.shared import materialize
+from panelforge.sources.io import date_counts, read_interim, read_table, write_raw, write_table
+from panelforge.sources.schema import DATASETS
+from panelforge.sources.shared import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,12 +131,29 @@ def pr1_column_samples(spark, sf_dir):
     return profiling.column_samples(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderpriority")).withColumn("samples", F.array_join("samples", ","))
 
 
-@query("select 'o_orderkey' as key_columns")
+def _key_sql(table: str, columns: list[str], longest: int = 3) -> str:
+    """The first smallest combination without duplicates, by exact counts of all."""
+    combos = [c for k in range(1, longest + 1) for c in combinations(columns, k)]
+    counts = " union all ".join(f"select {i} as i, '{','.join(c)}' as key_columns, count(distinct ({', '.join(c)}, 1)) as d, count(*) as n from t" for i, c in enumerate(combos))
+    return f"with t as ({table}), c as ({counts}) select (select key_columns from c where d = n order by i limit 1) as key_columns"
+
+
+@query(_key_sql("select o_orderstatus, o_custkey, o_orderkey from orders", ["o_orderstatus", "o_custkey", "o_orderkey"]))
 def pr3_suggest_key(spark, sf_dir):
     key = profiling.suggest_key(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_custkey", "o_orderkey"))
     return spark.createDataFrame([(",".join(key) if key is not None else None,)], "key_columns string")
 
 
+_MONTHLY = ["PERMNO", "MthRetFlg", "ShrOut", "MthCalDt"]
+
+
+@query(f"with {ctes('crsp')}, t0 as (select * from crsp), " + _key_sql("select PERMNO, MthRetFlg, ShrOut, MthCalDt from t0", _MONTHLY).removeprefix("with "))
+def pr3_suggest_key_of_two_columns(spark, sf_dir):
+    """No column of the monthly table is a key by itself."""
+    key = profiling.suggest_key(relations(spark, sf_dir)["crsp"].select(*_MONTHLY))
+    return spark.createDataFrame([(",".join(key) if key is not None else None,)], "key_columns string")
+
+
 @query("""with f as (select l_orderkey, l_linenumber, l_returnflag, l_linestatus, count(*) as n from lineitem group by all),
 k as (select l_orderkey, l_linenumber, sum(n) as n, sum(case when n > 1 then n else 0 end) as exact from f group by 1, 2)
 select 'l_orderkey,l_linenumber' as key_columns, 'declared' as key_source, cast(sum(n) as bigint) as rows, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as duplicate_key_rows,
@@ -161,7 +182,9 @@ _IC = [
     _finding_sql("compustat_gvkey_in_ccm", "compustat_fundamentals_annual,ccm_link_table", "select GVKEY not in (select gvkey from links) as flag, GVKEY as v from (select distinct GVKEY from fund)", "v"),
     _finding_sql("ccm_link_period_overlaps", "ccm_link_table", "select bool_or(coalesce(e > nxt, false)) as flag, 'gvkey=' || gvkey || ', LIID=' || LIID as v from (select gvkey, LIID, coalesce(LINKENDDT, date '2099-12-31') as e, lead(LINKDT) over (partition by gvkey, LIID order by LINKDT, coalesce(LINKENDDT, date '2099-12-31')) as nxt from links) group by gvkey, LIID", "v"),
     _finding_sql("fama_french_month_coverage", "fama_french_5f_momentum_monthly,crsp_monthly_stock", "select m not in (select strftime(dateff, '%Y-%m') from factors) as flag, m as v from (select distinct strftime(MthCalDt, '%Y-%m') as m from crsp)", "v"),
-    "select 'identifier_naming_consistency', 'ccm_link_table,compustat_fundamentals_annual,crsp_delisting,crsp_monthly_stock,fama_french_5f_momentum_monthly', 'info', cast(2 as bigint), cast(3 as bigint), 'gvkey|permno'",
+    "select 'identifier_naming_consistency', 'ccm_link_table,compustat_fundamentals_annual,crsp_delisting,crsp_monthly_stock,fama_french_5f_momentum_monthly', case when count(*) = 0 then 'ok' else 'info' end, cast(count(*) as bigint), "
+    f"cast({len(integrity.SPELLINGS)} as bigint), coalesce(string_agg(k, '|' order by k), '') from (select k from (" + " union all ".join(f"select '{k}' as k, unnest([{', '.join(map(repr, v))}]) as c" for k, v in integrity.SPELLINGS.items())
+    + ") s where c in (" + " union all ".join(f"select unnest(json_keys(to_json(r))) from (select * from {t} limit 1) r" for t in ("crsp", "fund", "links", "delist", "factors")) + ") group by k having count(distinct c) > 1)",
 ]
 
 
@@ -403,6 +426,19 @@ def d9_unit_audit(spark, sf_dir):
     return shown(diagnostics.unit_audit(_master(spark, sf_dir)[0]))
 
 
+_TWINS = [(f.twin, f.name) for f in features.REGISTRY if f.twin]
+
+
+@query(O.raw_sql(" union all ".join(f"select '{a}' as a, '{b}' as b, cast(count(*) as bigint) as n, cast(count(*) filter (where {a} <> {b}) as bigint) as unlike, round(corr({a}, {b}), 6) + 0.0 as corr from raw where {a} is not null and {b} is not null" for a, b in _TWINS), sorted({c for t in _TWINS for c in t})))
+def r4_collinear_pairs(spark, sf_dir):
+    """The registry's pairs of features of which models take one, and how far their values agree."""
+    raw = _raw(spark, sf_dir)
+    pairs = features.collinear_pairs(spark)
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in _TWINS]
+    rows = raw.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null and y is not null").join(F.broadcast(pairs), ["a", "b"])  # a row for each pair
+    return shown(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") != F.col("y")).alias("unlike"), F.corr("x", "y").alias("corr")))
+
+
 @query(O.raw_sql("select category, cast(count(*) as bigint) as features, cast(sum(n) as bigint) as \"values\" from (" + " union all ".join(f"select '{f.category}' as category, count({f.name}) as n from raw" for f in features.REGISTRY) + ") group by 1", _ALL))
 def r1_to_r4_registry_coverage(spark, sf_dir):
     """The registry's categories with the values that the features of each have."""
@@ -703,6 +739,97 @@ def b9_b10_factor_regression(spark, sf_dir):
     return shown(performance.factor_regression(_returns(spark, sf_dir), portfolio.factor_months(master, list(performance.FACTORS))))
 
 
+# ---- the composed jobs, written and read back
+
+def _folders(spark: SparkSession) -> dict[str, str]:
+    """New folders below the shared one."""
+    top = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    return {k: f"{top}/{k}" for k in ("raw", "interim", "processed", "reports")}
+
+
+def _interim(spark: SparkSession, sf_dir: str, folder: str, before: str | None = None) -> None:
+    """The interim tables; the monthly one up to a month, if given."""
+    for name, df in by_raw_name(relations(spark, sf_dir)).items():
+        write_table(df.where(f"MthCalDt < '{before}'") if before and name == "crsp_monthly_stock" else df, folder, name)
+
+
+_NAMES = "select s_suppkey as permno, s_suppkey as permco, concat('T', cast(s_suppkey as string)) as ticker, s_name as issuernm, cast(3000 + (s_suppkey * 37) % 4000 as bigint) as siccd from {supplier}"
+
+
+@query(f"with {ctes('crsp', 'fund', 'links', 'delist', 'factors')}\n" + """
+select 'crsp_monthly_stock' as dataset, cast(count(*) as bigint) as rows, cast(count(*) filter (where ShrOut % 19 = 0) as bigint) as dropped, round(sum(MthPrc), 3) + 0.0 as total, cast(max(MthCalDt) as varchar) as last_date from crsp
+union all select 'crsp_delisting', count(*), 0, round(sum(DelRet), 3) + 0.0, cast(max(DelistingDt) as varchar) from delist
+union all select 'ccm_link_table', count(*), 0, round(sum(gvkey), 3) + 0.0, cast(max(LINKENDDT) as varchar) from links
+union all select 'compustat_fundamentals_annual', count(*), 0, round(sum(revt), 3) + 0.0, cast(max(datadate) as varchar) from fund
+union all select 'fama_french_5f_momentum_monthly', count(*), 0, round(sum(mktrf), 3) + 0.0, cast(max(dateff) as varchar) from factors""")
+def pl1_raw_to_interim(spark, sf_dir):
+    """CSV files with repeated rows, sentinels and dates as text -> profiles, findings, cleaned interim tables, read back."""
+    at, t = _folders(spark), by_raw_name(relations(spark, sf_dir))
+    t["crsp_monthly_stock"] = t["crsp_monthly_stock"].unionByName(t["crsp_monthly_stock"].where("ShrOut % 19 = 0"))
+    t["crsp_names"] = spark.sql(_NAMES, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    for name, df in t.items():
+        write_raw(df, DATASETS[name], at["raw"], {"LINKENDDT": "E"})
+    made = pipelines.validate(spark, at["raw"], at["interim"], at["reports"])
+    sums = {"crsp_monthly_stock": ("MthPrc", "MthCalDt"), "crsp_delisting": ("DelRet", "DelistingDt"), "ccm_link_table": ("gvkey", "LINKENDDT"), "compustat_fundamentals_annual": ("revt", "datadate"), "fama_french_5f_momentum_monthly": ("mktrf", "dateff")}
+    parts = []
+    for name, df in read_interim(spark, at["interim"]).items():
+        value, date = sums[name]
+        one = df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.sum(F.col(value).cast("double")).alias("total"), F.max(date).cast("string").alias("last_date"))
+        parts.append(one.crossJoin(made[f"{name}_cleaning"].select(F.col("rows_dropped").alias("dropped"))))  # one row
+    return shown(checks.union(parts), 3)
+
+
+_BY_YEAR = "cast(year(MthCalDt) as bigint) as year, cast(count(*) as bigint) as rows"
+
+
+@query(O.master_sql(f"select {_BY_YEAR}, cast(count(gvkey) as bigint) as linked, cast(count(*) filter (where is_delisted) as bigint) as delisted, round(sum(ret_adj), 6) + 0.0 as ret_adj, round(sum(cst_revt) / 1e9, 6) + 0.0 as revt from master group by 1"))
+def pl2_master_panel_job(spark, sf_dir):
+    """Interim tables -> master panel by year, read back."""
+    at = _folders(spark)
+    _interim(spark, sf_dir, at["interim"])
+    pipelines.build_panel(spark, at["interim"], at["processed"], at["reports"])
+    rows = read_table(spark, at["processed"], "master_panel").groupBy("year")
+    return shown(rows.agg(F.count(F.lit(1)).alias("rows"), F.count("gvkey").alias("linked"), F.count_if("is_delisted").alias("delisted"), F.sum("ret_adj").alias("ret_adj"), (F.sum("cst_revt") / 1e9).alias("revt")))
+
+
+_TOLD = ["mom_12m", "vol_12m", "skew_36m", "beta_24m", "size_relative_mktcap", "growth_sales"]
+_PL3_SQL = O.raw_sql(f"select {_BY_YEAR}, " + ", ".join(f"cast(count({c}) as bigint) as n_{c}, round(sum({c}), 4) + 0.0 as {c}" for c in _TOLD) + " from raw group by 1", _TOLD)
+
+
+def _told(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "features_raw").groupBy("year")
+    return shown(rows.agg(F.count(F.lit(1)).alias("rows"), *(x for c in _TOLD for x in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(c)))), 4)
+
+
+@query(_PL3_SQL)
+def pl3_monthly_append(spark, sf_dir):
+    """Panel and features up to three months before the end, then the last months appended: equal to a full build."""
+    at = _folders(spark)
+    months = targets.months_of(relations(spark, sf_dir)["crsp"])
+    since = months[-3]
+    _interim(spark, sf_dir, at["interim"], str(since))
+    pipelines.build_panel(spark, at["interim"], at["processed"], at["reports"])
+    master, annual = read_table(spark, at["processed"], "master_panel").drop("year"), read_table(spark, at["interim"], "compustat_fundamentals_annual")
+    write_table(features.raw_features(master, annual), at["processed"], "features_raw", "MthCalDt")
+    _interim(spark, sf_dir, at["interim"])
+    pipelines.append_months(spark, at["interim"], at["processed"], since)
+    return _told(spark, at["processed"])
+
+
+@query(O.raw_sql("""select model, kind, round(avg(r) * 12, 6) + 0.0 as annualized_return, round(stddev_samp(r) * sqrt(12), 6) + 0.0 as annualized_vol, cast(count(*) as bigint) as n_periods
+from (select MthCalDt, model, 'gross' as kind, gross_return as r from rets union all select MthCalDt, model, 'net', net_return from rets) group by 1, 2""", ["mom_12_1"],
+    f"{_T},{_F},{_P.replace('preds as (', 'momentum as (')}, preds as (select PERMNO, MthCalDt, 'equal_weight' as model, fold_id, target_raw, target_demeaned as y_true, 0.0 as y_pred from usable join folds on MthCalDt between test_start and test_end),{_W},{_R}"))
+def pl3_to_pl5_jobs(spark, sf_dir):
+    """Features with all checks, folds and predictions of a baseline, backtest: each job reads what the one before has written."""
+    at = _folders(spark)
+    _interim(spark, sf_dir, at["interim"])
+    pipelines.build_panel(spark, at["interim"], at["processed"], at["reports"])
+    pipelines.build_features(spark, at["processed"], at["interim"], at["reports"], entities=10, months=1)
+    pipelines.run_models(spark, at["processed"], at["reports"], ["mom_12_1"], CONFIG, {"equal_weight": models.equal_weight})
+    out = pipelines.run_backtest(spark, at["processed"], at["reports"])
+    return shown(out["performance"].select("model", "kind", "annualized_return", "annualized_vol", "n_periods"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum and volatility, rank-scaled by month, top and bottom decile of their sum, gross returns by month."""
     master, t = _master(spark, sf_dir)

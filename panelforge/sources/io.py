@@ -79,6 +79,19 @@ def write_table(df: DataFrame, folder: str, name: str, date_column: str | None =
         writer(out).parquet(f"{folder}/{name}.parquet")
 
 
+def overwrite_years(df: DataFrame, folder: str, name: str, date_column: str) -> None:
+    """Rewrites the years that df has of a table that write_table partitioned by year; all other years stay as they are."""
+    out = df.withColumn("year", F.year(date_column))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{folder}/{name}.parquet")
+
+
+def write_raw(df: DataFrame, spec: DatasetSpec, folder: str, sentinel: dict[str, str] | None = None) -> None:
+    """CSV sink in the raw layout: all columns of the spec, missing ones empty; sentinel: what stands for no date, by column."""
+    cell = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    out = df.select(*(F.coalesce(cell(c), F.lit((sentinel or {}).get(c))).alias(c) for c in spec.types))
+    out.write.mode("overwrite").option("header", True).csv(f"{folder}/{spec.filename}")
+
+
 def write_result(df: DataFrame, folder: str, name: str, kind: str = "csv") -> None:
     """Sink of a small result table, one file of CSV or JSON lines."""
     writer = df.coalesce(1).write.mode("overwrite")
