@@ -161,7 +161,7 @@ def time_forward(nodes: DataFrame) -> DataFrame:
     """Totals of nodes (depth, k1, k2, p1, p2, top, own, children, leaves, saved), each partition a set of whole shards.
 
     top: the parent is elsewhere; own: the node's own share of saved; the last three: what has come from elsewhere. A node without
-    children is a leaf. Partitions are sorted by Spark, deepest level first.
+    children is a leaf. No column may be null. Partitions are sorted by Spark, deepest level first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     light = shared.where(~heavy).join(light, "conv_id").withColumn("top", F.col("depth") == F.col("shard.d")).withColumns({"leaves": F.col("children"), "saved": zero})
     totals = materialize(time_forward(light.repartition("shard.s1", "shard.s2")), "pt-shards")
     sent = totals.where("top").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count(F.lit(1)).alias("c"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-    crown = crown.join(sent, key, "left").withColumns({"leaves": F.coalesce("leaves", zero) + F.col("children"), "children": F.col("children") + F.coalesce("c", zero), "saved": F.coalesce("saved", zero), "top": F.col("depth") == 0})
+    crown = crown.join(sent, key, "left").withColumns({"leaves": F.coalesce("leaves", zero) + F.col("children"), "children": F.col("children") + F.coalesce("c", zero), "saved": F.coalesce("saved", zero), "top": F.col("depth") == 0, "p1": F.coalesce("p1", zero), "p2": F.coalesce("p2", zero)})
     upper = time_forward(crown.repartition(1))
 
     found = ["n_children", "n_leaves", "saved_tokens"]
