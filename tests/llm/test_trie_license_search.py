@@ -87,7 +87,7 @@ def test_prefix_trie_of_repeated_rows_and_of_nothing(spark):
 
 
 def test_running_sums_go_over_ranges(spark):
-    rows = spark.createDataFrame([(k, i, (i * 7919 + k) * 10**15) for k, n in ((1, 500), (2, 3), (-4, 900), (9, 1)) for i in range(n)], "k long, i long, v long")
+    rows = spark.createDataFrame([(k, i, (i * 7919 + k) * 10**12) for k, n in ((1, 500), (2, 3), (-4, 900), (9, 1)) for i in range(n)], "k long, i long, v long")
     got = trie.running_sums(rows, "k", ["i"], ["v"], "sums").collect()
     assert len(got) == 1404
     sums = defaultdict(int)
@@ -168,8 +168,8 @@ def test_license_tags(spark):
     texts = ["# SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND BSD-3-Clause\nword", '"license": "Apache-2.0",', "License: this is none", "SPDX-License-Identifier:", "license: MIT license: GPL-3.0", long, "license:" * 50_000]
     start = time.monotonic()
     got = {r.doc_id: [(f.kind, f.label, f.expression and f.expression[:40], f.grade) for f in r.findings] for r in licenses.license_findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0] == [("tag", "bsd-3", "(MIT OR GPL-3.0-only) AND BSD-3-Clause", 1.0), ("tag", "mit", "(MIT OR GPL-3.0-only) AND BSD-3-Clause", 1.0)]
-    assert got[1] == [("tag", "apache-2", "Apache-2.0", 1.0)] and got[2] == [] and got[3] == [] and got[6] == []
+    assert [x for x in got[0] if x[0] == "tag"] == [("tag", "bsd-3", "(MIT OR GPL-3.0-only) AND BSD-3-Clause", 1.0), ("tag", "mit", "(MIT OR GPL-3.0-only) AND BSD-3-Clause", 1.0)]
+    assert [x[:3] for x in got[1] if x[0] == "tag"] == [("tag", "apache-2", "Apache-2.0")] and got[2] == [] and got[3] == [] and got[6] == []
     assert [x[1] for x in got[4] if x[0] == "tag"] == ["mit", "gpl-3"] and [x[1] for x in got[5]] == ["mit"]
     assert time.monotonic() - start < 30
 
