@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import product
@@ -22,6 +23,7 @@ from panelforge.operators.trees import TreeModel, TreeSpec, fit_trees
 from panelforge.sources.shared import materialize
 
 KEYS = ("PERMNO", "MthCalDt")
+FOLDS_SIDE_BY_SIDE = 4
 Model = LinearModel | TreeModel
 
 
@@ -160,22 +162,32 @@ def tune(estimator: Estimator, train: DataFrame, validation: DataFrame, features
     return candidates[at], ics[at], list(zip(candidates, ics, strict=True))
 
 
+def _each(folds: list[Fold], do: Callable[[Fold], object]) -> dict[int, object]:
+    """do(fold) by fold, a few folds side by side: a fold's last fit alone would leave most of a cluster idle."""
+    with ThreadPoolExecutor(FOLDS_SIDE_BY_SIDE) as pool:
+        return dict(zip([f.fold_id for f in folds], pool.map(do, folds), strict=True))
+
+
 def tuned(estimator: Estimator, training: Training) -> dict[int, list[tuple[dict, float | None]]]:
     """The trials of all candidates on every fold's inner split. Linear models of all folds come from one pass by months; the ICs are one plan."""
     candidates = estimator.candidates()
-    models = {f.fold_id: _fitted(estimator, candidates, training.moments(f, "inner_train") if estimator.solve else None, training.window(f, "inner_train"), training.features, training.target, training.config.seed) for f in training.folds}
+    if estimator.solve:
+        training.monthly  # noqa: B018 - the one pass, before the folds ask for it
+    fitted = lambda f: _fitted(estimator, candidates, training.moments(f, "inner_train") if estimator.solve else None, training.window(f, "inner_train"), training.features, training.target, training.config.seed)
+    models = _each(training.folds, fitted)
     ics = candidate_ics(complete_cases(training.rows("inner_val"), training.needed), training.features, training.target, models)
     return {f: list(zip(candidates, ics[f], strict=True)) for f in models}
 
 
 def refitted(estimator: Estimator, training: Training) -> dict[int, Model | None]:
     """Each fold's model: tuned on the inner split, fitted on the whole training window."""
-    out = {}
     trials = tuned(estimator, training)
-    for f in training.folds:
+
+    def one(f: Fold) -> Model | None:
         params = trials[f.fold_id][_best([ic for _, ic in trials[f.fold_id]])][0]
-        out[f.fold_id] = _fitted(estimator, [params], training.moments(f, "train") if estimator.solve else None, training.window(f, "train"), training.features, training.target, training.config.seed)[0]
-    return out
+        return _fitted(estimator, [params], training.moments(f, "train") if estimator.solve else None, training.window(f, "train"), training.features, training.target, training.config.seed)[0]
+
+    return _each(training.folds, one)
 
 
 def equal_scores(rows: DataFrame) -> DataFrame:
