@@ -46,12 +46,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its edit bound go."""
+    """Documents that hold a benchmark item within its edit bound go, each row by its own text; null and empty texts and rows without id stay."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and offset."""
+    """Pieces of token ids with their sequence and offset. A null text is one end token; rows that repeat an id, or lack it, each have their pieces; no rows give none."""
     return pack(token_pieces(docs, word_bpe_path(), SEQUENCE, end_id=0, ranked=True), SEQUENCE)
 
 

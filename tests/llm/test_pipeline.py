@@ -47,6 +47,29 @@ def test_run(spark, folder):
     assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_null_and_repeated_ids_and_further_columns(spark, folder):
+    """Rows without id and rows that repeat one stay apart; columns under names that operators use inside stay as they are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    more = docs.where("doc_id in (20, 21)").unionByName(docs.where("doc_id = 22").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(more).withColumns({"key": F.lit("k"), "rep": F.lit(1), "n_lines": F.lit(2), "item_id": F.lit(3)})
+    lines = P.line_dedup(spark, docs, folder)
+    assert lines.columns == docs.columns and lines.count() == 63
+    near = P.near_dedup(spark, docs, folder)
+    got = [r.doc_id for r in near.collect()]
+    assert near.columns == docs.columns and got.count(None) == 1 and not {1, 2} & set(got) and {20, 21, 22} <= set(got)
+    clean = P.decontaminate(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == 62 and clean.where("doc_id is null").count() == 1
+    good = P.quality(spark, docs, folder)
+    assert good.columns == docs.columns and {20, 21} <= {r.doc_id for r in good.collect()}
+
+
+def test_packing_of_no_rows(spark, folder):
+    pytest.importorskip("public_tokenizers")
+    assert P.packing(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder).count() == 0
+
+
 def test_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES[:-1]:
