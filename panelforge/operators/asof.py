@@ -1,4 +1,4 @@
-"""As-of joins without look-ahead: equi joins with a range of validity, made by lead()."""
+"""As-of joins without look-ahead: equi joins on key and years with a range of validity, made by lead()."""
 
 from __future__ import annotations
 
@@ -9,24 +9,32 @@ from panelforge.functions.columns import month_number
 
 #: Order of preference of link kinds; any other comes last.
 LINK_PREFERENCE = ("P", "C", "J", "N")
+#: Years of a bucket of the as-of joins: a span of a year lies in one or two of them.
+BUCKET_YEARS = 2
 
 
-def latest_before(left: DataFrame, right: DataFrame, left_key: str, left_time: str, right_key: str, right_time: str, ties: list[Column], keep: dict[str, str]) -> DataFrame:
+def latest_before(left: DataFrame, right: DataFrame, left_key: str, left_time: str, right_key: str, right_time: str, ties: list[Column], keep: dict[str, str], bucket_years: int = BUCKET_YEARS) -> DataFrame:
     """left with columns of the latest right row of the same key whose time is at or before left's: keep maps right's columns to new names.
 
-    Of right rows with one key and time the first by `ties` counts. Each right row is valid until the next one's time, so the join is
-    an equi join with a range condition that at most one row meets. Left rows without a key, or before the first right row, get
-    nulls; rows without a key don't take part, so that they never meet in one task.
+    Of right rows with one key and time the first by `ties` counts. Each right row is valid until the next one's time, and its span is
+    laid out over buckets of a few years: the join is an equi join on (key, bucket) with a range condition that at most one row
+    meets, so the rows of a hot key spread over its years and meet only the spans of their bucket. All years after the newest right row
+    are one bucket, in which a key has one span. Left rows without a key, without a time or before the first right row get nulls;
+    rows without a key don't take part, so that they never meet in one task.
     """
     w = Window.partitionBy(right_key, right_time).orderBy(*ties) if ties else Window.partitionBy(right_key, right_time).orderBy(F.lit(0))
     one = right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    bucket = lambda t: F.floor(F.year(t) / bucket_years)
+    last = F.coalesce(right.agg(F.max(bucket(F.col(right_time)))).scalar(), F.lit(0)) + 1
     spans = one.select(
         F.col(right_key).alias("__key"), F.col(right_time).alias("__from"), F.lead(right_time).over(Window.partitionBy(right_key).orderBy(right_time)).alias("__to"),
         *(F.col(c).alias(to) for c, to in keep.items()),
     )
-    keyed = left.where(F.col(left_key).isNotNull())
-    fits = (F.col(left_key) == F.col("__key")) & (F.col(left_time) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(left_time) < F.col("__to")))
-    joined = keyed.join(spans, fits, "left").drop("__key", "__from", "__to")
+    spans = spans.withColumn("__in", F.explode(F.sequence(bucket(F.col("__from")), F.coalesce(bucket(F.date_sub("__to", 1)), last))))
+    keyed = left.where(F.col(left_key).isNotNull()).withColumn("__bucket", F.least(bucket(F.col(left_time)), last))
+    keyed = keyed.withColumn("__bucket", F.when(F.col(left_time).isNotNull(), F.col("__bucket")))
+    fits = (F.col(left_key) == F.col("__key")) & (F.col("__bucket") == F.col("__in")) & (F.col(left_time) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(left_time) < F.col("__to")))
+    joined = keyed.join(spans, fits, "left").drop("__key", "__from", "__to", "__in", "__bucket")
     return joined.unionByName(left.where(F.col(left_key).isNull()), allowMissingColumns=True)
 
 
