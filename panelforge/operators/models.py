@@ -24,6 +24,8 @@ from panelforge.sources.shared import materialize
 
 KEYS = ("PERMNO", "MthCalDt")
 FOLDS_SIDE_BY_SIDE = 4
+#: Two candidates with one order of the rows have ICs that differ by the order of summation alone.
+SAME_IC = 1e-12
 Model = LinearModel | TreeModel
 
 
@@ -144,10 +146,10 @@ def candidate_ics(rows: DataFrame, features: list[str], target: str, models: dic
 
 
 def _best(ics: list[float | None]) -> int:
-    """The first strict maximum; the first candidate without any IC."""
+    """The first maximum, where what differs by rounding alone is equal; the first candidate without any IC."""
     best, at = None, 0
     for i, ic in enumerate(ics):
-        if ic is not None and not math.isnan(ic) and (best is None or ic > best):
+        if ic is not None and not math.isnan(ic) and (best is None or ic > best + SAME_IC):
             best, at = ic, i
     return at
 

@@ -332,11 +332,16 @@ def x4_model_ready_columns(spark, sf_dir):
 
 
 _ALL = list(features.NAMES)
-@query(O.raw_sql(f"""select cast(MthCalDt as varchar) as MthCalDt, PERMNO, feature, round(v, 6) + 0.0 as value from (
+#: CTEs after raw: all features in long form, winsorized and rank-scaled by month over the universe.
+_SCALED = f"""
+cells as (select * from (select PERMNO, MthCalDt, is_investable, {', '.join(f'cast({c} as double) as {c}' for c in _ALL)} from raw) unpivot (value for feature in ({', '.join(_ALL)}))),
+b as (select feature, MthCalDt, count(value) filter (where is_investable) as n, quantile_cont(value, 0.01) filter (where is_investable) as lo, quantile_cont(value, 0.99) filter (where is_investable) as hi from cells group by 1, 2),
+scaled as (select PERMNO, MthCalDt, feature, v from (
 select *, case when x is not null then (rank() over (partition by feature, MthCalDt, x is null order by x) + (count(*) over (partition by feature, MthCalDt, x) - 1) / 2.0) / count(x) over (partition by feature, MthCalDt) * 2 - 1 end as v
-from (select c.*, case when is_investable then case when n >= 10 then least(greatest(value, lo), hi) else value end end as x from cells c join b on c.feature = b.feature and c.MthCalDt = b.MthCalDt)) where v is not null""", _ALL,
-    f"""cells as (select * from (select PERMNO, MthCalDt, is_investable, {', '.join(f'cast({c} as double) as {c}' for c in _ALL)} from raw) unpivot (value for feature in ({', '.join(_ALL)}))),
-b as (select feature, MthCalDt, count(value) filter (where is_investable) as n, quantile_cont(value, 0.01) filter (where is_investable) as lo, quantile_cont(value, 0.99) filter (where is_investable) as hi from cells group by 1, 2)"""))
+from (select c.*, case when is_investable then case when n >= 10 then least(greatest(value, lo), hi) else value end end as x from cells c join b on c.feature = b.feature and c.MthCalDt = b.MthCalDt)) where v is not null)"""
+
+
+@query(O.raw_sql("select cast(MthCalDt as varchar) as MthCalDt, PERMNO, feature, round(v, 6) + 0.0 as value from scaled", _ALL, _SCALED))
 def x5_model_ready_features(spark, sf_dir):
     ready = crosssection.model_ready(_raw(spark, sf_dir), list(features.KEYS), _ALL)
     return shown(crosssection.long_form(ready, ["MthCalDt", "PERMNO"], _ALL).where("value is not null"))
@@ -569,7 +574,7 @@ monthly as (select MthCalDt, {', '.join(f'sum(w{i} * target_demeaned) as b{i}' f
 
 @query(O.raw_sql(f"select {O.shown('MthCalDt', '', ' '.join(f'b{i}' for i in range(len(MODEL_FEATURES) + 1)))} from monthly", MODEL_FEATURES, f"{_T},{_CROSS}"))
 def m9_fama_macbeth_coefficients(spark, sf_dir):
-    """A regression per month over all features of the model list that need no annual facts: b0 is the constant."""
+    """A regression per month over features that need prices and returns alone and are not collinear within a month: b0 is the constant."""
     monthly = models.monthly_regressions(_training(spark, sf_dir), MODEL_FEATURES, "target_demeaned")
     return shown(monthly.select("MthCalDt", *(F.col("coefficients")[i].alias(f"b{i}") for i in range(len(MODEL_FEATURES) + 1))))
 
@@ -588,11 +593,35 @@ def _training_of(spark: SparkSession, sf_dir: str) -> models.Training:
     return models.Training(table, list(features.MODEL_NAMES), "target_demeaned", folds, CONFIG)
 
 
-@query()
+_N = len(features.MODEL_NAMES)
+#: CTEs after raw, training and folds: ridge by elimination on each window's centred cross products, the inner trials and each fold's best penalty.
+_RIDGE = f"""
+held as (select u.PERMNO, u.MthCalDt, u.target_demeaned as y from usable u join (select PERMNO, MthCalDt from scaled where feature in ({', '.join(f"'{c}'" for c in features.MODEL_NAMES)}) group by 1, 2 having count(*) = {_N}) w on u.PERMNO = w.PERMNO and u.MthCalDt = w.MthCalDt),
+cols as materialized (select h.PERMNO, h.MthCalDt, y, list_position([{', '.join(f"'{c}'" for c in features.MODEL_NAMES)}], feature) as j, v from held h join scaled s on h.PERMNO = s.PERMNO and h.MthCalDt = s.MthCalDt where feature in ({', '.join(f"'{c}'" for c in features.MODEL_NAMES)})),
+known as materialized (select PERMNO, MthCalDt, j, v from cols where y is not null union all select PERMNO, MthCalDt, {_N + 1}, y from held where y is not null),
+parts as (select fold_id, 'inner' as part, train_start as s, inner_train_end as e from folds union all select fold_id, 'train', train_start, train_end from folds),
+alphas as (select unnest([{', '.join(f'cast({a} as double)' for a in models.RIDGE.grid['alpha'])}]) as alpha),
+means as (select fold_id, part, j, avg(v) as m, count(*) as n from parts join known on MthCalDt between s and e group by 1, 2, 3),
+gram as (select fold_id, part, i, j, sum(v) as v from parts join (select a.MthCalDt, a.j as i, b.j as j, sum(a.v * b.v) as v from known a join known b on a.PERMNO = b.PERMNO and a.MthCalDt = b.MthCalDt group by 1, 2, 3) g on MthCalDt between s and e where i <= {_N} group by 1, 2, 3, 4),
+equations as materialized (select g.fold_id, g.part, alpha, g.i, g.j, g.v - a.n * a.m * b.m + case when g.i = g.j then alpha else 0 end as v from gram g join means a on g.fold_id = a.fold_id and g.part = a.part and g.i = a.j
+  join means b on g.fold_id = b.fold_id and g.part = b.part and g.j = b.j, alphas),
+solved as materialized (with recursive steps as (select *, 0 as k from equations union all
+  select fold_id, part, alpha, i, j, case when i = k + 1 then v / d else v - c * r / d end, k + 1 from (select *, max(case when i = k + 1 and j = k + 1 then v end) over (partition by fold_id, part, alpha) as d,
+    max(case when j = k + 1 then v end) over (partition by fold_id, part, alpha, i) as c, max(case when i = k + 1 then v end) over (partition by fold_id, part, alpha, j) as r from steps where k < {_N}))
+  select fold_id, part, alpha, i, v as b from steps where k = {_N} and j = {_N + 1}),
+weights as (select s.*, y.m - sum(b * x.m) over (partition by s.fold_id, s.part, alpha) as b0 from solved s join means x on s.fold_id = x.fold_id and s.part = x.part and s.i = x.j join means y on s.fold_id = y.fold_id and s.part = y.part and y.j = {_N + 1}),
+tried as (select f.fold_id, alpha, y, sum(v * b) + max(b0) as p from folds f join cols c on MthCalDt between inner_val_start and inner_val_end join weights w on w.fold_id = f.fold_id and part = 'inner' and w.i = c.j where y is not null group by f.fold_id, alpha, PERMNO, MthCalDt, y),
+placed as (select fold_id, alpha, rank() over (partition by fold_id, alpha order by y) + (count(*) over (partition by fold_id, alpha, y) - 1) / 2.0 as rx, rank() over (partition by fold_id, alpha order by p) + (count(*) over (partition by fold_id, alpha, p) - 1) / 2.0 as ry from tried),
+trials as (select f.fold_id, a.alpha, ic from folds f cross join alphas a left join (select fold_id, alpha, case when count(*) >= 2 and stddev_pop(rx) * stddev_pop(ry) > 0 then covar_pop(ry, rx) / (stddev_pop(rx) * stddev_pop(ry)) end as ic from placed group by 1, 2) t on t.fold_id = f.fold_id and t.alpha = a.alpha),
+best as (select fold_id, alpha from (select *, row_number() over (partition by fold_id order by round(ic, 11) desc nulls last, alpha) as n from trials) where n = 1),
+scored as (select PERMNO, MthCalDt, f.fold_id, y, sum(v * b) + max(b0) as p from folds f join best t on t.fold_id = f.fold_id join cols c on MthCalDt between test_start and test_end left join weights w on w.fold_id = f.fold_id and part = 'train' and w.alpha = t.alpha and w.i = c.j group by PERMNO, MthCalDt, f.fold_id, y)"""
+
+
+@query(O.raw_sql(f"select {O.shown('', 'fold_id', 'alpha ic')} from trials", _ALL, f"{_SCALED},{_T},{_F},{_RIDGE}"))
 def m10_m16_tune_ridge(spark, sf_dir):
     """Trials of the ridge grid on every fold's inner split, over all model features."""
     trials = models.tuned(models.RIDGE, _training_of(spark, sf_dir))
-    return spark.createDataFrame([(f, p["alpha"], ic_) for f, found in trials.items() for p, ic_ in found], "fold_id int, alpha double, ic double")  # folds * candidates rows
+    return shown(spark.createDataFrame([(f, p["alpha"], ic_) for f, found in trials.items() for p, ic_ in found], "fold_id int, alpha double, ic double"))  # folds * candidates rows
 
 
 def _walk(spark: SparkSession, sf_dir: str, runners: dict[str, models.Runner]) -> DataFrame:
@@ -600,6 +629,13 @@ def _walk(spark: SparkSession, sf_dir: str, runners: dict[str, models.Runner]) -
     return models.walk_forward(table, list(features.MODEL_NAMES), "target_demeaned", folds, runners, CONFIG)
 
 
+@query(O.raw_sql(f"select {O.shown('MthCalDt', 'PERMNO fold_id', 'y_true y_pred', 'model')} from (select PERMNO, MthCalDt, fold_id, 'ridge' as model, y as y_true, p as y_pred from scored)", _ALL, f"{_SCALED},{_T},{_F},{_RIDGE}"))
+def m10_m17_walk_forward_ridge(spark, sf_dir):
+    """Ridge over all folds and model features: tuned on the inner splits, fitted on the whole windows, scored on the test months."""
+    got = _walk(spark, sf_dir, {"ridge": models.estimator_runner(models.RIDGE)})
+    return shown(got.select("PERMNO", "MthCalDt", "fold_id", "model", "y_true", "y_pred"))
+
+
 @query()
 def m18_walk_forward(spark, sf_dir):
     """Baselines and all five estimators over all folds and model features, as the job runs them."""

@@ -11,7 +11,7 @@ from panelforge.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 #: Without SQL; tests/test_model_queries.py runs them.
-MODELS = {"m10_m16_tune_ridge", "m13_walk_forward_forest", "m14_walk_forward_boosting", "m18_walk_forward", "m21_m22_permutation_importance", "m21_m22_permutation_importance_boosting"}
+MODELS = {"m13_walk_forward_forest", "m14_walk_forward_boosting", "m18_walk_forward", "m21_m22_permutation_importance", "m21_m22_permutation_importance_boosting"}
 
 
 @pytest.fixture(scope="module")
