@@ -347,6 +347,40 @@ def x5_model_ready_features(spark, sf_dir):
     return shown(crosssection.long_form(ready, ["MthCalDt", "PERMNO"], _ALL).where("value is not null"))
 
 
+_IN = "case when is_investable then value end"
+_CLIPPED_CELLS = "(select c.PERMNO, c.MthCalDt, c.feature, is_investable, case when n >= 10 then least(greatest(value, lo), hi) else value end as value from cells c join b on c.feature = b.feature and c.MthCalDt = b.MthCalDt)"
+_ZSCORE = f"(value - avg({_IN}) over m) / case when stddev_samp({_IN}) over m > 0 then stddev_samp({_IN}) over m end"
+_RANK = f"(rank() over (partition by feature, MthCalDt, {_IN} is null order by {_IN}) + (count(*) over (partition by feature, MthCalDt, {_IN}) - 1) / 2.0) / count({_IN}) over m * 2 - 1"
+
+
+def _scaled_sql(value: str, cells: str = "cells") -> str:
+    scaled = f"select PERMNO, MthCalDt, feature, {value} as value, {_IN} as own from {cells} window m as (partition by feature, MthCalDt)"
+    return O.raw_sql(f"select {O.shown('MthCalDt', 'PERMNO', 'value', 'feature')} from ({scaled}) where own is not null and value is not null", _ALL, _SCALED)
+
+
+def _all_by_month(spark: SparkSession, sf_dir: str, *steps) -> DataFrame:
+    """Scalings of all 51 features one after another, in long form: one shuffle by feature and month."""
+    cells = crosssection.long_form(_raw(spark, sf_dir), ["PERMNO", "MthCalDt", "is_investable"], _ALL)
+    for step in steps:
+        cells = cells.withColumn("value", step(F.col("value"), ["feature", "MthCalDt"], F.col("is_investable")))
+    return shown(cells.where("value is not null").select("MthCalDt", "PERMNO", "feature", "value"))
+
+
+@query(_scaled_sql(_ZSCORE, _CLIPPED_CELLS))
+def x1_x3_winsorized_zscore_all_features(spark, sf_dir):
+    return _all_by_month(spark, sf_dir, crosssection.winsorized, crosssection.standardized)
+
+
+@query(_scaled_sql(_RANK))
+def x2_rank_all_features(spark, sf_dir):
+    return _all_by_month(spark, sf_dir, crosssection.ranked)
+
+
+@query(_scaled_sql(_ZSCORE))
+def x3_zscore_all_features(spark, sf_dir):
+    return _all_by_month(spark, sf_dir, crosssection.standardized)
+
+
 # ---- diagnostics
 
 _D = ["mom_1m", "vol_12m", "value_bm", "size_log_mktcap", "quality_roa"]
