@@ -614,9 +614,10 @@ def m9_fama_macbeth_coefficients(spark, sf_dir):
 
 
 def _model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[targets.Fold]]:
-    """Model-ready features with targets over the universe, and the folds, as the job has them."""
+    """Model-ready features with targets over the universe, and the folds, as the job has them: panel and features are written and read back, so no plan holds them all."""
     master, t = _master(spark, sf_dir)
-    raw = features.raw_features(master, t["compustat_fundamentals_annual"])
+    master = materialize(master, "model-panel")
+    raw = materialize(features.raw_features(master, t["compustat_fundamentals_annual"]), "model-features")
     ready = crosssection.model_ready(raw, list(features.KEYS), list(features.NAMES)).drop("ret_adj")
     table = materialize(targets.training_panel(ready, panel.investable(master)).where("is_investable"), "model-table")
     return table, targets.walk_forward_folds(targets.months_of(table), CONFIG)
