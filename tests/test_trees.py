@@ -143,3 +143,35 @@ def test_all_runners_end_and_importance_finds_the_feature(spark, day):
         assert len(gains) == 3 * len(folds)
         mean = gains.groupby("feature").importance_mean.mean()
         assert mean["mom_12_1"] > 3 and abs(mean["b"]) < 0.5 and abs(mean["c"]) < 0.5
+
+
+def test_smaller_sides_and_packed_sums_give_the_trees_of_plain_sums():
+    """Against level_sums, which adds up every node's rows anew; only the smaller side's rows are summed where all features are open."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, (3000, 6)).astype(np.uint8)
+    y = (x[:, 0] > 20) * 1.0 + (x[:, 1] / 40) * (x[:, 2] > 5) + 0.1 * rng.normal(size=3000)
+    w = trees.drawn(np.arange(3000), 1, 2)
+    summed = []
+    real = trees._node_sums
+    for spec, weights in ((trees.TreeSpec(True, None, 1, 20, 0.1, 1.0, 31), None), (trees.TreeSpec(False, 6, 1, 20), w), (trees.TreeSpec(False, 6, 1, 20, columns=0.5), w)):
+        growth, node = trees.Growth(spec, 0, 6), np.zeros(3000, np.int32)
+        g = trees._exact(y - y.mean())
+        while growth.open:
+            columns = growth.columns()
+            growth.split(trees.best_splits(trees.level_sums(x, node, growth.open, columns, g, weights, 40), spec, columns))
+            t = growth.tree()
+            node = t.walk(x)
+        want = growth.tree()
+        summed.clear()
+        trees._node_sums = lambda x, rows, *more: summed.append(x.shape[1] if rows is None else len(rows)) or real(x, rows, *more)  # noqa: B023
+        try:
+            got, rows_of = trees.grown(np.ascontiguousarray(x.T), g, weights, spec, 0, 40)
+        finally:
+            trees._node_sums = real
+        assert (got.feature == want.feature).all() and (got.cut == want.cut).all() and np.allclose(got.value, want.value, atol=1e-9) and len(want.feature) > 20
+        for leaf, rows in rows_of.items():
+            assert (want.walk(x)[rows] == leaf).all()
+        if spec.columns is None:
+            assert max(summed[1:]) <= summed[0] / 2
+    step = trees._exact(y)
+    assert np.abs(step - y).max() < 1e-11 and step.sum() == step[::-1].sum() == step[np.argsort(y)].sum()
