@@ -91,7 +91,7 @@ def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entitie
     # Size relative to the month's median is rebuilt over the same sample in full and in part.
     build = lambda p: features.raw_features(p, annual)
     ready = features.prepared(master, annual)
-    plain = features.raw_features(master, annual).join(ready.select("PERMNO", "MthCalDt", *sorted(set(checks.DENOMINATORS.values()))), ["PERMNO", "MthCalDt"])
+    plain = features.raw_features(master, annual, more=tuple(sorted(set(checks.DENOMINATORS.values()))))
     scaled = lambda d: model_ready(d, list(features.KEYS), names)
     return checks.union(
         [

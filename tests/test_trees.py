@@ -175,3 +175,18 @@ def test_smaller_sides_and_packed_sums_give_the_trees_of_plain_sums():
             assert max(summed[1:]) <= summed[0] / 2
     step = trees._exact(y)
     assert np.abs(step - y).max() < 1e-11 and step.sum() == step[::-1].sum() == step[np.argsort(y)].sum()
+
+
+def test_only_trees_that_split_by_a_feature_are_walked_again(spark, monkeypatch):
+    df, x, _ = table(spark)
+    boosted, forest = trees.fit_trees(df, NAMES, "t", [trees.TreeSpec(True, 2, 6, 10, 0.3, 1.0, 31), trees.TreeSpec(False, 2, 9, 5, columns="sqrt")], ["PERMNO"])
+    other, walks, real = x[::-1].copy(), [], trees.Tree.walk
+    monkeypatch.setattr(trees.Tree, "walk", lambda self, *more: walks.append(1) or real(self, *more))
+    for model in (boosted, forest):
+        walks.clear()
+        got = list(model.moved(x, other))
+        assert len(walks) == len(model.trees) + sum(len(set(t.feature) - {-1}) for t in model.trees) < 4 * len(model.trees)
+        for j, p in enumerate(got):
+            moved = x.copy()
+            moved[:, j] = other[:, j]
+            assert np.allclose(p, model.predict(moved), atol=1e-12)
