@@ -69,3 +69,47 @@ def test_rolling_features_are_those_of_brute_force(spark, batch):
         for name, x in wanted(returns[p], market, i).items():
             assert (row[name] is None) == (x is None) and (x is None or abs(row[name] - x) < 1e-9), (p, i, name, row[name], x)
     assert sum(r.skew_36m is not None for r in got) > 100 and sum(r.downside_vol_12m is not None for r in got) > 5
+
+
+@pytest.fixture(scope="module")
+def panel_rows(spark):
+    rng = np.random.default_rng(9)
+    cell = lambda: None if rng.random() < 0.15 else float(np.round(rng.normal(), 1))
+    rows = [(p, f"2001-{m:02d}-28", bool(rng.random() < 0.8), cell(), cell(), 0.1, None) for m in range(1, 5) for p in range(60 if m < 4 else 6)]
+    df = spark.createDataFrame(rows, "PERMNO long, d string, is_investable boolean, a double, b double, c double, e double")
+    return df.withColumn("MthCalDt", F.to_date("d")).drop("d").repartition(3).cache()
+
+
+@pytest.mark.parametrize("name", ["winsorized", "ranked", "standardized"])
+def test_months_are_scaled_as_by_windows(panel_rows, name):
+    from panelforge.operators import crosssection as X
+
+    names, keys = ["a", "b", "c", "e"], ["PERMNO", "MthCalDt", "is_investable"]
+    want = panel_rows.select(*keys, *(getattr(X, name)(F.col(c), ["MthCalDt"], F.col("is_investable")).alias(c) for c in names)).orderBy(*keys).collect()
+    done = X.scaled(panel_rows, keys, names, (getattr(X, f"{name}_values"),))
+    got = done.orderBy(*keys).collect()
+    for x, y in zip(want, got, strict=True):
+        for c in names:
+            assert (x[c] is None) == (y[c] is None) and (x[c] is None or abs(x[c] - y[c]) < 1e-9), (c, x, y)
+    assert "unpivot" not in plan_of(done).lower() and "Expand" not in plan_of(done) and plan_of(done).count("FlatMapGroups") == 1
+
+
+def test_tables_of_columns(panel_rows, monkeypatch):
+    from panelforge.operators import diagnostics as D
+
+    names = ["a", "b", "c", "e"]
+    values = {c: np.array([r[c] for r in panel_rows.collect() if r[c] is not None], float) for c in names}
+    for cuts in (2, 5, 512):
+        monkeypatch.setattr(D, "CUTS", cuts)
+        got = {r["column"]: r for r in D.distributions(panel_rows, names).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for c, r in got.items():
+            assert r["n"] == len(values[c]) and np.allclose([r[f"p{int(p * 100):02d}"] for p in D.QUANTILES], np.quantile(values[c], D.QUANTILES), atol=1e-12)
+    far = {r["column"]: r for r in D.outliers(panel_rows, names).collect()}
+    assert set(far) == {"a", "b", "c"}
+    assert far["a"].n == len(values["a"]) and np.isclose(far["a"].pct_outlier, 100 * (abs(values["a"] - values["a"].mean()) > 3 * values["a"].std(ddof=1)).mean())
+    shown = {r["column"]: r for r in D.coverage(panel_rows, names).collect()}
+    assert shown["e"].non_null == 0 and shown["c"].pct_non_null == 100
+    medians = {(str(r.MthCalDt), r["column"]): r["median"] for r in D.stability(panel_rows, names).collect()}
+    first = [r.a for r in panel_rows.where("month(MthCalDt) = 1").collect() if r.a is not None]
+    assert len(medians) == 16 and np.isclose(medians["2001-01-28", "a"], np.median(first)) and medians["2001-01-28", "e"] is None
