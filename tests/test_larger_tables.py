@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import asof, panel
+from panelforge.functions.counts import column_moments, non_null_by_month
+from panelforge.operators import asof, diagnostics, panel
+from panelforge.operators.crosssection import _quantile
 
 
 def monthly(spark, securities: int, months: int = 24):
@@ -31,3 +35,38 @@ def test_links_by_key_alone_are_the_links_by_buckets(spark):
     alone, by_bucket = (asof.link_entities(rows, links, years) for years in (None, 2))
     assert alone.count() == rows.count() and alone.where("link_matched").count() > 100
     assert alone.exceptAll(by_bucket).count() == 0 and by_bucket.exceptAll(alone).count() == 0
+
+
+def test_moments_of_equal_and_of_many_values(spark):
+    df = spark.range(0, 5000, numPartitions=7).selectExpr("0.1 as a", "cast(id as double) * 1e-3 + 1e6 as b", "case when id = 17 then 3.0 end as c", "cast(null as double) as d")
+    (n, mean, m2), b, c, d = column_moments(df, ["a", "b", "c", "d"])
+    assert (n, mean, m2) == (5000, 0.1, 0.0)  # a mean beside the value would make every row an outlier
+    x = np.arange(5000) * 1e-3 + 1e6
+    assert b[0] == 5000 and abs(b[1] - x.mean()) < 1e-9 and abs(b[2] / np.square(x - x.mean()).sum() - 1) < 1e-9
+    assert c == (1, 3.0, 0.0) and d[0] == 0
+    got = {r.column: (r.n, r.pct_outlier) for r in diagnostics.outliers(df, ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": (5000, 0.0), "b": (5000, 0.0), "c": (1, 0.0)}
+
+
+def test_counts_by_month(spark):
+    df = monthly(spark, 30, 5).selectExpr("case when PERMNO % 10 <> 0 then MthCalDt end as MthCalDt", "case when PERMNO % 3 = 0 then 1.0 end as a", "PERMNO as b")
+    df = df.unionByName(spark.sql("select date '2000-01-31' as MthCalDt, double('NaN') as a, cast(null as long) as b"))
+    got = sorted(map(tuple, non_null_by_month(df, ["a", "b"]).collect()), key=str)
+    want = sorted(map(tuple, df.groupBy("MthCalDt").agg(F.count(F.lit(1)), F.count("a"), F.count("b")).collect()), key=str)
+    assert got == want and len(got) == 6
+
+
+@pytest.mark.parametrize("columns", [["a"], ["a", "b", "c"]])
+def test_wide_tables_are_not_aggregated_cell_by_cell(spark, columns):
+    df = spark.range(100).selectExpr(*(f"cast(id as double) as {c}" for c in columns), "date '2000-01-31' as MthCalDt")
+    for made in (diagnostics.coverage(df, columns), diagnostics.coverage_over_time(df, columns)):
+        assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in diagnostics.coverage(df, columns).collect()} == {(c, 100, 100, 100.0, 0.0) for c in columns}
+
+
+def test_quantiles_of_values_in_any_order():
+    x = np.random.default_rng(1).normal(size=1001)
+    for p in (0.0, 0.01, 0.5, 0.993, 1.0):
+        assert abs(_quantile(x, p) - np.quantile(x, p)) < 1e-12
+    x[:3] = np.nan
+    assert _quantile(np.array([2.0, 2.0]), 0.5) == 2.0 and np.isnan(_quantile(x, 1.0))
