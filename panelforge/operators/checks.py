@@ -97,11 +97,11 @@ def reproducible(build: Callable[[DataFrame], DataFrame], panel: DataFrame, colu
     return result(mismatches(build(panel), build(panel), ["PERMNO", "MthCalDt"], columns, tol), "reproducibility", "rows that differ between two builds")
 
 
-def isolated(transform: Callable[[DataFrame], DataFrame], df: DataFrame, months: list, columns: list[str], tol: float = 1e-9) -> DataFrame:
-    """A cross-sectional transform of one month alone must equal that month in the whole."""
+def isolated(transform: Callable[[DataFrame], DataFrame], df: DataFrame, months: list, columns: list[str], tol: float = 1e-9, whole: DataFrame | None = None) -> DataFrame:
+    """A cross-sectional transform of one month alone must equal that month in the whole, which may be there already."""
     at = lambda rows, dates: rows.where(F.col("MthCalDt").isin(dates))
     alone = union([transform(at(df, [d])) for d in months])
-    return result(mismatches(at(transform(df), months), alone, ["PERMNO", "MthCalDt"], columns, tol), "cross_sectional_isolation", f"rows that depend on other months, in {len(months)} months")
+    return result(mismatches(at(transform(df) if whole is None else whole, months), alone, ["PERMNO", "MthCalDt"], columns, tol), "cross_sectional_isolation", f"rows that depend on other months, in {len(months)} months")
 
 
 #: Securities and firms of variant v have the ids id * VARIANTS + v in stacked tables.

@@ -49,7 +49,7 @@ def build_features(spark: SparkSession, processed: str, interim: str, reports: s
     write_table(panel.finite_columns(features.raw_features(master, annual), list(features.NAMES)), processed, "features_raw", "MthCalDt")
     raw = read_table(spark, processed, "features_raw").drop("year")
     write_table(model_ready(raw, list(features.KEYS), list(features.NAMES)), processed, "features_model_ready", "MthCalDt")
-    found = feature_checks(raw, master, annual, entities, months)
+    found = feature_checks(raw, master, annual, entities, months, read_table(spark, processed, "features_model_ready").drop("year"))
     write_result(found, reports, "feature_checks")
     write_result(features.registry_table(spark), reports, "registry")
     write_result(features.registry_table(spark), reports, "registry", "json")
@@ -83,31 +83,34 @@ def append_months(spark: SparkSession, interim: str, processed: str, since: dt.d
     return year
 
 
-def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entities: int = 40, months: int = 3) -> DataFrame:
-    """All table checks. The behavioural ones rebuild a sample of securities, as rebuilding all would cost as much as the job."""
+def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entities: int = 40, months: int = 3, model_ready_rows: DataFrame | None = None) -> DataFrame:
+    """All table checks. The behavioural ones rebuild a sample of securities, as rebuilding all would cost as much as the job. model_ready_rows: raw's, if they are there already."""
     names = list(features.NAMES)
     some = master.join(F.broadcast(checks.sampled_entities(master, entities)), "PERMNO", "left_semi")
     dates = checks.sampled_dates(master, months)
     # Size relative to the month's median is rebuilt over the same sample in full and in part.
     build = lambda p: features.raw_features(p, annual)
     ready = features.prepared(master, annual)
-    plain = features.raw_features(master, annual, more=tuple(sorted(set(checks.DENOMINATORS.values()))))
+    over = {f.category for f in features.REGISTRY if f.name in checks.DENOMINATORS}
+    plain = features.raw_features(master, annual, tuple(f for f in features.FAMILIES if f in over), more=tuple(sorted(set(checks.DENOMINATORS.values()))))
     scaled = lambda d: model_ready(d, list(features.KEYS), names)
     return checks.union(
         [
             checks.no_duplicate_keys(raw, ["PERMNO", "MthCalDt"]), checks.no_calendar_gaps(raw), checks.no_infinite_values(raw, names), checks.sources_exist(ready),
-            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names),
+            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names, whole=model_ready_rows),
         ]
     )
 
 
 def run_models(spark: SparkSession, processed: str, reports: str, names: list[str] | None = None, config: targets.ModelConfig | None = None, models: dict[str, Runner] | None = None) -> dict[str, DataFrame]:
-    """Features -> targets, folds, predictions, checks and ICs."""
+    """Features -> targets, folds, predictions, checks and ICs. Of the features only those that models read are joined with targets."""
     c = config or targets.ModelConfig()
+    names = names or list(features.MODEL_NAMES)
     ready, master = read_table(spark, processed, "features_model_ready").drop("year", "ret_adj"), read_table(spark, processed, "master_panel").drop("year")
+    ready = ready.select(*(k for k in features.KEYS if k != "ret_adj"), *dict.fromkeys([*names, c.momentum]))
     table = targets.training_panel(ready, panel.investable(master), c.horizon).where("is_investable").cache()
     folds = targets.walk_forward_folds(targets.months_of(table), c)
-    got = walk_forward(table, names or list(features.MODEL_NAMES), "target_demeaned", folds, models or runners(), c)
+    got = walk_forward(table, names, "target_demeaned", folds, models or runners(), c)
     write_table(got, reports, "predictions")
     predictions, fold_table = read_table(spark, reports, "predictions"), targets.folds_table(spark, folds)
     series = ic.monthly_ic(predictions)

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions.counts import column_moments, non_null_by_month
-from panelforge.operators import asof, diagnostics, panel, targets
+from panelforge.operators import asof, checks, diagnostics, features, panel, targets
 from panelforge.operators.crosssection import ranked_values
+from panelforge.plans import pipelines
+from panelforge.plans.relations import by_raw_name, relations
 
 
 def monthly(spark, securities: int, months: int = 24):
@@ -83,3 +85,22 @@ def test_targets_that_travel_with_the_rows(spark):
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0 and got.count() == want.count() == 240
     both = got.alias("a").join(want.alias("b"), ["PERMNO", "MthCalDt"]).selectExpr("a.target_demeaned as x", "b.target_demeaned as y")
     assert both.where("(x is null) <> (y is null) or abs(x - y) > 1e-12").count() == 0 and both.where("x is not null").count() > 100
+
+
+def test_the_job_checks_what_it_has_written_and_the_denominators_without_rolling(spark, monkeypatch, tmp_path):
+    asked, taken = [], {}
+    real = features.raw_features
+
+    def build(master, annual, families=tuple(features.FAMILIES), more=()):
+        if more:
+            asked.append(families)
+        return real(master, annual, families, more)
+
+    monkeypatch.setattr(features, "raw_features", build)
+    monkeypatch.setattr(checks, "isolated", lambda transform, df, months, columns, whole=None: taken.update(whole=whole) or checks.no_duplicate_keys(df, ["PERMNO"]))
+    t = by_raw_name(relations(spark, "/root/testdata/sf0.001"))
+    master, annual = panel.master_panel(t), t["compustat_fundamentals_annual"]
+    pipelines.feature_checks(real(master, annual), master, annual, 1, 1, master.limit(0))
+    assert len(asked) == 1 and not set(asked[0]) & set(features.ROLLING) and taken["whole"] is not None
+    kinds = {f.name for f in features.REGISTRY if f.category in asked[0]}
+    assert set(checks.DENOMINATORS) <= kinds
