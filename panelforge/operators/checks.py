@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import differs, month_number
+from panelforge.functions.counts import infinite
 from panelforge.operators.features import REGISTRY
 
 #: Features that are returns and can't lie below -1.
@@ -46,7 +47,7 @@ def no_calendar_gaps(df: DataFrame) -> DataFrame:
 
 
 def no_infinite_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    return result(df.agg(sum((F.count_if(F.col(c).isin(float("inf"), float("-inf"))) for c in columns), F.lit(0)).alias("affected")), "no_infinite_values", "infinite values")
+    return result(infinite(df, columns), "no_infinite_values", "infinite values")
 
 
 def sources_exist(df: DataFrame) -> DataFrame:

@@ -104,3 +104,11 @@ def test_the_job_checks_what_it_has_written_and_the_denominators_without_rolling
     assert len(asked) == 1 and not set(asked[0]) & set(features.ROLLING) and taken["whole"] is not None
     kinds = {f.name for f in features.REGISTRY if f.category in asked[0]}
     assert set(checks.DENOMINATORS) <= kinds
+
+
+def test_infinite_values_are_counted_in_tasks(spark):
+    df = spark.range(0, 90, numPartitions=4).selectExpr("case when id % 9 = 1 then double('inf') when id % 9 = 2 then double('-inf') when id % 9 = 3 then double('NaN') when id % 9 > 3 then 1D end as a", "cast(id as int) as b")
+    made = checks.no_infinite_values(df, ["a", "b"])
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.passed, r.affected) for r in made.collect()] == [(False, 20)]
+    assert checks.no_infinite_values(df.where("id = 0"), ["a", "b"]).first().affected == 0
