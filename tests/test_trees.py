@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import replace
 
 import numpy as np
@@ -190,3 +191,50 @@ def test_only_trees_that_split_by_a_feature_are_walked_again(spark, monkeypatch)
             moved = x.copy()
             moved[:, j] = other[:, j]
             assert np.allclose(p, model.predict(moved), atol=1e-12)
+
+
+def _same(a, b):
+    return len(a) == len(b) and all(np.array_equal(getattr(s, c), getattr(t, c)) for s, t in zip(a, b, strict=True) for c in ("feature", "cut", "left", "right", "value"))
+
+
+def test_candidates_of_a_grid_share_nodes_and_trees(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, ids = rng.integers(0, 40, (4000, 12)).astype(np.uint8), rng.integers(0, 2**62, 4000)
+    y = rng.normal(size=4000) * 0.1 + (x[:, 0] > 20) * (x[:, 1] < 9)
+    summed, real = [], trees._node_sums
+    monkeypatch.setattr(trees, "_node_sums", lambda *a: summed.append(1) or real(*a))
+    forests = [trees.TreeSpec(False, 6, 4, least, columns=0.5) for least in (20, 50, 200)]
+    assert trees._together(forests) == [[0, 1, 2]]
+    apart = [trees.fit_local(x, y, ids, [s], y.mean(), range(4))[0] for s in forests]
+    alone, summed[:] = len(summed), []
+    together = trees.fit_local(x, y, ids, forests, y.mean(), range(4))
+    assert all(map(_same, apart, together)) and not _same(together[0], together[2])
+    assert len(summed) < 0.75 * alone
+    boosted = [trees.TreeSpec(True, d, 12, 200, 0.3, 0.0, leaves=8) for d in (2, 3, None)]
+    assert trees._together(boosted) == [[0], [1, 2]]
+    apart = [trees.fit_local(x, y, ids, [s], y.mean(), range(12))[0] for s in boosted]
+    together = trees.fit_local(x, y, ids, boosted, y.mean(), range(12))  # they part where a tree is deeper than allowed
+    assert all(map(_same, apart, together)) and together[1][0] is together[2][0] and not _same(apart[1], apart[2])
+
+
+def test_models_that_share_trees_are_walked_once(spark, monkeypatch):
+    df, x, _ = table(spark)
+    specs = [trees.TreeSpec(False, d, 4, 5) for d in (2, 4, 8)] + [trees.TreeSpec(True, d, 4, 5, 0.3, leaves=4) for d in (2, None)]
+    found = trees.fit_trees(df, NAMES, "t", specs, ["PERMNO"])
+    one = [m.predict(x) for m in found]
+    walked, real = [], trees.Tree.walks
+    monkeypatch.setattr(trees.Tree, "walks", lambda self, *a: walked.append(1) or real(self, *a))
+    assert all((a == b).all() for a, b in zip(one, trees.predictions(found, x), strict=True))
+    assert len(walked) == len({id(t) for m in found for t in m.trees}) < sum(len(m.trees) for m in found)
+    assert not (one[0] == one[2]).all()
+
+
+def test_both_kinds_of_trees_read_one_training_set(spark, monkeypatch):
+    df, _, _ = table(spark)
+    made, real = [], models.training_set
+    monkeypatch.setattr(models, "training_set", lambda *a: made.append(1) or real(*a))
+    fold = targets.Fold(0, *[dt.date(2000, 1, 31)] * 7)
+    training = models.Training(df.selectExpr("*", "date '2000-01-31' as MthCalDt"), NAMES, "t", [fold])
+    forest = training.fitted(models.RANDOM_FOREST, [{"max_depth": 3, "min_samples_leaf": 20, "max_features": 0.5, "trees": 3}], fold, "train")
+    boosted = training.fitted(models.GRADIENT_BOOSTING, [{"max_depth": 3, "learning_rate": 0.1, "rounds": 3}], fold, "train")
+    assert len(made) == 1 and forest[0].edges is boosted[0].edges
