@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.counts import column_moments, non_null_by_month
 from panelforge.operators import asof, checks, diagnostics, features, panel, targets
-from panelforge.operators.crosssection import ranked_values
+from panelforge.operators.crosssection import ranked_values, rounded_values
 from panelforge.plans import pipelines
+from panelforge.plans import queries as Q
 from panelforge.plans.relations import by_raw_name, relations
 
 
@@ -77,6 +78,23 @@ def test_ranks_do_not_depend_on_the_order_of_equal_values():
     assert abs((got[kept & (x == 3)][0] + 1) / 2 * len(own) - np.flatnonzero(own == 3).mean() - 1) < 1e-6
 
 
+def test_columns_are_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(4)
+    ties = (rng.integers(-10**6, 10**6, 400) * 10 + 5) / 1e7  # a 5 in the seventh place
+    ranks = np.arange(1, 1281) / 1280 * 2 - 1
+    x = np.concatenate([rng.normal(size=2000), rng.normal(size=200) * 1e12, ties, np.nextafter(ties, 9), np.nextafter(ties, -9), ranks, [0.0, -0.0, -1e-9, 1e300, -4e15, 1e-300, np.inf, -np.inf, np.nan, 0.5, 2.0**53]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").selectExpr("i", "round(v, 6) + 0D as v")
+    want = np.array([r.v for r in df.orderBy("i").collect()])
+    got = rounded_values(x, 6)
+    assert ((got == want) | (np.isnan(got) & np.isnan(want))).all() and not (np.signbit(got) & (got == 0)).any()
+
+
+@pytest.mark.parametrize("name", ["x1_x3_winsorized_zscore_all_features", "x2_rank_all_features", "x3_zscore_all_features", "x5_model_ready_features"])
+def test_cells_are_not_rounded_one_by_one(spark, name):
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "round(value" not in plan
+
+
 def test_targets_that_travel_with_the_rows(spark):
     rows = monthly(spark, 40, 6).selectExpr("PERMNO", "MthCalDt", "PERMNO % 5 <> 0 as is_investable", "case when PERMNO % 7 <> 3 then (PERMNO * 31 + month(MthCalDt)) % 17 / 100D - 0.05 end as ret_adj")
     with_raw = rows.withColumn("target_raw", targets.forward_return(F.col("ret_adj"), 2))
