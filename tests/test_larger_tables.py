@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions.counts import column_moments, non_null_by_month
-from panelforge.operators import asof, checks, diagnostics, features, panel, targets
+from panelforge.operators import asof, checks, crosssection, diagnostics, features, panel, targets
 from panelforge.operators.crosssection import ranked_values, rounded_values
 from panelforge.plans import pipelines
 from panelforge.plans import queries as Q
-from panelforge.plans.relations import by_raw_name, relations
+from panelforge.plans.relations import RELATIONS, by_raw_name, relations
 
 
 def monthly(spark, securities: int, months: int = 24):
@@ -130,3 +130,47 @@ def test_infinite_values_are_counted_in_tasks(spark):
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert [(r.passed, r.affected) for r in made.collect()] == [(False, 20)]
     assert checks.no_infinite_values(df.where("id = 0"), ["a", "b"]).first().affected == 0
+
+
+def test_medians_shuffle_columns_of_months_instead_of_rows(spark, monkeypatch):
+    rng, odd = np.random.default_rng(3), [float("nan"), float("inf"), float("-inf"), -0.0, None]
+    cell = lambda: odd[rng.integers(5)] if rng.random() < 0.2 else float(np.round(rng.normal(), 1))
+    rows = [(None if m == 5 else dt.date(2001, m, 28), cell(), cell() if m != 2 else None, 7) for m in range(1, 6) for _ in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "MthCalDt date, a double, b double, c long").repartition(3)
+    for size in (7, 50_000):
+        monkeypatch.setattr(crosssection, "PACKED_ROWS", size)
+        made = diagnostics.stability(df, ["a", "b", "c"])
+        got = {(r.MthCalDt, r.column): r.median for r in made.collect()}
+        assert len(got) == 15
+        for (month, c), median in got.items():
+            x = np.sort([r["abc".index(c) + 1] for r in rows if r[0] == month and r["abc".index(c) + 1] is not None])
+            low, high = (x[(len(x) - 1) // 2], x[len(x) // 2]) if len(x) else (None, None)
+            with np.errstate(invalid="ignore"):
+                want = low if low == high else (low + high) / 2
+            assert median == want or (np.isnan(median) and np.isnan(want)), (month, c, median, want)
+    exchanges = [line for line in made._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and all("month" in line and " i#" in line for line in exchanges[:1])  # no task holds all columns of a month
+
+
+ODD_AMOUNTS = [1.005, 2.675, -2.675, 0.125, 0.005, -0.005, 0.0049999, 1e8, 123456789.125, 99999999.99, -99999999.995, 1e15, 9999999999999998.0, -9e15, 1.1, 0.29, float("nan"), None, 0.0, -0.0, 33.333333]
+
+
+def test_sums_in_whole_cents_are_the_sums_of_decimals(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    amount = lambda: ODD_AMOUNTS[rng.integers(len(ODD_AMOUNTS))] if rng.random() < 0.3 else float(np.round(rng.normal() * 10.0 ** rng.integers(0, 7), rng.integers(0, 5)))
+    day = lambda i: dt.datetime(1995, 1 + i % 4, 5)
+    lines = [(i % 9, day(i // 9), 9e15 if i % 9 == 8 else amount(), float(rng.integers(1, 50)) if i % 5 else 2.675, [0.01, 0.09, None, 0.05][i % 4]) for i in range(2000)]
+    orders = [(i % 40, day(i), 9e15 if i % 40 == 7 else amount(), "FOP"[i % 3], f"{1 + i % 5}-X") for i in range(2000)]
+    folder = str(tmp_path)
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.range(40).selectExpr("id as c_custkey", "cast(id % 8 as int) as c_nationkey").write.parquet(f"{folder}/customer.parquet")
+    spark.range(9).selectExpr("id as s_suppkey", "cast(id as int) as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
+    got = relations(spark, folder)
+    for name in ("crsp", "fund"):
+        want = spark.sql(RELATIONS[name], **{k: v for k, v in tables.items() if "{" + k + "}" in RELATIONS[name]})
+        plan = got[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "shiftright" in plan and got[name].schema == want.schema
+        assert got[name].exceptAll(want).count() == 0 and got[name].count() == want.count() > 7
+    assert got["crsp"].where("MthCap > 9.3e16").count()  # more cents than a long holds
