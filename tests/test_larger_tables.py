@@ -174,3 +174,15 @@ def test_sums_in_whole_cents_are_the_sums_of_decimals(spark, tmp_path):
         assert "shiftright" in plan and got[name].schema == want.schema
         assert got[name].exceptAll(want).count() == 0 and got[name].count() == want.count() > 7
     assert got["crsp"].where("MthCap > 9.3e16").count()  # more cents than a long holds
+
+
+@pytest.mark.parametrize("families", [tuple(features.FAMILIES), ("size", "value")])
+def test_features_are_packed_in_the_pass_that_makes_them(spark, families):
+    t = by_raw_name(relations(spark, "/root/testdata/sf0.001"))
+    master, annual = panel.master_panel(t), t["compustat_fundamentals_annual"]
+    names = [f.name for f in features.REGISTRY if f.category in families]
+    made = crosssection.packed_medians(features.raw_features(master, annual, families, then=crosssection.packing(names)), names)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = diagnostics.stability(features.raw_features(master, annual, families), names)
+    got = sorted(map(tuple, made.collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and len(got) % len(names) == 0 and len(got) > 50
