@@ -238,3 +238,34 @@ def test_both_kinds_of_trees_read_one_training_set(spark, monkeypatch):
     forest = training.fitted(models.RANDOM_FOREST, [{"max_depth": 3, "min_samples_leaf": 20, "max_features": 0.5, "trees": 3}], fold, "train")
     boosted = training.fitted(models.GRADIENT_BOOSTING, [{"max_depth": 3, "learning_rate": 0.1, "rounds": 3}], fold, "train")
     assert len(made) == 1 and forest[0].edges is boosted[0].edges
+
+
+@pytest.mark.parametrize("features", [5, 8, 11])
+def test_a_round_of_boosting_sums_no_row_of_the_root(monkeypatch, features):
+    """The root's sums follow from the leaves of the tree before; trees are those of residuals that are summed anew. Odd numbers of features, many rows (in pairs of bins) and few."""
+    rng = np.random.default_rng(6)
+    x, ids = rng.integers(0, 60, (5000, features)).astype(np.uint8), np.arange(5000)
+    y = (x[:, 0] > 20) * 1.0 + (x[:, 1] / 40) * (x[:, 2] > 5) + 0.1 * rng.normal(size=5000)
+    specs = [trees.TreeSpec(True, d, 12, 20, 0.3, 1.0, leaves=8) for d in (3, None)]
+    want, left = [], y - y.mean()
+    for k in range(12):
+        tree, rows_of = trees.grown(np.ascontiguousarray(x.T), trees._exact(left), None, specs[1], k, 60)
+        want.append(tree)
+        for node, rows in rows_of.items():
+            left[rows] -= 0.3 * tree.value[node]
+    summed, real = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda cells, *more, **named: summed.append(len(cells)) or real(cells, *more, **named))
+    for paired in (1, 1 << 30):
+        monkeypatch.setattr(trees, "PAIRED_ROWS", paired, raising=False)
+        summed.clear()
+        got = trees.fit_local(x, y, ids, specs, y.mean(), range(12))
+        assert sum(summed) < 2 * 12 * 5000 * features  # the root alone took 12 * 5000 * features, and as many again its smaller sides, for each depth
+        for a, b in zip(got[1], want, strict=True):
+            assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value, atol=1e-9)
+        assert all(t.levels() <= 3 for t in got[0])
+    steps = trees._Residuals(x, y - y.mean(), 60)
+    for k in range(3):
+        tree, place, places, counts = steps.grown(specs[1], k)
+        assert (np.array(places)[place] == tree.walk(x)).all()
+        steps.less(0.3 * tree.value[places], place, counts)
+        assert (steps.sums == steps._sums(None, [steps.left])[0]).all()  # exact, so nothing adds up over rounds
