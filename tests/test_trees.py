@@ -6,6 +6,7 @@ import datetime as dt
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from panelforge.functions.permute import bijection, numbered, shuffled
@@ -269,3 +270,24 @@ def test_a_round_of_boosting_sums_no_row_of_the_root(monkeypatch, features):
         assert (np.array(places)[place] == tree.walk(x)).all()
         steps.less(0.3 * tree.value[places], place, counts)
         assert (steps.sums == steps._sums(None, [steps.left])[0]).all()  # exact, so nothing adds up over rounds
+
+
+def test_edges_are_exact_quantiles_however_rows_lie(spark):
+    df, x, _ = table(spark, 3000)
+    assert all((a == b).all() for a, b in zip(trees._edges(df, NAMES, 3000), trees._edges(df, NAMES, trees.LOCAL_BYTES), strict=True))  # the latter by Spark's own, exact for so few rows
+    rng = np.random.default_rng(9)
+    many = spark.createDataFrame(pd.DataFrame(rng.normal(size=(60_000, 2)), columns=["a", "b"]).assign(t=1.0, k=range(60_000)))
+    want = [np.unique(np.quantile(c, np.arange(1, 255) / 255, method="inverted_cdf")) for c in many.select("a", "b").toPandas().to_numpy().T]
+    for rows in (many.repartition(7), many.coalesce(1).orderBy("a")):
+        got = trees.training_set(rows, ["a", "b"], "t", ["k"])
+        assert all((a == b).all() for a, b in zip(got.edges, want, strict=True))
+
+
+def test_windows_read_the_complete_rows_that_were_written_once(spark):
+    df, _, _ = table(spark)
+    panel = df.selectExpr("*", "date '2000-01-31' as MthCalDt").selectExpr("PERMNO", "MthCalDt", "if(PERMNO % 4 = 0, null, a) as a", "b", "c", "if(PERMNO % 5 = 0, null, t) as t")
+    training = models.Training(panel, NAMES, "t", [targets.Fold(0, *[dt.date(2000, 1, 31)] * 7)])
+    files = {f for d in (training.window(training.folds[0], "train"), training.complete_rows("test")) for f in d.inputFiles()}
+    assert files and all("/complete-rows-" in f for f in files) and training.window(training.folds[0], "inner_train").inputFiles()[0] in files
+    assert training.complete_rows("test").count() == 300 and training.complete_rows("test").where("t is null").count() == 60
+    assert training.window(training.folds[0], "train").count() == 240 == panel.na.drop().count()
