@@ -94,10 +94,11 @@ def feature_checks(raw: DataFrame, master: DataFrame, annual: DataFrame, entitie
     over = {f.category for f in features.REGISTRY if f.name in checks.DENOMINATORS}
     plain = features.raw_features(master, annual, tuple(f for f in features.FAMILIES if f in over), more=tuple(sorted(set(checks.DENOMINATORS.values()))))
     scaled = lambda d: model_ready(d, list(features.KEYS), names)
+    there = {} if model_ready_rows is None else {"whole": model_ready_rows}
     return checks.union(
         [
             checks.no_duplicate_keys(raw, ["PERMNO", "MthCalDt"]), checks.no_calendar_gaps(raw), checks.no_infinite_values(raw, names), checks.sources_exist(ready),
-            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names, whole=model_ready_rows),
+            checks.return_bounds(raw), checks.denominators(plain), checks.no_leakage(build, some, dates, names), checks.reproducible(build, some, names), checks.isolated(scaled, raw, dates, names, **there),
         ]
     )
 
